@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from revloom.llm.common import read_table
 from revloom.llm.exact_dedup import exact_dedup
+from revloom.llm.language_id import language_report
+from revloom.llm.mixing import mixture_report
+from revloom.llm.quality import quality_report
 from revloom.llm.secret_scan import secret_report
 
 
@@ -19,8 +22,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(read_table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture_report(read_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_exact_dedup)}
+    return {f.__name__: f for f in (op4_secret_scan, op5_exact_dedup, op6_language_id, op9_mixing, op10_quality_rules)}
 
 
 OP5_SQL = r"""
