@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revloom.llm.chat_format import chat_format
 from revloom.llm.common import read_table
 from revloom.llm.exact_dedup import exact_dedup
 from revloom.llm.language_id import language_report
 from revloom.llm.mixing import mixture_report
+from revloom.llm.packing import packed_documents
 from revloom.llm.quality import quality_report
 from revloom.llm.secret_scan import secret_report
+from revloom.llm.sharding import sharding_report
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding_report(read_table(spark, sf_dir, "documents"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +33,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_report(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op5_exact_dedup, op6_language_id, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules)}
 
 
 OP5_SQL = r"""
@@ -46,5 +61,18 @@ FROM n JOIN g USING (norm)
 """
 
 
+OP7_SQL = r"""
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+n AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS position FROM t),
+p AS (SELECT conv_id, position, list(struct_pack(r := role, t := text)) OVER (PARTITION BY conv_id ORDER BY position) AS prefix,
+  count(*) OVER (PARTITION BY conv_id) AS n_turns FROM n),
+w AS (SELECT min(conv_id) AS conv_id, n_turns, prefix FROM p WHERE position = n_turns - 1 GROUP BY n_turns, prefix),
+k AS (SELECT conv_id, n_turns FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.position < p.n_turns - 1 AND p.position = w.n_turns - 1 AND p.prefix = w.prefix))
+SELECT n.conv_id, position // 256 AS part, n_turns,
+  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY position) AS rendered
+FROM n JOIN k USING (conv_id) GROUP BY n.conv_id, part, n_turns
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op7_chat_formatting": OP7_SQL}
