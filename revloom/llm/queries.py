@@ -11,12 +11,17 @@ from revloom.llm.common import read_table
 from revloom.llm.exact_dedup import exact_dedup
 from revloom.llm.language_id import language_report
 from revloom.llm.mixing import mixture_report
+from revloom.llm.near_dedup import near_dedup_report
 from revloom.llm.packing import packed_documents
 from revloom.llm.quality import quality_report
 from revloom.llm.secret_scan import secret_report
 from revloom.llm.sharding import sharding_report
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup_report(read_table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding_report(read_table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules)}
 
 
 OP5_SQL = r"""
