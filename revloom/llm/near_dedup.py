@@ -271,8 +271,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Copies of a text are one node from the start, however many there are.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    rows = materialize(texts.mapInPandas(signed, T.StructType([texts.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())])))
+    id_type = docs.schema[id_col].dataType
+    # ids travel as strings: pandas has no whole numbers beside nulls
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
+    rows = materialize(texts.mapInPandas(signed, T.StructType([texts.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())])).withColumn("doc_id", F.col("doc_id").cast(id_type)))
     nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
     roots = components(similar_links(nodes, texts.select("digest", "text"), threshold))

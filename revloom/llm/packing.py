@@ -112,7 +112,6 @@ def piece_maker(path: str, capacity: int, end_id: int):
                         out.append((i, k, start, len(part), zlib.crc32(part.tobytes())))
             made = pd.DataFrame(out, columns=["row", "piece", "start", "length", "ids_crc32"])
             made.insert(0, "doc_id", ids_of_rows.take(made["row"]).to_numpy())
-            made["doc_id"] = made["doc_id"].astype("Int64")
             yield made.drop(columns="row")
 
     return pieces
@@ -120,8 +119,9 @@ def piece_maker(path: str, capacity: int, end_id: int):
 
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents' ids, cut at ``capacity``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(piece_maker(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    # ids travel as strings: pandas has no whole numbers beside nulls
+    return rows.mapInPandas(piece_maker(tokenizer_path, capacity, end_id), "doc_id string, piece int, start long, length long, ids_crc32 long")
 
 
 @dataclass
@@ -268,7 +268,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> Dat
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(groups.drop("n"), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    return ranked.mapInPandas(placer(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInPandas(placer(table), "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -281,4 +281,5 @@ def packed_documents(docs: DataFrame, tokenizer_path: str | None = None, capacit
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    return pack(tokenized_pieces(docs, tokenizer_path, capacity, end_id), capacity)
+    packed = pack(tokenized_pieces(docs, tokenizer_path, capacity, end_id), capacity)
+    return packed.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -16,6 +16,11 @@ from revloom.llm.packing import packed_documents
 from revloom.llm.quality import quality_report
 from revloom.llm.secret_scan import secret_report
 from revloom.llm.sharding import sharding_report
+from revloom.llm.substring_dedup import substring_report
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(read_table(spark, sf_dir, "documents"))
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules)}
 
 
 OP5_SQL = r"""
