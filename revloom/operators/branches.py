@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revloom.functions import revnum
 from revloom.operators.ordered import day_of
+from revloom.operators.shared import materialize
 
 
 def as_of_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], order: str = "event_id") -> DataFrame:
@@ -56,25 +57,20 @@ class BranchCycle(ValueError):
     """Branches that are each other's ancestors."""
 
 
-def ancestors(parents: DataFrame, limit: int = 40) -> DataFrame:
+def ancestors(parents: DataFrame, limit: int = 24) -> DataFrame:
     """(node, ancestor, distance) for all ancestors, the node itself at distance 0.
 
     ``parents``: node, parent (null at a root).  Links double in length every round, so
     the rounds are the logarithm of the depth; a cycle never ends and raises.
     """
-    links = parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor"))
+    links = materialize(parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor")))
     known = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
-    step = 1
-    for _ in range(limit):
-        further = known.select("node", F.col("ancestor").alias("__m"), "distance").join(links.select(F.col("node").alias("__m"), "ancestor"), "__m")
-        known = known.unionByName(further.select("node", "ancestor", (F.col("distance") + step).alias("distance")))
-        links = links.alias("a").join(links.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor"))
-        links = links.persist()
-        step *= 2
+    for step in (2**i for i in range(limit)):
         if links.isEmpty():
             return known
-        if step > 2**20:
-            break
+        further = known.select("node", F.col("ancestor").alias("__m"), "distance").join(links.select(F.col("node").alias("__m"), "ancestor"), "__m")
+        known = materialize(known.unionByName(further.select("node", "ancestor", (F.col("distance") + step).alias("distance"))))
+        links = materialize(links.alias("a").join(links.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor")))
     raise BranchCycle("the branch tree has a cycle")
 
 

@@ -137,13 +137,14 @@ def surviving(rows: DataFrame) -> DataFrame:
     return rows.withColumn("keeps_alive", ~(F.col("__root") & F.col("dead"))).drop("__first", "__n", "__root")
 
 
-def frontier_changesets(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+def frontier_changesets(rows: DataFrame, window: int = WINDOW, prepared: bool = False) -> DataFrame:
     """Membership (branch, leader_id, t, author, log, commitid, path, event_id, member_t).
 
     ``rows``: branch, path, event_id, t, author, log, commitid, dead.  A file takes part
     with its newest revision that isn't taken.  Ties in time go by path, then the larger id.
+    ``prepared`` rows have keeps_alive and lack what ``surviving`` leaves out.
     """
-    rows = surviving(rows)
+    rows = rows if prepared else surviving(rows)
     cut = epochs(rows, ["branch"], window)
     ends = cut.groupBy("branch").agg(F.max("epoch").alias("newest"), F.min(F.when(F.col("keeps_alive"), F.col("t"))).alias("oldest_live"))
     cut = cut.join(ends, "branch").withColumn("first", F.col("epoch") == F.col("newest"))
