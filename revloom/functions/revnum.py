@@ -72,8 +72,9 @@ def sprout(rev: Column | str) -> Column:
 def prefixes(key: Column | str) -> Column:
     """The branch key and those of the branches it nests in, longest first.
 
-    The trunk is the empty key; every second component is a branch number.
+    The trunk is the empty key; a.b.c nests in it, a.b.c.d.e in a.b.c.
     """
     key = _col(key)
     steps = F.sequence(F.lit(0), F.floor(F.size(key) / 2).cast("int"))
-    return F.transform(steps, lambda i: F.slice(key, 1, F.greatest(F.size(key) - 2 * i, F.lit(0)).cast("int")))
+    kept = F.transform(steps, lambda i: F.size(key) - 2 * i)
+    return F.transform(kept, lambda n: F.slice(key, 1, F.when(n <= 1, 0).otherwise(n).cast("int")))

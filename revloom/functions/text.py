@@ -106,7 +106,8 @@ def log_label(log: Column | str) -> Column:
     head = F.substring(_col(log), 1, 48)
     head = F.regexp_replace(head, r"(?s)^(.{6}[^\n]*)\n.*$", "$1")
     full_stop = F.regexp_replace(head, r"(?s)^(.*?\.)[ \t\n\x0b\f\r].*$", "$1")
-    return F.regexp_replace(F.regexp_replace(full_stop, r"[^\x20-\x7f]|[()\[\]{}]", ""), '"', '\\\\\\\\"')
+    plain = F.regexp_replace(full_stop, r"[^\x20-\x7f]|[()\[\]{}]", "")
+    return F.replace(plain, F.lit('"'), F.lit('\\"'))
 
 
 def at_unescaped(text: Column | str) -> Column:

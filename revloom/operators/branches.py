@@ -61,7 +61,7 @@ def ancestors(parents: DataFrame, limit: int = 24) -> DataFrame:
     """(node, ancestor, distance) for all ancestors, the node itself at distance 0.
 
     ``parents``: node, parent (null at a root).  Links double in length every round, so
-    the rounds are the logarithm of the depth; a cycle never ends and raises.
+    the rounds are the logarithm of the depth; a node above itself raises.
     """
     links = materialize(parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor")))
     known = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
@@ -70,6 +70,8 @@ def ancestors(parents: DataFrame, limit: int = 24) -> DataFrame:
             return known
         further = known.select("node", F.col("ancestor").alias("__m"), "distance").join(links.select(F.col("node").alias("__m"), "ancestor"), "__m")
         known = materialize(known.unionByName(further.select("node", "ancestor", (F.col("distance") + step).alias("distance"))))
+        if not known.filter("node = ancestor and distance > 0").isEmpty():
+            break
         links = materialize(links.alias("a").join(links.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor")))
     raise BranchCycle("the branch tree has a cycle")
 

@@ -80,7 +80,7 @@ def same_branch_pairs(spark, sf_dir):
 
 
 @query(f"""WITH {NUMBERS}, heads AS (SELECT DISTINCT key AS head FROM nk WHERE len(key) = 0 OR uses % 2 = 0),
-  tried AS (SELECT DISTINCT number, key[1:len(key) - 2 * i] AS head FROM nk, range(0, 4) r(i) WHERE 2 * i <= len(key))
+  tried AS (SELECT DISTINCT number, key[1:CASE WHEN len(key) - 2 * i <= 1 THEN 0 ELSE len(key) - 2 * i END] AS head FROM nk, range(0, 4) r(i) WHERE 2 * i <= len(key))
   SELECT number, array_to_string(arg_max(head, len(head)), '.') AS branch FROM tried JOIN heads USING (head) GROUP BY number""")
 def longest_prefix_branch(spark, sf_dir):
     n = numbers(spark, sf_dir).withColumn("key", revnum.branch_key("rev"))
