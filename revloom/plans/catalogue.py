@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
-from revloom.operators import branches, changesets, ordered, repair, tags, trees, verify
+from revloom.operators import branches, changesets, ordered, repair, replay, tags, trees, verify
 from revloom.sources.revision_log import revision_log, table, unnumbered_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,19 @@ def blob_paths(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", paths.blob_path(F.col("o_orderkey") * 7).alias("blob"))
 
 
+# Contents
+
+
+@query("""WITH n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, text FROM conversations)
+  SELECT conv_id, '1.' || k AS number, md5(replace(coalesce(text, ''), ' ', chr(10))) AS content FROM n""")
+def edit_script_apply(spark, sf_dir):
+    """Turns as versions of one file, a word to a line: written as edits, then replayed."""
+    versions = table(spark, sf_dir, "conversations").withColumn("body", F.replace("text", F.lit(" "), F.lit("\n")))
+    scripts = replay.scripts_between(versions, "conv_id", "turn", "body")
+    rows = scripts.select("master_id", "number", "edit_text", F.lit(False).alias("dead"), F.lit("b").alias("mode"))
+    return replay.snapshots(rows).select(F.col("master_id").alias("conv_id"), "number", F.md5("content").alias("content"))
+
+
 # Names, dates and logs
 
 
