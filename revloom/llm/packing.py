@@ -27,13 +27,32 @@ from revloom.llm.common import materialize, text_or_empty
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
 SALTS = 256
 #: Words whose ids a Python worker keeps; beyond that it starts anew.
-CACHED_WORDS = 700_000
+CACHED_WORDS = 350_000
+
+
+#: Characters that the tokenizer splits from the letters before them, as one run.
+MARKS = ",.;:!?#*$%&()"
+
+
+class _Places(dict):
+    """Places of words; a new word gets the next one and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.fresh.append(word)
+        return place
 
 
 class WordTokenizer:
     """Ids of whole texts, from the ids of their words.
 
-    The tokenizer splits at white space anyway, so each different word needs encoding only once per worker.
+    The tokenizer splits at white space, lowers case, and splits letters from other
+    characters, so each different word needs encoding only once per worker, and words that
+    differ in case or by the marks at their end share the work.
     """
 
     def __init__(self, path: str):
@@ -42,52 +61,85 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.small = max(vocabulary.values()) < 1 << 16
+        self.dtype = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks, self.cores = {"": b""}, {}
+        # does a line of plain words split into them by the ends of their last tokens?
+        probe = ["plain", "words", "x"]
+        lowers = self.encoded("PROBE") == self.encoded("probe")
+        splits = all(self.encoded("ab" + m) == self.encoded("ab") + self.encoded(m) for m in (*MARKS, "$$$", MARKS))
+        self.plain = lowers and splits and self.by_word(probe) == [self.encoded(x) for x in probe]
         self.clear()
 
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def by_word(self, words: list[str]) -> list[bytes] | None:
+        """Ids of words of letters, encoded as one line; None if one isn't a single run."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize).tolist()
+        if len(ends) != len(words):
+            return None
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, dtype=np.uint16 if self.small else np.uint32)
+        self.places = _Places()
+        self.flat = np.zeros(1 << 16, dtype=self.dtype)
         self.ends = np.zeros(1, dtype=np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.index) + len(words) > CACHED_WORDS and self.index:
-            raise OverflowError
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        new = np.fromiter((i for x in ids for i in x), dtype=self.flat.dtype, count=int(sizes.sum()))
+    def learn(self) -> None:
+        """Find the ids of the words that were met for the first time."""
+        cores, marks = [], []
+        for text in map(bytes.decode, self.places.fresh):
+            core = text.rstrip(MARKS) if self.plain else ""
+            if core.isalpha():
+                cores.append(core.lower() if core.isascii() else core)
+                marks.append(text[len(core) :])
+            else:
+                cores.append(text)
+                marks.append("")
+        self.places.fresh = []
+        if len(self.cores) > CACHED_WORDS:
+            self.cores = {}
+        new = list(set(cores) - self.cores.keys())
+        plain = [t for t in new if self.plain and t.isalpha()]
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            self.cores.update(zip(some, self.by_word(some) or map(self.encoded, some), strict=True))
+        self.cores.update([(t, self.encoded(t)) for t in new if t not in self.cores])
+        self.marks.update([(m, self.encoded(m)) for m in set(marks) - self.marks.keys()])
+        ids = list(map(bytes.__add__, map(self.cores.__getitem__, cores), map(self.marks.__getitem__, marks)))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // self.flat.itemsize
+        fresh = np.frombuffer(b"".join(ids), dtype=self.dtype)
         used = int(self.ends[-1])
-        if used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(max(len(self.flat), len(new)), dtype=self.flat.dtype)])
-        self.flat[used : used + len(new)] = new
-        at = len(self.index)
-        self.index.update(zip(words, range(at, at + len(words)), strict=True))
+        if used + len(fresh) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(max(len(self.flat) // 2, len(fresh)), dtype=self.dtype)])
+        self.flat[used : used + len(fresh)] = fresh
         self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [x.encode("utf-8", "replace").split() for x in texts]
-        fresh = list({w for words in split for w in words} - self.index.keys())
-        try:
-            if fresh:
-                self.learn(fresh)
-        except OverflowError:
+        if len(self.places) > CACHED_WORDS:
             self.clear()
-            self.learn(list({w for words in split for w in words}))
+        split = [x.encode("utf-8", "replace").split() for x in texts]
+        place = self.places.__getitem__
+        places = [np.fromiter(map(place, words), dtype=np.int64, count=len(words)) for words in split]
+        if self.places.fresh:
+            self.learn()
         out = []
-        for words in split:
-            which = np.fromiter(map(self.index.__getitem__, words), dtype=np.int64, count=len(words))
+        for which in places:
             first, sizes = self.ends[which], self.ends[which + 1] - self.ends[which]
-            total = int(sizes.sum())
-            steps = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            out.append(self.flat[np.repeat(first, sizes) + steps])
+            upto = np.cumsum(sizes)
+            total = int(upto[-1]) if len(upto) else 0
+            out.append(self.flat[np.repeat(first - upto + sizes, sizes) + np.arange(total)])
         return out
 
 
 TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
-def chunks(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     at = size = 0
     for i, x in enumerate(texts):
         if size and size + len(x) > most:
