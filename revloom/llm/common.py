@@ -45,6 +45,13 @@ def fresh_folder(spark: SparkSession, prefix: str) -> str:
     return f"{shared_root(spark)}/{prefix}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, as a compressed table: for many narrow rows."""
+    folder = fresh_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -21,26 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revloom.llm.common import materialize, text_or_empty
-from revloom.llm.shingles import mix, run_hashes, word_hashes, words_of
+from revloom.llm.common import materialize, text_or_empty, written
+from revloom.llm.shingles import mix, run_hashes, text_hashes, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
-#: Pairs whose estimated similarity is below are no links, above are links: five standard
-#: errors or so from the threshold.  Between them the texts decide.
-SURELY_NOT, SURELY = 0.68, 0.92
-#: Buckets up to this size are compared inside one task; larger ones with leaders.
-SMALL_BUCKET = 256
+#: Pairs whose estimated similarity is below are no links, above are links: four standard
+#: errors from the threshold.  Between them the texts decide.
+SURELY_NOT, SURELY = 0.7, 0.9
+#: Texts of a bucket that are compared inside one task.
+BUCKET_PART = 256
 #: A table of so many rows of under 100 bytes may be broadcast.
 MOST_BROADCAST_ROWS = 100_000
 
 
-def shingle_set(words: list[bytes]) -> np.ndarray:
+def shingle_set(text: str) -> np.ndarray:
     """Hashes of the different shingles; under five words, all words are the one shingle."""
-    hashes = word_hashes(words)
-    if len(words) < SHINGLE:
-        return run_hashes(hashes, len(words)) if len(words) else np.ones(1, dtype=np.uint64)
+    hashes = text_hashes(text)
+    if len(hashes) < SHINGLE:
+        return run_hashes(hashes, len(hashes)) if len(hashes) else np.ones(1, dtype=np.uint64)
     return np.unique(run_hashes(hashes, SHINGLE))
 
 
@@ -97,16 +97,19 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds to (uid, doc_id, digest, text) the bands and a byte per coordinate."""
-    for pdf in batches:
-        distinct = pdf.drop_duplicates("digest")
-        bands, marks = {}, {}
-        texts, keys = distinct["text"].tolist(), distinct["digest"].tolist()
-        for at in range(0, len(texts), 256):
-            some = dart_signatures([shingle_set(words_of(x)) for x in texts[at : at + 256]])
-            hashes, bytes_ = band_hashes(some), (some & np.uint64(0xFF)).astype(np.uint8)
-            for j, key in enumerate(keys[at : at + 256]):
-                bands[key], marks[key] = hashes[j], bytes_[j].tobytes()
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": pdf["digest"], "bands": pdf["digest"].map(bands), "marks": pdf["digest"].map(marks)})
+    known: dict[bytes, tuple] = {}
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            pdf = batch.iloc[at : at + 256]
+            fresh = {d: x for d, x in zip(pdf["digest"], pdf["text"], strict=True) if d not in known}
+            if len(known) > 20_000:
+                known, fresh = {}, dict(zip(pdf["digest"], pdf["text"], strict=True))
+            if fresh:
+                some = dart_signatures([shingle_set(x) for x in fresh.values()])
+                marks = (some & np.uint64(0xFF)).astype(np.uint8)
+                known.update((d, (h, m.tobytes())) for d, h, m in zip(fresh, band_hashes(some), marks, strict=True))
+            found = [known[d] for d in pdf["digest"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "digest": pdf["digest"].to_numpy(), "bands": [x[0] for x in found], "marks": [x[1] for x in found]})
 
 
 def estimate(equal_share: np.ndarray) -> np.ndarray:
@@ -114,61 +117,58 @@ def estimate(equal_share: np.ndarray) -> np.ndarray:
     return (equal_share - 1 / 256) / (1 - 1 / 256)
 
 
-def bucket_pairs(nodes: np.ndarray, marks: np.ndarray) -> list[tuple[int, int, float]]:
-    """Pairs of a bucket worth a check, without those that sure links already connect."""
-    n = len(nodes)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    open_pairs, out = [], []
-    for i in range(1, n):
-        similar = estimate((marks[:i] == marks[i]).mean(axis=1))
-        for j in np.flatnonzero(similar >= SURELY_NOT):
-            if similar[j] >= SURELY:
-                a, b = root(i), root(int(j))
-                if a != b:
-                    parent[a] = b
-                    out.append((int(nodes[i]), int(nodes[j]), float(similar[j])))
-            else:
-                open_pairs.append((i, int(j), float(similar[j])))
-    out += [(int(nodes[i]), int(nodes[j]), s) for i, j, s in open_pairs if root(i) != root(j)]
+def bucket_pairs(nodes: np.ndarray, roots: np.ndarray, visits: np.ndarray, marks: np.ndarray) -> list[tuple[int, int, float]]:
+    """Pairs of a visitor and another node that may be similar and aren't connected yet,
+    by their components or by sure links found here."""
+    parent: dict[int, int] = {}
+
+    def root(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    sure, unsure = [], []
+    for v in np.flatnonzero(visits):
+        others = np.flatnonzero((roots != roots[v]) & (~visits | (nodes < nodes[v])))
+        similar = estimate((marks[others] == marks[v]).mean(axis=1))
+        for j, s in zip(others[similar >= SURELY_NOT], similar[similar >= SURELY_NOT], strict=True):
+            (sure if s >= SURELY else unsure).append((int(v), int(j), float(s)))
+    out = []
+    for some in (sure, unsure):
+        for v, j, s in some:
+            x, y = root(int(roots[v])), root(int(roots[j]))
+            if x != y:
+                out.append((int(nodes[v]), int(nodes[j]), s))
+                if some is sure:
+                    parent[x] = y
     return out
 
 
 def compared_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of the buckets of one partition, which comes sorted by bucket."""
+    """Pairs of the bucket parts of one partition, which comes sorted by bucket and part."""
     kept: list[pd.DataFrame] = []
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, nodes = pdf["key"].to_numpy(), pdf["node"].to_numpy()
+        keys, parts, nodes, roots, visits = (pdf[c].to_numpy() for c in ("key", "part", "node", "root", "visits"))
         marks = np.frombuffer(b"".join(pdf["marks"]), dtype=np.uint8).reshape(len(pdf), -1)
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        seen: set[tuple[int, int]] = set()
-        out = []
+        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
+        found: dict[tuple[int, int], float] = {}
         for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            for a, b, s in bucket_pairs(nodes[lo:hi], marks[lo:hi]) if hi - lo > 1 else ():
-                pair = (max(a, b), min(a, b))
-                if pair not in seen:
-                    seen.add(pair)
-                    out.append((*pair, s))
-        return pd.DataFrame(out, columns=["a", "b", "similar"]).astype({"a": "int64", "b": "int64", "similar": "float64"})
+            for a, b, s in bucket_pairs(nodes[lo:hi], roots[lo:hi], visits[lo:hi], marks[lo:hi]):
+                found[max(a, b), min(a, b)] = s
+        rows = [(a, b, s) for (a, b), s in found.items()]
+        return pd.DataFrame(rows, columns=["a", "b", "similar"]).astype({"a": "int64", "b": "int64", "similar": "float64"})
 
     for pdf in batches:
         if not len(pdf):
             continue
-        kept.append(pdf)
-        pdf = pd.concat(kept, ignore_index=True)
-        last = pdf["key"] == pdf["key"].iloc[-1]
+        pdf = pd.concat([*kept, pdf], ignore_index=True)
+        last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
         kept = [pdf[last]]
         if not last.all():
             yield pairs(pdf[~last])
     if kept:
-        yield pairs(pd.concat(kept, ignore_index=True))
+        yield pairs(kept[0])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -214,33 +214,51 @@ def checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: flo
 def similar_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links between different texts: enough of them to connect each class.
 
-    ``nodes``: node, digest, bands, marks; ``texts``: digest, text.  Small buckets are
-    compared as they are.  In a large one, all texts are compared with one leader (the
-    smallest node in even bands, the largest in odd ones) by joins that split hot keys;
-    those not linked to it form a smaller bucket for the next round, until none is large.
+    ``nodes``: node, digest, bands, marks; ``texts``: digest, text.  First all texts of a
+    bucket are compared with one leader (the smallest node in even bands, the largest in
+    odd ones), by joins that split hot keys.  That connects a group of copies without
+    pairs among them; more leaders, drawn at random, follow while they connect much.  Last,
+    in buckets that still hold several components, every text outside the bucket's main
+    component is compared with all texts of other components: it visits the parts of bounded
+    size that the bucket is cut into.
     """
     marks = nodes.select("node", "marks")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"), (F.col("band") % 2 == 1).alias("odd"))
-    links = None
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("size > 1")
+    rows = written(rows.join(sizes, "key"))
+    led = rows.select(F.col("node").alias("a"), F.when(F.col("odd"), F.col("high")).otherwise(F.col("low")).alias("b")).filter("a != b").distinct()
+    led = led.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
+    led = led.select("a", "b", marks_similarity("marks_a", "marks_b").alias("similar")).filter(F.col("similar") >= SURELY_NOT)
+    links = materialize(checked(materialize(led), nodes, texts, threshold))
+    rows, left = rows.select("node", "key", "size"), None
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("size > 1")
-        rows = materialize(rows.join(sizes, "key"))
-        small = rows.filter(F.col("size") <= SMALL_BUCKET).select("key", "node").join(marks, "node")
-        pairs = small.repartition("key").sortWithinPartitions("key", "node").mapInPandas(compared_buckets, "a long, b long, similar double")
-        pairs = pairs.groupBy("a", "b").agg(F.max("similar").alias("similar"))
-        found = checked(materialize(pairs), nodes, texts, threshold)
-        large = rows.filter(F.col("size") > SMALL_BUCKET).withColumn("leader", F.when(F.col("odd"), F.col("high")).otherwise(F.col("low"))).filter("node != leader")
-        if large.isEmpty():
-            found = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            return materialize((found if links is None else links.unionByName(found)).distinct())
-        led = large.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        led = led.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
-        led = led.select("a", "b", marks_similarity("marks_a", "marks_b").alias("similar")).filter(F.col("similar") >= SURELY_NOT)
-        led_links = materialize(checked(materialize(led), nodes, texts, threshold))
-        found = found.unionByName(led_links).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        links = materialize(links)
-        rows = large.join(led_links.toDF("node", "leader"), ["node", "leader"], "left_anti").select("node", "key", "odd")
+        labelled = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        # more leaders, while they connect much of what is left in mixed buckets: a random one
+        # of each bucket meets the texts of other components; other buckets are done with
+        chance = F.struct(F.xxhash64(F.lit(left or 0), "node", "key"), "node", "root")
+        drawn = labelled.groupBy("key").agg(F.min(chance).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2")
+        labelled = written(labelled.join(drawn.select("key", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key"))
+        rows = labelled.select("node", "key", "size")
+        apart = written(labelled.filter("root != b_root").select(F.col("node").alias("a"), "b").distinct())
+        now = apart.count()
+        if now == 0 or (left is not None and now > 0.8 * left):
+            break
+        left = now
+        met = apart.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
+        met = materialize(met.select("a", "b", marks_similarity("marks_a", "marks_b").alias("similar")).filter(F.col("similar") >= SURELY_NOT))
+        links = materialize(links.unionByName(checked(met, nodes, texts, threshold)))
+
+    by_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    mixed = labelled.select("key", "node", "root", "size").join(mixed.select("key", F.col("main.root").alias("main")), "key").withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    mixed = mixed.withColumn("visits", F.col("root") != F.col("main"))
+    every = F.when(F.col("visits"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    placed = mixed.withColumn("part", F.explode(every)).select("key", "part", "node", "root", "visits").join(marks, "node")
+    pairs = placed.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(compared_buckets, "a long, b long, similar double")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("similar").alias("similar")))
+    more = checked(pairs, nodes, texts, threshold)
+    return materialize(links.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
