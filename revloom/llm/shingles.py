@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
 from hashlib import blake2b
 
 import numpy as np
 
-#: Different words that a worker remembers; then it starts anew.
-CACHED_WORDS = 1_000_000
+#: Bytes hashed at a time.
+SLICE = 1 << 20
+SPACES = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
+BASE = 0x9E3779B97F4A7C15 | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -17,24 +20,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words in UTF-8; bytes split at the six ASCII white-space characters only."""
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number per byte (0 for white space), which bytes are white space, and powers of
+    the base and of its inverse."""
+    space = np.zeros(256, dtype=bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    number = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+    number[space] = 0
+    steps = np.full(SLICE, BASE, dtype=np.uint64)
+    steps[0] = 1
+    back = np.full(SLICE, pow(BASE, -1, 1 << 64), dtype=np.uint64)
+    back[0] = 1
+    return number, space, np.cumprod(steps), np.cumprod(back)
+
+
+def _hashed(raw: np.ndarray) -> np.ndarray:
+    number, space, power, inverse = _tables()
+    gap = space[raw]
+    first = ~gap
+    first[1:] &= gap[:-1]
+    starts = np.flatnonzero(first)
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.add.reduceat(number[raw] * power[: len(raw)], starts)
+    return mix(sums * inverse[starts])
+
+
+def text_hashes(text: str | None) -> np.ndarray:
+    """One hash per word of a text, in order: a polynomial in its bytes' numbers."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) < SLICE:
+        return _hashed(np.frombuffer(raw, dtype=np.uint8))
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + SLICE, len(raw))
+        if end == at + SLICE:  # cut at white space
+            cut = max(raw.rfind(c, at, end) for c in SPACES)
+            if cut < 0:  # one long word
+                end = min((x for x in (raw.find(c, end) for c in SPACES) if x >= 0), default=len(raw))
+                out.append(np.frombuffer(blake2b(raw[at:end], digest_size=8).digest(), dtype=np.uint64))
+                at = end
+                continue
+            end = cut + 1
+        out.append(_hashed(np.frombuffer(raw, dtype=np.uint8)[at:end]))
+        at = end
+    return np.concatenate(out)
 
 
 def combine(left: np.ndarray, right: np.ndarray) -> np.ndarray:

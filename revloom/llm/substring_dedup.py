@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revloom.llm.common import text_or_empty
-from revloom.llm.shingles import mix, run_hashes, word_hashes, words_of
+from revloom.llm.shingles import mix, run_hashes, text_hashes, words_of
 
 WINDOW = 35
 #: Words of the longer prefix that splits a large class.
@@ -47,10 +47,10 @@ def class_counter(window: int):
         counts, chars = np.zeros(PREFIX_CLASSES, dtype=np.int64), 0
         for pdf in batches:
             for text in pdf["text"]:
-                words = words_of(text)
+                hashes = text_hashes(text)
                 chars += len(text)
-                if len(words) >= window:
-                    counts += np.bincount(prefix_class(word_hashes(words[: len(words) - window + 1])), minlength=PREFIX_CLASSES)
+                if len(hashes) >= window:
+                    counts += np.bincount(prefix_class(hashes[: len(hashes) - window + 1]), minlength=PREFIX_CLASSES)
         yield pd.DataFrame({"class": np.append(np.arange(PREFIX_CLASSES), -1), "n": np.append(counts, chars)})
 
     return count
@@ -82,12 +82,11 @@ class Suffixes:
     """Fingerprints of a block's suffixes, by group; the same on each call."""
 
     def __init__(self, texts: list[str], first: np.ndarray, parts: np.ndarray, width: int, window: int):
-        self.words = [words_of(x) for x in texts]
         lows, highs, groups = [], [], []
-        for words in self.words:
-            if len(words) < window:
+        for text in texts:
+            hashes = text_hashes(text)
+            if len(hashes) < window:
                 continue
-            hashes = word_hashes(words)
             low = run_hashes(hashes, window)
             group = first[c := prefix_class(hashes[: len(low)])].copy()
             if (many := parts[c] > 1).any():
@@ -211,14 +210,15 @@ def remover(first, parts, width: int, window: int, keep_text: bool):
                     if n != part.stop - part.start:
                         raise ValueError("a block changed between its two passes")
                     leaves[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n)
-            flags, all_words = suffixes.flags(leaves), suffixes.words
+            flags = suffixes.flags(leaves)
         else:
-            all_words = [words_of(x) for x in docs["text"]]
-            flags = np.zeros(sum(max(0, len(w) - window + 1) for w in all_words), dtype=bool)
+            flags = None
         out, at = [], 0
-        for doc_id, words in zip(docs["doc_id"], all_words, strict=True):
+        for doc_id, text in zip(docs["doc_id"], docs["text"], strict=True):
+            words = words_of(text)
             n = max(0, len(words) - window + 1)
-            gone = covered(flags[at : at + n], len(words), window) if n else np.zeros(len(words), dtype=bool)
+            repeats = n and flags is not None and flags[at : at + n].any()
+            gone = covered(flags[at : at + n], len(words), window) if repeats else np.zeros(len(words), dtype=bool)
             at += n
             kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g] if gone.any() else words)
             turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
