@@ -17,28 +17,42 @@ from revloom.llm.packing import packed_documents
 from revloom.llm.quality import quality_filtered
 
 
+#: Rows of an Arrow batch.  Texts are long, and a Python worker that serves several stages
+#: keeps the memory of its largest batch.
+BATCH_ROWS = "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the voting rules find good."""
+    small_batches(spark)
     return quality_filtered(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, the smallest id."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the smallest id."""
+    small_batches(spark)
     return near_keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    small_batches(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's tokens lie in which sequence."""
+    small_batches(spark)
     return packed_documents(docs)
 
 
