@@ -14,7 +14,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -47,12 +47,28 @@ class _Places(dict):
         return place
 
 
+class _Letters(dict):
+    """Whether a character stays letters, split from a mark after it, once it is normalised.
+
+    Some don't: composed ones that NFC takes apart, or whose lower case has a dot of its own.
+    """
+
+    def __init__(self, encoded: Callable[[str], bytes]):
+        super().__init__()
+        self.encoded = encoded
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = found = c.isalpha() and self.encoded(c + MARKS) == self.encoded(c) + self.encoded(MARKS)
+        return found
+
+
 class WordTokenizer:
     """Ids of whole texts, from the ids of their words.
 
     The tokenizer splits at white space, lowers case, and splits letters from other
     characters, so each different word needs encoding only once per worker, and words that
-    differ in case or by the marks at their end share the work.
+    differ in case or by the marks at their end share the work, if all their characters
+    stay letters.
     """
 
     def __init__(self, path: str):
@@ -65,6 +81,7 @@ class WordTokenizer:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.marks, self.cores = {"": b""}, {}
+        self.letters = _Letters(self.encoded)
         # does a line of plain words split into them by the ends of their last tokens?
         probe = ["plain", "words", "x"]
         lowers = self.encoded("PROBE") == self.encoded("probe")
@@ -75,6 +92,9 @@ class WordTokenizer:
     def encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def lettered(self, word: str) -> bool:
+        return word.isalpha() and (word.isascii() or all(map(self.letters.__getitem__, word)))
+
     def by_word(self, words: list[str]) -> list[bytes] | None:
         """Ids of words of letters, encoded as one line; None if one isn't a single run."""
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
@@ -94,7 +114,7 @@ class WordTokenizer:
         cores, marks = [], []
         for text in map(bytes.decode, self.places.fresh):
             core = text.rstrip(MARKS) if self.plain else ""
-            if core.isalpha():
+            if self.lettered(core):
                 cores.append(core.lower() if core.isascii() else core)
                 marks.append(text[len(core) :])
             else:
@@ -104,7 +124,7 @@ class WordTokenizer:
         if len(self.cores) > CACHED_WORDS:
             self.cores = {}
         new = list(set(cores) - self.cores.keys())
-        plain = [t for t in new if self.plain and t.isalpha()]
+        plain = [t for t in new if self.plain and self.lettered(t)]
         for at in range(0, len(plain), 500):
             some = plain[at : at + 500]
             self.cores.update(zip(some, self.by_word(some) or map(self.encoded, some), strict=True))

@@ -178,6 +178,17 @@ def test_packed_documents(docs):
     assert [x.tolist() for x in words.ids(odd)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_packing_marks_after_letters():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path(packing.TOKENIZER))
+    words = packing.WordTokenizer(public.path(packing.TOKENIZER))
+    composed = [chr(c) for a, b in ((0x41, 0x590), (0x900, 0xDFF), (0x1E00, 0x2000), (0xFB00, 0xFB50)) for c in range(a, b) if chr(c).isalpha()]
+    texts = ["হয়, নয়... जड़? ALİ. שׁ! été, École; ΑΣ.", *(f"{c}, {c}b... a{c}?! {c}" for c in composed)]
+    assert [x.tolist() for x in words.ids(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_quality_votes(docs):
     got = {r.doc_id: r for r in quality.quality_report(docs).collect()}
     assert len(got) == len({i for i, _ in TEXTS}) and got[3].base_failed and not got[3].kept and got[13].n_dup_lines == 1
