@@ -250,6 +250,14 @@ def keyword_value_escapes(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.value_escaped(F.substring("text", 1, 200)).alias("value"))
 
 
+@query(r"""WITH e AS (SELECT doc_id, replace(replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), ' ', '\040'), '$', '\044') AS value FROM documents)
+  SELECT doc_id, length(value)::BIGINT AS length, md5(value) AS digest FROM e""")
+def keyword_value_escapes_whole(spark, sf_dir):
+    """Every document, from its first character to its last; ``keyword_value_escapes`` has 200 of them."""
+    value = text.value_escaped("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(value).cast("long").alias("length"), F.md5(value).alias("digest"))
+
+
 # Revisions and changesets
 
 
