@@ -31,12 +31,15 @@ def as_of_backward(left: DataFrame, right: DataFrame, keys: list[str], values: l
     return found.select(*columns, *[F.col(f"__found.{v}").alias(v if v not in columns else f"found_{v}") for v in values])
 
 
-def newest_match(left: DataFrame, right: DataFrame, keys: list[str], window: int, left_id: str, right_id: str) -> DataFrame:
+def newest_match(left: DataFrame, right: DataFrame, keys: list[str], window: int, left_id: str, right_id: str, others: bool = False) -> DataFrame:
     """For each row of ``left`` the newest row of ``right`` with the same keys and a time
-    closer than ``window``: a join on time buckets, as wide as the window."""
+    closer than ``window``: a join on time buckets, as wide as the window.  ``others``: not
+    the row of the same id, where both sides are one table."""
     near = right.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t") / window) + d)))
     near = near.select(*keys, "__b", F.col("t").alias("__t"), F.col(right_id).alias("__id"))
     pairs = left.withColumn("__b", F.floor(F.col("t") / window)).join(near, [*keys, "__b"]).filter(F.abs(F.col("t") - F.col("__t")) < window)
+    if others:
+        pairs = pairs.filter(F.col(left_id) != F.col("__id"))
     best = F.max(F.struct("__t", "__id"))
     return pairs.groupBy(left_id).agg(best.alias("best")).select(left_id, F.col("best.__t").alias("found_t"), F.col("best.__id").alias("found_id"))
 

@@ -200,6 +200,15 @@ def author_map_join(spark, sf_dir):
     return counted.join(known, "author", "left").select("author", F.coalesce("full", "author").alias("full_name"), F.coalesce("mail", "author").alias("email"), "revisions")
 
 
+@query(f"""WITH {RL}, m AS (SELECT 'a' || c_custkey AS name, c_name AS "full", lower(c_mktsegment) || '@example.org' AS email FROM customer)
+  SELECT author, coalesce("full", author) AS full_name, coalesce(email, author) AS email, count(*) AS revisions FROM rl LEFT JOIN m ON author = name GROUP BY ALL""")
+def author_map_join_whole(spark, sf_dir):
+    """The map is the whole customer table."""
+    known = table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("author"), F.col("c_name").alias("full"), F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("mail"))
+    counted = unnumbered_log(spark, sf_dir).groupBy("author").agg(F.count(F.lit(1)).alias("revisions"))
+    return counted.join(known, "author", "left").select("author", F.coalesce("full", "author").alias("full_name"), F.coalesce("mail", "author").alias("email"), "revisions")
+
+
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN source WHEN doc_id % 2 = 0 THEN lang ELSE '*** empty log message ***' || chr(10) END AS log FROM documents""")
 def default_logs(spark, sf_dir):
     log = F.when(F.col("doc_id") % 3 == 0, text.INITIAL_LOG).otherwise(F.col("source"))
@@ -380,6 +389,14 @@ def branch_point_by_meta(spark, sf_dir):
     return branches.newest_match(rows.filter("event_id % 2 = 1"), rows.filter("event_id % 2 = 0"), ["author", "log"], 1800, "event_id", "event_id")
 
 
+@query(f"""WITH {RL} SELECT b.event_id, max({{'t': v.t, 'e': v.event_id}}).t AS found_t, max({{'t': v.t, 'e': v.event_id}}).e AS found_id
+  FROM rl b JOIN rl v ON v.event_id <> b.event_id AND v.author = b.author AND v.log = b.log AND abs(v.t - b.t) < 1800 GROUP BY b.event_id""")
+def branch_point_by_meta_whole(spark, sf_dir):
+    """Every revision meets every other one."""
+    rows = unnumbered_log(spark, sf_dir).select("event_id", "author", "log", "t")
+    return branches.newest_match(rows, rows, ["author", "log"], 1800, "event_id", "event_id", others=True)
+
+
 def part_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as branches: each grows from the part with half its number."""
     parent = F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2))
@@ -406,6 +423,13 @@ def ancestor_refcount(spark, sf_dir):
     return branches.reference_counts(tree, tree.filter("node % 10 = 0").select(F.col("node").alias("head")))
 
 
+@query(f"WITH RECURSIVE {PART_TREE} SELECT a AS node, count(*) AS refs, min(node) AS owner FROM anc GROUP BY a")
+def ancestor_refcount_whole(spark, sf_dir):
+    """Every node is a head."""
+    tree = part_tree(spark, sf_dir)
+    return branches.reference_counts(tree, tree.select(F.col("node").alias("head")))
+
+
 @query("""WITH l AS (SELECT n_regionkey, s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
   SELECT s_nationkey AS ref_name, max({'d': n, 'p': n_regionkey}).p AS parent_ref FROM l GROUP BY s_nationkey""")
 def branch_parents(spark, sf_dir):
@@ -542,6 +566,13 @@ def reduce_logs(spark, sf_dir):
     return rows.select("doc_id", F.md5("text").alias("log"), F.concat(F.lit("content for "), "source", F.lit(" 1."), F.col("doc_id").cast("string"), F.lit("\n")).alias("stub"))
 
 
+@query("SELECT doc_id, md5(text) AS log, 'content for ' || source || ' 1.' || doc_id || chr(10) AS stub FROM documents")
+def reduce_logs_whole(spark, sf_dir):
+    """Every document is reduced."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.md5("text").alias("log"), F.concat(F.lit("content for "), "source", F.lit(" 1."), F.col("doc_id").cast("string"), F.lit("\n")).alias("stub"))
+
+
 COPIES = """l AS (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0), r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || '.' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0),
 c AS (SELECT doc_id, CASE WHEN r.doc_id IS NULL THEN 'left_only' WHEN l.doc_id IS NULL THEN 'right_only' WHEN l.text IS DISTINCT FROM r.text THEN 'differs' END AS status FROM l FULL OUTER JOIN r USING (doc_id))"""
 
