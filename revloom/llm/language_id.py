@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 from revloom.llm.common import materialize
 
 #: The model's parameters, all independent of the corpus' size: letters in an n-gram,
-#: labelled rows a language is fitted on (expected number), most languages, most n-grams
-#: of a language, and the share of the largest language's frequency that an n-gram needs
-#: to enter another language's filter.
-GRAM, TRAINING_ROWS, MOST_LANGUAGES, MOST_GRAMS, RELATIVE = 4, 3000, 256, 40_000, 0.25
+#: labelled rows a language is fitted on (expected number), most n-grams of a language, the
+#: share of the largest language's frequency that an n-gram needs to enter another
+#: language's filter, and the labelled rows below which n-grams seen once count too.
+GRAM, TRAINING_ROWS, MOST_GRAMS, RELATIVE, FEW_ROWS = 4, 3000, 40_000, 0.25, 100
 HASHES = 3
 CHUNK = 1 << 20
 
@@ -157,21 +157,19 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     """Filters from rows with a text and a language.
 
     Of each language about ``training_rows`` rows are read, chosen by a hash of id and
-    text; all rows are counted to set the shares.  The n-gram counts are summed on the
-    cluster; at most MOST_LANGUAGES * MOST_GRAMS of them come to the driver.
+    text; all rows are counted to set the shares.  Every language is learned.  The n-gram
+    counts are summed on the cluster; at most MOST_GRAMS of each language come to the driver.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return BitmaskFilters.of({})
-    share = F.create_map(*[F.lit(x) for s in sizes for x in (s["lang"], min(1.0, training_rows / s["count"]))])
+    sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))  # a row per language
+    share = F.least(F.lit(1.0), F.lit(float(training_rows)) / F.col("rows"))
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11).cast("double") * F.lit(2.0**-53)
-    sample = rows.filter(drawn < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
+    sample = rows.join(F.broadcast(sizes), "lang").filter(drawn < share).select("lang", "text")
     counted = sample.mapInPandas(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted)
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    top = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= RELATIVE * F.col("most")) & (F.col("n") > 1))
+    rated = counted.join(F.broadcast(total.join(sizes, "lang")), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    top = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= RELATIVE * F.col("most")) & ((F.col("n") > 1) | (F.col("rows") < FEW_ROWS)))
     ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= MOST_GRAMS)
     pdf = ranked.select("lang", "gram").toPandas()
     return BitmaskFilters.of({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in pdf.groupby("lang")})

@@ -211,6 +211,13 @@ def test_language_filters(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
 
 
+def test_every_language_is_learned(spark):
+    words = {f"l{i:03}": "".join(chr(0x4E00 + 12 * i + k) for k in range(12)) for i in range(300)}
+    rows = [(4 * i + k, w, lang) for i, (lang, w) in enumerate(words.items()) for k in range(1 if i == 299 else 2)]
+    filters = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.languages == sorted(words) and filters.predict(list(words.values()))[0] == list(words)
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yo"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (4, 0, "user", "other"), (4, 0, "user", "other"), (5, 0, None, None), (None, 3, "user", "x"), (6, 0, "user", "hi"), (6, 1, "assistant", "no")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
