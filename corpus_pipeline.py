@@ -64,8 +64,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Label models, signatures and tokenizers have no SQL form; tests compare the stages
-#: with brute force instead.
+#: Label models, signatures and tokenizers have no SQL form; tests compare some of
+#: the stages with brute force; none runs all of them.
 ORACLE_SQL = None
 
 

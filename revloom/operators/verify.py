@@ -1,4 +1,4 @@
-"""Comparing two trees, and reducing a history to its shape."""
+"""Comparing two trees."""
 
 from __future__ import annotations
 
