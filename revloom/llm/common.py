@@ -52,6 +52,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def quoted(name: str) -> Column:
+    """The column of this very name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that no helper column clashes with them."""
+    return F.struct(*[quoted(c).alias(c) for c in df.columns])
+
+
+def unpacked_row(df: DataFrame, names: list[str], row: str = "row") -> DataFrame:
+    return df.select(*[F.col(row).getField(c).alias(c) for c in names])
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -173,7 +173,7 @@ def test_packed_documents(docs):
         want += [(i, k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
     got = packing.packed_documents(docs).collect()
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
-    words = packing.WordTokenizer(public.path(packing.TOKENIZER))
+    words = packing.UnitTokenizer(public.path(packing.TOKENIZER))
     odd = ["It's <|endoftext|> ÉCOLE É $$$a--b ﬁ क़ 12ab,.", "'s don't x...'  y ​ İ ß ΑΣ", "a" * 300]
     assert [x.tolist() for x in words.ids(odd)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in odd]
 
@@ -183,7 +183,7 @@ def test_packing_marks_after_letters():
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public.path(packing.TOKENIZER))
-    words = packing.WordTokenizer(public.path(packing.TOKENIZER))
+    words = packing.UnitTokenizer(public.path(packing.TOKENIZER))
     composed = [chr(c) for a, b in ((0x41, 0x590), (0x900, 0xDFF), (0x1E00, 0x2000), (0xFB00, 0xFB50)) for c in range(a, b) if chr(c).isalpha()]
     texts = ["হয়, নয়... जड़? ALİ. שׁ! été, École; ΑΣ.", *(f"{c}, {c}b... a{c}?! {c}" for c in composed)]
     assert [x.tolist() for x in words.ids(texts)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
@@ -251,3 +251,18 @@ def test_word_hashes():
     h = text_hashes("ab " * 400_000 + "x" * (3 << 20) + " ab é")
     assert len(h) == 400_003 and h[0] == h[-2] and len(set(h.tolist())) == 3
     assert len(text_hashes(None)) == len(text_hashes(" \n")) == 0
+
+
+def test_tokenizer_units_like_whole_texts():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path(packing.TOKENIZER))
+    units = packing.UnitTokenizer(public.path(packing.TOKENIZER))
+    rng = np.random.default_rng(11)
+    alphabet = [*"abzAZ019 \t\n\r\x0b\x0c,.;'\"!?#*$%&()<|>-_\x00\x1c\x7f", "'s", "ß", "é", "é", "İ", "Σ", "क़", "—", "…", "½", " ", " ", "　", "日本", "ｱ", "̸", "=", "한", "하", "🙂", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000)] + ["", " ", "x" * 5000, "12" * 3000, "Ab,cd" * 40_000]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        assert [x.tolist() for x in units.ids(some)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in some]
+    assert [x.tolist() for x in units.ids(["ab", ""], 1)] == [[*tokenizer.encode("ab", add_special_tokens=False).ids, 1], [1]]
