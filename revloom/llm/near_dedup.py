@@ -1,14 +1,16 @@
 """Near-duplicate classes by DartMinHash and banding.
 
-Each element of a document's set of five-word shingles owns a region as wide as its
-weight.  Hashed darts fall into the regions, each with a rank and a coordinate; of the
-darts up to a rank that leaves no coordinate empty, the earliest of each coordinate is the
-signature.  Two documents agree in a coordinate with the probability of their weighted
-Jaccard similarity, and the number of darts doesn't grow with the document.
-
-Documents that agree in all rows of a band meet in a bucket.  Pairs that can be similar
-by their signatures are kept; those too close to the threshold to tell are compared by
-their shingles.  Classes are the connected components of the links.
+A document is a weighted set: its five-word shingles, each weighing as often as it stands
+in the text.  Each element owns a region as wide as its weight.  Hashed darts fall into
+the regions, each with a rank and a coordinate; of the darts up to a rank that leaves no
+coordinate empty, the earliest of each coordinate is the signature.  Two documents agree
+in a coordinate with the probability of their weighted Jaccard similarity (the sum of the
+smaller weights over that of the larger ones), and the number of darts doesn't grow with
+the document.
+
+Documents that agree in all rows of a band meet in a bucket.  In each bucket a leader is
+drawn, the texts of other components meet it, and every link rests on the weighted
+Jaccard similarity of the two texts themselves.  Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -17,72 +19,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revloom.llm.common import materialize, text_or_empty, written
-from revloom.llm.shingles import mix, run_hashes, text_hashes, words_of
+from revloom.llm.common import MOST_BROADCAST_ROWS, joined_by_key, materialize, packed_row, quoted, text_or_empty, unpacked_row, written
+from revloom.llm.shingles import ODD, batches_of, mix, run_hashes, texts_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
-#: Pairs whose estimated similarity is below are no links, above are links: four standard
-#: errors from the threshold.  Between them the texts decide.
-SURELY_NOT, SURELY = 0.7, 0.9
 #: Texts of a bucket that are compared inside one task.
 BUCKET_PART = 256
-#: A table of so many rows of under 100 bytes may be broadcast.
-MOST_BROADCAST_ROWS = 100_000
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Hashes of the different shingles; under five words, all words are the one shingle."""
-    hashes = text_hashes(text)
-    if len(hashes) < SHINGLE:
-        return run_hashes(hashes, len(hashes)) if len(hashes) else np.ones(1, dtype=np.uint64)
-    return np.unique(run_hashes(hashes, SHINGLE))
+def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, index of the text of each): a text's shingles, a cell for each time one
+    stands there.
 
-
-def dart_signatures(elements: list[np.ndarray], weights: list[np.ndarray] | None = None, k: int = COORDINATES) -> np.ndarray:
-    """One row of ``k`` coordinates per weighted set (all weights 1 if None)."""
-    n = len(elements)
+    A shingle of weight w owns the cells (shingle, 0) to (shingle, w - 1).  Of a text under
+    five words all words are the one shingle.  Cells are sorted within a text.
+    """
+    hashes = texts_hashes(texts)
+    sizes = np.array([len(h) for h in hashes], dtype=np.int64)
+    flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+    of = np.repeat(np.arange(len(texts)), sizes)
+    runs = run_hashes(flat, SHINGLE)
+    inside = of[: len(runs)] == of[len(flat) - len(runs) :]
+    short = np.flatnonzero(sizes < SHINGLE)
+    whole = [run_hashes(hashes[i], len(hashes[i]))[0] if len(hashes[i]) else np.uint64(1) for i in short]
+    runs, of = np.concatenate([runs[inside], np.array(whole, dtype=np.uint64)]), np.concatenate([of[: len(runs)][inside], short])
+    order = np.lexsort((runs, of))
+    runs, of = runs[order], of[order]
+    new = np.ones(len(runs), dtype=bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    time = np.arange(len(runs)) - np.repeat(first, np.diff(first, append=len(runs)))
+    cells = mix(runs + time.astype(np.uint64) * np.uint64(ODD))
+    order = np.lexsort((cells, of))
+    return cells[order], of[order]
+
+
+def regions(elements: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, index of the set of each, widths): regions of any width, cut into cells of
+    width 1, the last one narrower."""
+    cells, of, widths = [], [], []
+    for i, (element, weight) in enumerate(zip(elements, weights, strict=True)):
+        count = np.ceil(weight).astype(np.int64)
+        which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        cells.append(mix(np.repeat(element, count) + which.astype(np.uint64) * np.uint64(ODD)))
+        of.append(np.full(len(which), i))
+        widths.append(np.minimum(1.0, np.repeat(weight, count) - which))
+    return np.concatenate(cells), np.concatenate(of), np.concatenate(widths)
+
+
+def dart_signatures(cells: np.ndarray, of: np.ndarray, widths: np.ndarray | None = None, n: int | None = None, k: int = COORDINATES) -> np.ndarray:
+    """One row of ``k`` coordinates for each of the ``n`` weighted sets, given by cells in
+    order of ``of`` (all of width 1 if None)."""
+    n = int(of[-1]) + 1 if n is None else n
     signatures = np.full((n, k), np.iinfo(np.uint64).max, dtype=np.uint64)
-    if weights is None:
-        totals = np.array([len(e) for e in elements], dtype=float)
-    else:
-        totals = np.array([w.sum() for w in weights])
-    todo, darts = np.arange(n), k * (np.log(k) + 4)
-    while len(todo):
-        cells, widths, of = [], [], []
-        for i in todo:
-            if weights is None:
-                cells.append(elements[i])
-                of.append(np.full(len(elements[i]), i))
-            else:  # a region of width w is cut into cells of width 1, the last one narrower
-                count = np.ceil(weights[i]).astype(np.int64)
-                which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                cells.append(mix(np.repeat(elements[i], count) + which.astype(np.uint64)))
-                widths.append(np.minimum(1.0, np.repeat(weights[i], count) - which))
-                of.append(np.full(len(which), i))
-        seed, of = mix(np.concatenate(cells)), np.concatenate(of)
-        width = np.concatenate(widths) if widths else None
-        rank, last = np.zeros(len(seed)), darts / totals[of]
-        flat = signatures.reshape(-1)
+    flat = signatures.reshape(-1)
+    totals = np.bincount(of, weights=widths, minlength=n)
+    darts, todo = k * (np.log(k) + 4), np.ones(n, dtype=bool)
+    while todo.any():
+        chosen = todo[of]
+        seed, own = mix(cells[chosen]), of[chosen]
+        width = None if widths is None else widths[chosen]
+        rank, last = np.zeros(len(seed)), darts / totals[own]
         while len(seed):
-            seed = mix(seed + np.uint64(0x9E3779B97F4A7C15))
+            seed = mix(seed + np.uint64(ODD))
             rank = rank - np.log(((seed >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53)
             alive = rank <= last
-            seed, rank, last, of = seed[alive], rank[alive], last[alive], of[alive]
+            seed, rank, last, own = seed[alive], rank[alive], last[alive], own[alive]
             dart = mix(seed ^ np.uint64(0x5851F42D4C957F2D))
-            at = of * k + (dart >> np.uint64(32)).astype(np.int64) * k // (1 << 32)
+            at = own * k + (dart >> np.uint64(32)).astype(np.int64) * k // (1 << 32)
             value = (rank.view(np.uint64) & ~np.uint64(0xFFFFF)) | (dart & np.uint64(0xFFFFF))
             if width is not None:
                 width = width[alive]
                 inside = (mix(dart) >> np.uint64(11)).astype(float) * 2.0**-53 < width
                 at, value = at[inside], value[inside]
             np.minimum.at(flat, at, value)
-        todo = todo[(signatures[todo] == np.iinfo(np.uint64).max).any(axis=1)]
+        todo = (signatures == np.iinfo(np.uint64).max).any(axis=1) & (totals > 0)
         darts *= 2
     return signatures
 
@@ -91,174 +108,177 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     parts = signatures.reshape(len(signatures), bands, -1)
     h = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(parts.shape[2]):
-        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
+        h = mix(h * np.uint64(ODD) + parts[:, :, j])
     return h.view(np.int64)
 
 
-def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds to (uid, doc_id, digest, text) the bands and a byte per coordinate."""
-    known: dict[bytes, tuple] = {}
-    for batch in batches:
-        for at in range(0, len(batch), 256):
-            pdf = batch.iloc[at : at + 256]
-            fresh = {d: x for d, x in zip(pdf["digest"], pdf["text"], strict=True) if d not in known}
-            if len(known) > 20_000:
-                known, fresh = {}, dict(zip(pdf["digest"], pdf["text"], strict=True))
-            if fresh:
-                some = dart_signatures([shingle_set(x) for x in fresh.values()])
-                marks = (some & np.uint64(0xFF)).astype(np.uint8)
-                known.update((d, (h, m.tobytes())) for d, h, m in zip(fresh, band_hashes(some), marks, strict=True))
-            found = [known[d] for d in pdf["digest"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "digest": pdf["digest"].to_numpy(), "bands": [x[0] for x in found], "marks": [x[1] for x in found]})
-
-
-def estimate(equal_share: np.ndarray) -> np.ndarray:
-    """Similarity from the share of equal bytes, of which 1 in 256 agrees by chance."""
-    return (equal_share - 1 / 256) / (1 - 1 / 256)
-
-
-def bucket_pairs(nodes: np.ndarray, roots: np.ndarray, visits: np.ndarray, marks: np.ndarray) -> list[tuple[int, int, float]]:
-    """Pairs of a visitor and another node that may be similar and aren't connected yet,
-    by their components or by sure links found here."""
-    parent: dict[int, int] = {}
-
-    def root(r: int) -> int:
-        while parent.get(r, r) != r:
-            r = parent[r]
-        return r
-
-    sure, unsure = [], []
-    for v in np.flatnonzero(visits):
-        others = np.flatnonzero((roots != roots[v]) & (~visits | (nodes < nodes[v])))
-        similar = estimate((marks[others] == marks[v]).mean(axis=1))
-        for j, s in zip(others[similar >= SURELY_NOT], similar[similar >= SURELY_NOT], strict=True):
-            (sure if s >= SURELY else unsure).append((int(v), int(j), float(s)))
-    out = []
-    for some in (sure, unsure):
-        for v, j, s in some:
-            x, y = root(int(roots[v])), root(int(roots[j]))
-            if x != y:
-                out.append((int(nodes[v]), int(nodes[j]), s))
-                if some is sure:
-                    parent[x] = y
-    return out
-
-
-def compared_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of the bucket parts of one partition, which comes sorted by bucket and part."""
-    kept: list[pd.DataFrame] = []
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, parts, nodes, roots, visits = (pdf[c].to_numpy() for c in ("key", "part", "node", "root", "visits"))
-        marks = np.frombuffer(b"".join(pdf["marks"]), dtype=np.uint8).reshape(len(pdf), -1)
-        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(parts) != 0)) + 1
-        found: dict[tuple[int, int], float] = {}
-        for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            for a, b, s in bucket_pairs(nodes[lo:hi], roots[lo:hi], visits[lo:hi], marks[lo:hi]):
-                found[max(a, b), min(a, b)] = s
-        rows = [(a, b, s) for (a, b), s in found.items()]
-        return pd.DataFrame(rows, columns=["a", "b", "similar"]).astype({"a": "int64", "b": "int64", "similar": "float64"})
-
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        pdf = pd.concat([*kept, pdf], ignore_index=True)
-        last = (pdf["key"] == pdf["key"].iloc[-1]) & (pdf["part"] == pdf["part"].iloc[-1])
-        kept = [pdf[last]]
-        if not last.all():
-            yield pairs(pdf[~last])
-    if kept:
-        yield pairs(kept[0])
-
-
-@F.pandas_udf(T.DoubleType())
-def marks_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([float(estimate((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean())) for x, y in zip(a, b, strict=True)], dtype=float)
-
-
-def exact_shingles(text: str) -> frozenset:
-    words = words_of(text)
-    return frozenset(zip(*[words[i:] for i in range(SHINGLE)], strict=False)) if len(words) >= SHINGLE else frozenset([tuple(words)])
-
-
-@F.pandas_udf(T.DoubleType())
-def shingle_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    out, last, last_set = [], None, frozenset()
-    for x, y in zip(a, b, strict=True):
-        if y is not last and y != last:
-            last, last_set = y, exact_shingles(y)
-        s = exact_shingles(x)
-        common = len(s & last_set)
-        out.append(common / (len(s) + len(last_set) - common))
-    return pd.Series(out, dtype=float)
-
-
-def narrowed(big: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
-    """A semi or anti join; the small side is broadcast only if it has few rows when counted."""
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def banded(texts: pd.Series) -> pd.Series:
+    """Of each text the hashes of its bands."""
+    bands = []
+    for _, some in batches_of(texts.tolist()):
+        bands += list(band_hashes(dart_signatures(*weighted_shingles(some), n=len(some))))
+    return pd.Series(bands, dtype=object)
+
+
+def cells_of(texts: list[str]) -> Iterator[np.ndarray]:
+    """Each text's cells, sorted."""
+    for _, some in batches_of(texts):
+        cells, of = weighted_shingles(some)
+        yield from np.split(cells, np.searchsorted(of, np.arange(1, len(some))))
+
+
+def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether the weighted Jaccard similarity of two sets of sorted cells reaches the threshold."""
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) - 1e-9:
+        return False
+    common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return common >= threshold * (len(a) + len(b) - common) - 1e-9
+
+
+def compared(threshold: float):
+    """Links of the cells of one partition, which comes sorted, each cell's leader first."""
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leader, mine = None, np.zeros(0, np.uint64)
+        for pdf in batches:
+            found = []
+            for node, b, own in zip(pdf["node"].tolist(), pdf["b"].tolist(), cells_of(pdf["text"].tolist()), strict=True):
+                if node == b:
+                    leader, mine = b, own
+                elif b != leader:
+                    raise ValueError("a cell came without its leader")
+                elif similar(mine, own, threshold):
+                    found.append((node, b))
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return links
+
+
+def compared_parts(threshold: float):
+    """Links between the members of a part and those that visit it, enough to connect them.
+
+    A partition comes sorted, each part's members first; only these are held.
+    """
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, members, parent = None, [], {}
+
+        def root(r: int) -> int:
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        for pdf in batches:
+            found = []
+            columns = [pdf[c].tolist() for c in ("key", "part", "visits", "main", "node", "root")]
+            for key, part, visits, main, node, own_root, own in zip(*columns, cells_of(pdf["text"].tolist()), strict=True):
+                if (key, part) != at:
+                    at, members, parent = (key, part), [], {}
+                if not visits:
+                    members.append((node, own_root, main, own))
+                    continue
+                for other, other_root, is_main, cells in members:
+                    # of two that both visit, one comparison is enough
+                    if (is_main or node < other) and (x := root(own_root)) != (y := root(other_root)) and similar(cells, own, threshold):
+                        found.append((node, other))
+                        parent[x] = y
+            yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return links
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose texts are similar.
+
+    The texts of many a meet that of one b: by salted cells, each of which gets b's text
+    once, in front.  The salts grow with the session's partitions.  A task holds one text and
+    a batch of others, whatever a cell's size.
+    """
+    salts = max(256, 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cells = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).cast("int").alias("salt"))
+    rows = cells.select(F.col("a").alias("node"), "b", "salt").unionByName(cells.select(F.col("b").alias("node"), "b", "salt").distinct())
+    rows = rows.join(texts.select("node", "text"), "node").select("b", "salt", (F.col("node") != F.col("b")).alias("visits"), "node", "text")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "visits").drop("salt", "visits").mapInPandas(compared(threshold), "a long, b long")
+
+
+def narrowed(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """A semi join; the small side is broadcast only if it has few rows when counted."""
     few = small.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
-    return big.join(F.broadcast(small) if few else small, on, how)
+    return big.join(F.broadcast(small) if few else small, on, "left_semi")
+
+
+def listed_cells(threshold: float):
+    """Of texts their cells, and how many of the rarest two similar texts can't both miss."""
 
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, cells in zip(pdf["node"].tolist(), cells_of(pdf["text"].tolist()), strict=True):
+                prefix = len(cells) - int(np.ceil(threshold * len(cells) - 1e-9)) + 1
+                yield pd.DataFrame({"node": node, "prefix": prefix, "cell": cells.view(np.int64)})
 
-def checked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b, similar), the links (a, b)."""
-    sure = pairs.filter(F.col("similar") >= SURELY).select("a", "b")
-    unsure = pairs.filter((F.col("similar") >= SURELY_NOT) & (F.col("similar") < SURELY)).select("a", "b")
-    names = nodes.select("node", "digest")
-    named = materialize(unsure.join(names.toDF("a", "digest_a"), "a").join(names.toDF("b", "digest_b"), "b"))
-    wanted = materialize(named.select(F.explode(F.array("digest_a", "digest_b")).alias("digest")).distinct())
-    found = narrowed(texts, wanted, "digest", "left_semi").dropDuplicates(["digest"])
-    both = named.join(found.toDF("digest_a", "text_a"), "digest_a").join(found.toDF("digest_b", "text_b"), "digest_b")
-    return sure.unionByName(both.filter(shingle_similarity("text_a", "text_b") >= threshold).select("a", "b"))
+    return listed
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Links between different texts: enough of them to connect each class.
 
-    ``nodes``: node, digest, bands, marks; ``texts``: digest, text.  First all texts of a
-    bucket are compared with one leader (the smallest node in even bands, the largest in
-    odd ones), by joins that split hot keys.  That connects a group of copies without
-    pairs among them; more leaders, drawn at random, follow while they connect much.  Last,
-    in buckets that still hold several components, every text outside the bucket's main
-    component is compared with all texts of other components: it visits the parts of bounded
-    size that the bucket is cut into.
+    ``nodes``: node, text, bands.  In each round every bucket draws a leader, by an
+    order of all nodes, so that buckets with the same texts draw the same; each text meets
+    the leader of another component that it shares most buckets with.  A group of copies
+    is connected in few rounds, without pairs among its members.  Rounds go on while they
+    connect much of what is apart.
+
+    What is left, texts that share buckets but aren't similar to the leaders, is matched
+    by its rare shingles: two similar texts must share one among a fifth of each one's cells,
+    in order of how often a cell occurs there.  Texts of one template whose own words make up
+    that fifth thus don't meet again.  Those that do visit the parts of bounded size that
+    the cell's texts are cut into.
     """
-    marks = nodes.select("node", "marks")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"), (F.col("band") % 2 == 1).alias("odd"))
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).filter("size > 1")
-    rows = written(rows.join(sizes, "key"))
-    led = rows.select(F.col("node").alias("a"), F.when(F.col("odd"), F.col("high")).otherwise(F.col("low")).alias("b")).filter("a != b").distinct()
-    led = led.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
-    led = led.select("a", "b", marks_similarity("marks_a", "marks_b").alias("similar")).filter(F.col("similar") >= SURELY_NOT)
-    links = materialize(checked(materialize(led), nodes, texts, threshold))
-    rows, left = rows.select("node", "key", "size"), None
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("key"))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    rows = written(rows.join(shared, "key"))
+    texts = written(narrowed(nodes.select("node", "text"), materialize(rows.select("node").distinct()), "node"))
+    links, left, turn = None, None, 0
     while True:
-        labelled = rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # more leaders, while they connect much of what is left in mixed buckets: a random one
-        # of each bucket meets the texts of other components; other buckets are done with
-        chance = F.struct(F.xxhash64(F.lit(left or 0), "node", "key"), "node", "root")
-        drawn = labelled.groupBy("key").agg(F.min(chance).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2")
-        labelled = written(labelled.join(drawn.select("key", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key"))
-        rows = labelled.select("node", "key", "size")
-        apart = written(labelled.filter("root != b_root").select(F.col("node").alias("a"), "b").distinct())
-        now = apart.count()
+        labelled = rows.withColumn("root", F.col("node")) if links is None else rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        draw = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "root")
+        drawn = labelled.groupBy("key").agg(F.min(draw).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).filter("r1 != r2")
+        # buckets of one component are done with
+        labelled = written(joined_by_key(labelled, drawn.select("key", "size", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key", "size").drop("size"))
+        rows = labelled.select("node", "key")
+        apart = labelled.filter("root != b_root").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+        pairs = materialize(apart.groupBy("a").agg(F.max(F.struct("n", "b")).alias("most"), F.count(F.lit(1)).alias("met")).select("a", F.col("most.b").alias("b"), "met"))
+        now = pairs.agg(F.sum("met")).first()[0] or 0
         if now == 0 or (left is not None and now > 0.8 * left):
             break
-        left = now
-        met = apart.join(marks.toDF("a", "marks_a"), "a").join(marks.toDF("b", "marks_b"), "b")
-        met = materialize(met.select("a", "b", marks_similarity("marks_a", "marks_b").alias("similar")).filter(F.col("similar") >= SURELY_NOT))
-        links = materialize(links.unionByName(checked(met, nodes, texts, threshold)))
-
-    by_root = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    mixed = labelled.select("key", "node", "root", "size").join(mixed.select("key", F.col("main.root").alias("main")), "key").withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    mixed = mixed.withColumn("visits", F.col("root") != F.col("main"))
-    every = F.when(F.col("visits"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
-    placed = mixed.withColumn("part", F.explode(every)).select("key", "part", "node", "root", "visits").join(marks, "node")
-    pairs = placed.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInPandas(compared_buckets, "a long, b long, similar double")
-    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("similar").alias("similar")))
-    more = checked(pairs, nodes, texts, threshold)
-    return materialize(links.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        more = verified(pairs, texts, threshold)
+        links, left, turn = materialize(more if links is None else links.unionByName(more)), now, turn + 1
+    if now:
+        links = links.unionByName(rare_links(labelled.select("node", "root").distinct(), texts, threshold))
+    elif links is None:
+        links = pairs.select("a", "b")
+    return materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
+def rare_links(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of different roots, ``left`` (node, root), enough to connect
+    them: similar texts that share a rare cell."""
+    left = materialize(left)
+    cells = written(narrowed(texts.select("node", "text"), left.select("node"), "node").mapInPandas(listed_cells(threshold), "node long, prefix long, cell long"))
+    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    rarest = Window.partitionBy("node").orderBy("size", "cell")
+    rows = joined_by_key(cells, often, "cell", "size").withColumn("rank", F.row_number().over(rarest)).filter("rank <= prefix and size > 1").select(F.col("cell").alias("key"), "node")
+    rows = written(rows.join(left, "node"))
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).filter("roots > 1")
+    mixed = joined_by_key(rows, mixed.select("key", F.col("main.root").alias("main"), "size"), "key", "size").withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
+    mixed = mixed.withColumn("main", F.col("root") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    members = mixed.select("key", F.col("own").alias("part"), F.lit(False).alias("visits"), "main", "node", "root")
+    visitors = mixed.filter(~F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("visits"), "main", "node", "root")
+    placed = members.unionByName(visitors).join(texts, "node")
+    placed = placed.repartition("key", "part").sortWithinPartitions("key", "part", "visits", "node")
+    return materialize(placed.mapInPandas(compared_parts(threshold), "a long, b long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,16 +286,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds, which keep the edges in number and bring
     every node next to its root in few of them.  Minima are combined before the shuffle,
-    and the joins split hot nodes.
+    and hot nodes' rows stay where they are.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+        large = joined_by_key(both.filter("v > u"), least, "u", "size").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
+        small = joined_by_key(large, least, "u", "size").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -283,48 +303,46 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows has doc_id and digest of each row of ``docs``; classes has, for
-    each digest, class_id, class_size and first_digest, that of the class' first document.
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """For each different text digest, class_id, class_size, first_digest (that of the
+    class' first document) and copies.
 
     Copies of a text are one node from the start, however many there are.
     """
-    id_type = docs.schema[id_col].dataType
-    # ids travel as strings: pandas has no whole numbers beside nulls
-    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.md5("text")))
-    rows = materialize(texts.mapInPandas(signed, T.StructType([texts.schema["doc_id"], T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("marks", T.BinaryType())])).withColumn("doc_id", F.col("doc_id").cast(id_type)))
-    nodes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks"))
-    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    roots = components(similar_links(nodes, texts.select("digest", "text"), threshold))
-    placed = nodes.select("node", "digest", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), text_or_empty(quoted(text_col)).alias("text"))
+    nodes = rows.groupBy(text_digest(F.col("text")).alias("digest"), "text").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes.select("digest", "text", "first_id", "copies", banded("text").alias("bands"), F.monotonically_increasing_id().alias("node")))
+    roots = components(similar_links(nodes, threshold))
+    placed = materialize(nodes.select("node", "digest", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest"))
-    classes = placed.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"))
-    classes = placed.select("digest", "root").join(classes, "root").select("digest", F.col("first.first_id").alias("class_id"), "class_size", F.col("first.digest").alias("first_digest"))
-    return rows.select("doc_id", "digest"), classes
+    classes = placed.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("size"))
+    classes = joined_by_key(placed.select("digest", "root", "copies"), classes, "root", "size")
+    return materialize(classes.select("digest", F.col("first.first_id").alias("class_id"), "class_size", F.col("first.digest").alias("first_digest"), "copies"))
+
+
+def text_digest(text):
+    return F.unhex(F.sha2(text, 256))
 
 
 def near_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (smallest id of the class), class_size, kept; a row per row.
 
-    Null text counts as empty; texts without a word are alike.  A null id never names a
-    class unless all its ids are null.  Repeated rows are members of one class.  No rows
-    give none; other columns aren't read.
+    Null text counts as empty; texts without a word are alike, and those under five words
+    are similar only if their words are equal.  A null id never names a class unless all
+    its ids are null.  Repeated rows are members of one class.  No rows give none; other
+    columns aren't read, whatever their names.
     """
-    rows, classes = near_classes(docs, id_col, text_col, threshold)
+    classes = near_classes(docs, id_col, text_col, threshold)
+    rows = materialize(docs.select(quoted(id_col).alias("doc_id"), text_digest(text_or_empty(quoted(text_col))).alias("digest")))
     kept = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return rows.join(classes, "digest").select("doc_id", "class_id", "class_size", kept.alias("kept"))
+    return joined_by_key(rows, classes, "digest", "copies").select("doc_id", "class_id", "class_size", kept.alias("kept"))
 
 
 def near_keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each class, with all columns.  Rows that repeat both its id
     and its text stay too; exact dedup, which comes first, leaves none."""
-    names = docs.columns
-    _, classes = near_classes(docs, id_col, text_col, threshold)
-    classes = materialize(classes)
-    dropped = classes.filter("digest != first_digest").select("digest")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5(text_or_empty(text_col))).alias("digest"))
-    kept = narrowed(keyed, dropped, "digest", "left_anti")
-    copied = classes.filter((F.col("digest") == F.col("first_digest")) & (F.col("class_size") > 1)).select("digest", "class_id")
-    few = copied.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
-    kept = kept.join(F.broadcast(copied) if few else copied, "digest", "left").filter(F.col("class_id").isNull() | (F.col("id") == F.col("class_id")))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])
+    classes = near_classes(docs, id_col, text_col, threshold).filter("class_size > 1")  # others are kept as they are
+    keyed = docs.select(packed_row(docs).alias("row"), quoted(id_col).alias("id"), text_digest(text_or_empty(quoted(text_col))).alias("digest"))
+    judged = joined_by_key(keyed, classes, "digest", "copies", how="left")
+    kept = judged.filter(F.col("class_id").isNull() & F.col("first_digest").isNull() | (F.col("digest") == F.col("first_digest")) & F.col("id").eqNullSafe(F.col("class_id")))
+    return unpacked_row(kept, docs.columns)

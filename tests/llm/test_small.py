@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from revloom.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
+from revloom.llm import common, exact_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
 from revloom.llm.chat_format import chat_format
 from revloom.llm.shingles import text_hashes
 
@@ -116,10 +116,102 @@ def test_darts_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     keys = rng.integers(1, 2**63, 300).astype(np.uint64)
     a, b = rng.uniform(0.2, 3, 300), rng.uniform(0.2, 3, 300)
-    s = near_dedup.dart_signatures([keys, keys], [a, b], k=4000)
+    s = near_dedup.dart_signatures(*near_dedup.regions([keys, keys], [a, b]), k=4000)
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.04
-    s = near_dedup.dart_signatures([keys[:200], keys[100:]], k=4000)
+    s = near_dedup.dart_signatures(*near_dedup.regions([keys[:200], keys[100:]], [np.ones(200)] * 2), k=4000)
     assert abs((s[0] == s[1]).mean() - 100 / 300) < 0.04
+    # words in a text as often as their shingles weigh
+    texts = ["a b c d e f " * 20 + "x", "a b c d e f " * 10 + "x", None, "one two", " "]
+    s = near_dedup.dart_signatures(*near_dedup.weighted_shingles(texts), n=5, k=4000)
+    assert abs((s[0] == s[1]).mean() - weighted_jaccard(texts[0], texts[1])) < 0.04
+    assert (s[2] == s[4]).all() and not (s[2] == s[3]).any()
+
+
+def shingle_counts(text):
+    words = WORD.findall(text or "")
+    return collections.Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else collections.Counter([tuple(words)])
+
+
+def weighted_jaccard(a, b):
+    x, y = shingle_counts(a), shingle_counts(b)
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def brute_classes(rows, threshold=0.8):
+    """Smallest id of the class of each (id, text), by all pairs that share a shingle."""
+    texts = sorted({t or "" for _, t in rows})
+    counts = [shingle_counts(t) for t in texts]
+    where = collections.defaultdict(list)
+    for i, c in enumerate(counts):
+        for s in c:
+            where[s].append(i)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, c in enumerate(counts):
+        for j in {j for s in c for j in where[s] if j < i}:
+            common = sum((c & counts[j]).values())
+            if common >= threshold * (sum(c.values()) + sum(counts[j].values()) - common):
+                root[find(i)] = find(j)
+    at = {t: find(i) for i, t in enumerate(texts)}
+    first = {}
+    for i, t in rows:
+        r = at[t or ""]
+        first[r] = i if r not in first else min(first[r], i)
+    return {i: first[at[t or ""]] for i, t in rows}
+
+
+def test_near_classes_of_the_samples_like_all_pairs(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        want = brute_classes([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        got = {r.doc_id: r.class_id for r in near_dedup.near_dedup_report(docs).collect()}
+        assert got == want
+
+
+def test_near_classes_of_one_template_and_of_hot_groups(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    shared = [f"s{i}" for i in range(150)]
+    rows = []
+    for i in range(300):  # one template, 0.6 similar, no links; a chain of copies; exact copies
+        own = [f"o{i}x{k}" for k in range(48)]
+        rows.append((i, " ".join([*shared, *own])))
+    base = [f"b{i}" for i in range(200)]
+    for i in range(300, 500):
+        words = list(base)
+        words[int(rng.integers(0, 200))] = f"e{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(500 + i, "same text again and again here") for i in range(200)] + [(900, None), (901, "")]
+    rows.append((902, " ".join(f"l{i % 5000}" for i in range(60_000))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("node", "digest", "root", "a`b", "class_id")}).repartition(7)
+    want = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup_report(df).collect()} == want
+    monkeypatch.setattr(common, "MOST_BROADCAST_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST_ROWS", 5)
+    monkeypatch.setattr(near_dedup, "BUCKET_PART", 16)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_dedup_report(df).collect()} == want
+    kept = near_dedup.near_keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_rare_links_are_whole(spark):
+    rng = np.random.default_rng(6)
+    base = [f"b{i}" for i in range(100)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for k in rng.integers(0, 100, 4):
+            words[k] = f"z{rng.integers(0, 50)}"
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    links = near_dedup.rare_links(df.select("node", F.col("node").alias("root")), df, 0.8)
+    got = {r.node: r.root for r in near_dedup.components(links).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == brute_classes(list(enumerate(texts)))
 
 
 def test_components_of_a_long_chain(spark):
