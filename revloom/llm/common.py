@@ -76,6 +76,22 @@ def joined_by_key(big: DataFrame, small: DataFrame, key: str, size: str, how: st
     return big.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def salted_join(big: DataFrame, small: DataFrame, key: str, draw: Column, salts: int = 64) -> DataFrame:
+    """Left join of ``big``, a materialised table, to the rows of ``small``, one for a key, of
+    any width.  The keys with over a thousandth of the rows of ``big`` (under HOT_SHARE of
+    them, without their rows) are broadcast, to deal their rows over salts by ``draw``."""
+    sizes = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = big.count()
+    hot = materialize(sizes.filter(F.col("__n") * HOT_SHARE > total).select(key, F.lit(salts).alias("__salts")))
+
+    def dealt(df: DataFrame, salt) -> DataFrame:
+        return df.join(F.broadcast(hot), key, "left").withColumn("__salt", salt(F.coalesce("__salts", F.lit(1)))).drop("__salts")
+
+    spread = dealt(big, lambda n: F.pmod(draw, n).cast("int"))
+    copied = dealt(small, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    return spread.join(copied, [key, "__salt"], "left").drop("__salt")
+
+
 def quoted(name: str) -> Column:
     """The column of this very name, whatever characters are in it."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -229,9 +229,10 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is connected in few rounds, without pairs among its members.  Rounds go on while they
     connect much of what is apart.
 
-    What is left, texts that share buckets but aren't similar to the leaders, is matched
-    by its rare shingles: two similar texts must share one among a fifth of each one's cells,
-    in order of how often a cell occurs there.  Texts of one template whose own words make up
+    What is left, texts that share buckets but aren't similar to the leaders, is compared
+    inside buckets of up to BUCKET_PART texts.  The texts of larger ones are matched by rare
+    shingles first: two similar texts must share one among a fifth of each one's cells, in
+    order of how often a cell occurs there.  Texts of one template whose own words make up
     that fifth thus don't meet again.  Those that do visit the parts of bounded size that
     the cell's texts are cut into.
     """
@@ -245,7 +246,7 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         draw = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "root")
         drawn = labelled.groupBy("key").agg(F.min(draw).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).filter("r1 != r2")
         # buckets of one component are done with
-        labelled = written(joined_by_key(labelled, drawn.select("key", "size", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key", "size").drop("size"))
+        labelled = written(joined_by_key(labelled, drawn.select("key", "size", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key", "size"))
         rows = labelled.select("node", "key")
         apart = labelled.filter("root != b_root").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
         pairs = materialize(apart.groupBy("a").agg(F.max(F.struct("n", "b")).alias("most"), F.count(F.lit(1)).alias("met")).select("a", F.col("most.b").alias("b"), "met"))
@@ -255,7 +256,11 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = verified(pairs, texts, threshold)
         links, left, turn = materialize(more if links is None else links.unionByName(more)), now, turn + 1
     if now:
-        links = links.unionByName(rare_links(labelled.select("node", "root").distinct(), texts, threshold))
+        small, large = labelled.filter(F.col("size") <= BUCKET_PART), labelled.filter(F.col("size") > BUCKET_PART)
+        more = links_inside(small.select("key", "node", "root", "size"), texts, threshold)
+        if not large.isEmpty():
+            more = more.unionByName(rare_links(large.select("node", "root").distinct(), texts, threshold))
+        links = more if links is None else links.unionByName(more)
     elif links is None:
         links = pairs.select("a", "b")
     return materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -268,11 +273,16 @@ def rare_links(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     cells = written(narrowed(texts.select("node", "text"), left.select("node"), "node").mapInPandas(listed_cells(threshold), "node long, prefix long, cell long"))
     often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     rarest = Window.partitionBy("node").orderBy("size", "cell")
-    rows = joined_by_key(cells, often, "cell", "size").withColumn("rank", F.row_number().over(rarest)).filter("rank <= prefix and size > 1").select(F.col("cell").alias("key"), "node")
-    rows = written(rows.join(left, "node"))
+    rows = joined_by_key(cells, often, "cell", "size").withColumn("rank", F.row_number().over(rarest)).filter("rank <= prefix and size > 1").select(F.col("cell").alias("key"), "node", "size")
+    return links_inside(written(rows.join(left, "node")), texts, threshold)
+
+
+def links_inside(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between nodes of different roots that share a key; ``rows`` has key, node,
+    root and the key's size.  Nodes outside the key's largest root visit all its parts."""
     by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).filter("roots > 1")
-    mixed = joined_by_key(rows, mixed.select("key", F.col("main.root").alias("main"), "size"), "key", "size").withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
+    mixed = joined_by_key(rows.drop("size"), mixed.select("key", F.col("main.root").alias("main"), "size"), "key", "size").withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
     mixed = mixed.withColumn("main", F.col("root") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     members = mixed.select("key", F.col("own").alias("part"), F.lit(False).alias("visits"), "main", "node", "root")
     visitors = mixed.filter(~F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("visits"), "main", "node", "root")
