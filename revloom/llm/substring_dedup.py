@@ -2,16 +2,18 @@
 
 Every word position of the corpus starts a suffix.  Two suffixes share their first
 ``window`` words exactly if they lie below one internal node at that depth, so the trees
-are cut there: an edge is named by the fingerprint of its words, and a leaf is a set of
-suffixes that agree in all of them.
-
-Vertical partitioning keeps each subtree in memory.  The suffixes' first words are
-counted over the whole corpus, in a fixed number of classes; a class too large for one group is split by a longer
-prefix.  Documents travel in blocks, and a block sends a group the sorted fingerprints
-of its own suffixes there, each once, with a mark if it has the suffix twice.  A passage
-that stands in a third of all documents thus reaches its group once per block.  The
-group answers each block with one bit per fingerprint: whether the node has another leaf.
-Maximal repeats are the runs of positions below such nodes.
+are cut there: a leaf's path is named by fingerprints of its words, and its deep internal
+node is the interval of leaves, in the order of their paths, that agree in all of it.
+
+Vertical partitioning keeps each subtree in memory.  Suffixes go to a group by their first
+word; the classes of first words are counted over the whole corpus, and one too large for a group
+is split by the first eight words, or by the whole window where these are frequent too.
+Documents travel in blocks, and a block sends a group the sorted leaves of its own suffixes
+there, each once, with a mark if it has the suffix twice.  A passage that stands in a third
+of all documents thus reaches its group once per block.  The group answers each block with one
+bit per leaf: whether it lies below a node with another leaf.  Maximal repeats are the runs
+of positions below such nodes.  Groups and blocks grow with the root of the corpus, so that
+a message carries many suffixes at any size.
 """
 
 from __future__ import annotations
@@ -20,38 +22,50 @@ import hashlib
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revloom.llm.common import text_or_empty
-from revloom.llm.shingles import mix, run_hashes, text_hashes, words_of
+from revloom.llm.common import quoted, text_or_empty
+from revloom.llm.shingles import batches_of, mix, run_hashes, texts_hashes, words_of
 
 WINDOW = 35
 #: Words of the longer prefix that splits a large class.
 LONG_PREFIX = 8
-#: First words fall into this many classes; suffixes meant for one group; characters of
-#: text meant for one block of documents.
-PREFIX_CLASSES, GROUP_SUFFIXES, BLOCK_CHARS = 4096, 2_000_000, 6_000_000
+#: First words, and longer prefixes, fall into so many classes.
+PREFIX_CLASSES, LONG_CLASSES = 4096, 1 << 16
+#: Suffixes meant for one group, characters of text meant for one block of documents, and
+#: suffixes meant for one message: the first two grow where messages would be smaller.
+GROUP_SUFFIXES, BLOCK_CHARS, MESSAGE_SUFFIXES = 2_000_000, 6_000_000, 32
 
 
-def prefix_class(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(52)).astype(np.int64)
+def prefix_class(hashes: np.ndarray, classes: int = PREFIX_CLASSES) -> np.ndarray:
+    return (hashes >> np.uint64(65 - classes.bit_length())).astype(np.int64)
+
+
+def hashed_batches(texts: list[str]) -> Iterator[list[np.ndarray]]:
+    for _, some in batches_of(texts):
+        yield texts_hashes(some)
 
 
 def class_counter(window: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Suffixes per class of their first word, and characters, of a task's documents."""
-        counts, chars = np.zeros(PREFIX_CLASSES, dtype=np.int64), 0
+        """Suffixes per class of their first word and of their longer prefix, and characters,
+        of a task's documents."""
+        counts, longer, chars = np.zeros(PREFIX_CLASSES, dtype=np.int64), np.zeros(LONG_CLASSES, dtype=np.int64), 0
         for pdf in batches:
-            for text in pdf["text"]:
-                hashes = text_hashes(text)
-                chars += len(text)
-                if len(hashes) >= window:
-                    counts += np.bincount(prefix_class(hashes[: len(hashes) - window + 1]), minlength=PREFIX_CLASSES)
-        yield pd.DataFrame({"class": np.append(np.arange(PREFIX_CLASSES), -1), "n": np.append(counts, chars)})
+            chars += int(pdf["text"].str.len().sum())
+            for some in hashed_batches(pdf["text"].tolist()):
+                some = [h for h in some if len(h) >= window]
+                if some:
+                    counts += np.bincount(prefix_class(np.concatenate([h[: len(h) - window + 1] for h in some])), minlength=PREFIX_CLASSES)
+                    runs = np.concatenate([run_hashes(h, min(LONG_PREFIX, window))[: len(h) - window + 1] for h in some])
+                    longer += np.bincount(prefix_class(runs, LONG_CLASSES), minlength=LONG_CLASSES)
+        n = np.concatenate([counts, longer, [chars]])
+        yield pd.DataFrame({"class": np.arange(len(n)), "n": n})[n > 0]
 
     return count
 
@@ -79,19 +93,19 @@ def partition_table(counts: np.ndarray, group_suffixes: int) -> tuple[np.ndarray
 
 
 class Suffixes:
-    """Fingerprints of a block's suffixes, by group; the same on each call."""
+    """Leaves of a block's suffixes, by group; the same on each call."""
 
-    def __init__(self, texts: list[str], first: np.ndarray, parts: np.ndarray, width: int, window: int):
+    def __init__(self, texts: list[str], first: np.ndarray, parts: np.ndarray, hot: np.ndarray, width: int, window: int):
         lows, highs, groups = [], [], []
-        for text in texts:
-            hashes = text_hashes(text)
+        for hashes in chain.from_iterable(hashed_batches(texts)):
             if len(hashes) < window:
                 continue
             low = run_hashes(hashes, window)
             group = first[c := prefix_class(hashes[: len(low)])].copy()
             if (many := parts[c] > 1).any():
                 longer = run_hashes(hashes, min(LONG_PREFIX, window))[: len(low)]
-                group[many] += (longer[many] % parts[c][many].astype(np.uint64)).astype(np.int64)
+                longer = np.where(hot[prefix_class(longer, LONG_CLASSES)], low, longer)[many]
+                group[many] += (longer % parts[c][many].astype(np.uint64)).astype(np.int64)
             lows.append(low)
             groups.append(group)
             if width > 8:
@@ -144,10 +158,10 @@ def unpacked(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return low, high.view(np.uint64).ravel()
 
 
-def sender(first, parts, width: int, window: int):
+def sender(first, parts, hot, width: int, window: int):
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
         block = pdf["block"].iloc[0]
-        suffixes = Suffixes(ordered(pdf)["text"].tolist(), first, parts, width, window)
+        suffixes = Suffixes(ordered(pdf)["text"].tolist(), first, parts, hot, width, window)
         out = []
         for group, part in suffixes.by_group():
             twice = np.packbits(suffixes.leaf_size[part] > 1)
@@ -158,7 +172,8 @@ def sender(first, parts, width: int, window: int):
 
 
 def subtree(width: int):
-    """One group's nodes at the window's depth: which have a second leaf."""
+    """One group's subtree: its leaves in the order of their paths, and the internal nodes at
+    the window's depth as intervals of leaves."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         lows, highs = zip(*[unpacked(x, width) for x in pdf["prints"]], strict=True)
@@ -166,13 +181,12 @@ def subtree(width: int):
         twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=len(x)) for t, x in zip(pdf["twice"], lows, strict=True)]).astype(bool)
         order = np.lexsort((high, low)) if width > 8 else np.argsort(low, kind="stable")
         lo, hi = low[order], high[order]
-        same = (lo[1:] == lo[:-1]) & (hi[1:] == hi[:-1])
-        shared = np.zeros(len(lo), dtype=bool)
-        shared[1:] |= same
-        shared[:-1] |= same
+        # neighbours whose common prefix is shorter than the window bound the nodes
+        apart = np.flatnonzero((lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        node = np.concatenate([[0], apart])
+        leaves = np.diff(node, append=len(lo)) + np.maximum.reduceat(twice[order], node)
         repeated = np.empty(len(lo), dtype=bool)
-        repeated[order] = shared
-        repeated |= twice
+        repeated[order] = np.repeat(leaves > 1, np.diff(node, append=len(lo)))
         ends = np.cumsum([len(x) for x in lows])
         bits = [np.packbits(x).tobytes() for x in np.split(repeated, ends[:-1])]
         answer = pd.DataFrame({"block": pdf["block"], "group": pdf["group"], "n": [len(x) for x in lows], "repeated": bits})
@@ -194,14 +208,14 @@ def covered(starts: np.ndarray, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def remover(first, parts, width: int, window: int, keep_text: bool):
+def remover(first, parts, hot, width: int, window: int, keep_text: bool):
     def remove(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "removed"] + ["kept_text"] * keep_text
         if not len(docs):
             return pd.DataFrame(columns=columns)
         docs = ordered(docs)
         if len(answers):
-            suffixes = Suffixes(docs["text"].tolist(), first, parts, width, window)
+            suffixes = Suffixes(docs["text"].tolist(), first, parts, hot, width, window)
             leaves = np.zeros(len(suffixes.leaf_low), dtype=bool)
             told = {g: (n, r) for g, n, r in zip(answers["group"], answers["n"], answers["repeated"], strict=True)}
             for group, part in suffixes.by_group():
@@ -244,23 +258,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated rows and ids are documents of their own; an empty table gives no rows.
     """
     # ids travel as strings: pandas has no whole numbers beside nulls
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).cast("string").alias("doc_id"), text_or_empty(quoted(text_col)).alias("text"))
     counted = rows.select("text").mapInPandas(class_counter(window), "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
-    counts, chars = np.zeros(PREFIX_CLASSES, dtype=np.int64), 0
+    n = np.zeros(PREFIX_CLASSES + LONG_CLASSES + 1, dtype=np.int64)
     for r in counted:  # a row per class
-        if r["class"] >= 0:
-            counts[r["class"]] = r["n"]
-        else:
-            chars = r["n"]
+        n[r["class"]] = r["n"]
+    counts, longer, chars = n[:PREFIX_CLASSES], n[PREFIX_CLASSES:-1], int(n[-1])
+    suffixes = int(counts.sum())
+    least = math.isqrt(MESSAGE_SUFFIXES * suffixes)
+    group_suffixes = max(group_suffixes, least)
+    block_chars = max(block_chars, least * chars // max(suffixes, 1))
     first, parts, _ = partition_table(counts, group_suffixes)
-    width = fingerprint_bytes(int(counts.sum()))
+    hot = longer > suffixes // LONG_CLASSES * 4 + group_suffixes // 4
+    width = fingerprint_bytes(suffixes)
     blocks = max(1, math.ceil(chars / block_chars))
     # a hash of the row, so that copies of a text are dealt over all blocks
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    sent = dealt.groupBy("block").applyInPandas(sender(first, parts, width, window), "block long, group long, prints binary, twice binary")
+    sent = dealt.groupBy("block").applyInPandas(sender(first, parts, hot, width, window), "block long, group long, prints binary, twice binary")
     answers = sent.groupBy("group").applyInPandas(subtree(width), "block long, group long, n long, repeated binary")
     schema = "doc_id string, n_words long, n_removed long, kept_sha256 string, removed string" + ", kept_text string" * keep_text
-    cut = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(remover(first, parts, width, window, keep_text), schema)
+    cut = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(remover(first, parts, hot, width, window, keep_text), schema)
     return cut.withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
