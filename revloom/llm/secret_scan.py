@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revloom.llm.common import text_or_empty
+from revloom.llm.common import fresh_folder, materialize, quoted, salted_join, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -66,47 +66,82 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(triples, start, step, lambda a: a["out"])).otherwise(none)
 
 
-def scan_blobs(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+class Ledger:
+    """What was found in which blob by which rule version, as Parquet files in a folder.
+
+    A scan appends its rows in one commit; a scan that is run again, or two at once, may
+    append a pair twice with the same findings.
+    """
+
+    SCHEMA = f"blob string, rule string, findings {FINDINGS}"
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.append(spark.createDataFrame([], self.SCHEMA))
+
+    def append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(self.folder)
+
+    def read(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(self.folder).filter(F.col("rule").isin([r.key for r in rules]))
+
+
+def scan_blobs(blobs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows (blob, rule, findings) for the pairs of blob and rule version that
-    ``ledger`` (columns blob, rule) lacks.  ``blobs`` has distinct (blob, content)."""
-    if ledger is None:
-        todo = blobs.withColumn("done", F.array().cast("array<string>"))
-    else:
-        done = ledger.groupBy("blob").agg(F.collect_set("rule").alias("done"))
-        todo = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-        todo = todo.filter(F.size(F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.col("done"))) > 0)
+    ``ledger`` lacks.  ``blobs`` has distinct (blob, content)."""
+    done = ledger.groupBy("blob").agg(F.collect_set("rule").alias("done"))
+    todo = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
     per_rule = F.array(*[F.when(~F.array_contains("done", r.key), F.struct(F.lit(r.key).alias("rule"), matches(F.col("content"), r, i).alias("findings"))) for i, r in enumerate(rules)])
     return todo.select("blob", F.inline(F.filter(per_rule, lambda x: x.isNotNull())))
 
 
 def versions_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    content = text_or_empty(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), content.alias("content")).withColumn("blob", F.sha2("content", 256))
+    content = text_or_empty(quoted(text_col))
+    return docs.select(quoted(id_col).alias("doc_id"), content.alias("content")).withColumn("blob", F.sha2("content", 256))
 
 
-def scan_versions(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings per row of ``docs``, new ledger rows).
+def scan_versions(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Scan what ``ledger`` doesn't know of the versions in ``docs`` and add it.
 
-    Null text counts as empty and has no findings; repeated ids and texts give a row
-    each; an empty table gives none.  Only the id and text columns are read.  The result
-    has doc_id, blob and spans, an array in order of start, then of the rules.
+    A blob is reduced to one row by its address before it is shuffled, and only then met
+    with the ledger.
     """
-    versions = versions_of(docs, id_col, text_col)
-    blobs = versions.select("blob", "content").distinct()
-    fresh = scan_blobs(blobs, ledger, rules)
-    known = fresh if ledger is None else ledger.filter(F.col("rule").isin([r.key for r in rules])).select("blob", "rule", "findings").unionByName(fresh)
-    found = known.filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("spans"))
-    per_path = versions.select("doc_id", "blob").join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(FINDINGS)))
-    return per_path.select("doc_id", "blob", "spans"), fresh
+    blobs = versions_of(docs, id_col, text_col).groupBy("blob").agg(F.first("content").alias("content"))
+    ledger.append(scan_blobs(blobs, ledger.read(rules), rules))
+
+
+def findings(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, blob and spans, an array in order of start, then of the rules: what the ledger
+    has of each row of ``docs``.
+
+    Null text counts as empty and has no findings; repeated ids and texts give a row each;
+    an empty table gives none.  Only the id and text columns are read.  Paths that share
+    a hot blob are dealt over salts.
+    """
+    paths = materialize(versions_of(docs, id_col, text_col).select("doc_id", "blob"))
+    found = ledger.read(rules).filter(F.size("findings") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("findings"))).alias("spans"))
+    joined = salted_join(paths, found, "blob", F.xxhash64("doc_id"))
+    return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(FINDINGS)).alias("spans"))
+
+
+def arrivals_of(docs: DataFrame, arrivals: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """All rows of ``docs``, dealt over so many arrivals by a hash of the id."""
+    turn = F.pmod(F.xxhash64(quoted(id_col)), F.lit(arrivals))
+    return [docs.filter(turn == k) for k in range(arrivals)]
 
 
 def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Counts and span digests per document."""
-    found, _ = scan_versions(docs, ledger, rules)
+def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None, arrivals: int = 2) -> DataFrame:
+    """Counts and span digests per row of ``docs``, which come in so many arrivals: each is
+    scanned for what the ledger doesn't know yet, and the findings join all rows."""
+    spark = docs.sparkSession
+    ledger = ledger or Ledger(spark, fresh_folder(spark, "ledger"))
+    for part in arrivals_of(docs, arrivals):
+        scan_versions(part, ledger, rules)
+    found = findings(docs, ledger, rules)
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
