@@ -4,8 +4,8 @@ Rows are combined three times, each time comparing the whole normalised text and
 only its digest: inside a map task (the partial aggregate), among the rows of one
 (digest, salt) group, and among the salt winners of a digest.  A group of copies that
 holds a third of all rows thus reaches a reducer as at most one row per map task and
-salt.  The winners then go back to their rows by digest; texts leave the join unless
-two different texts really share a digest.
+salt.  The winners then go back to their rows by digest, hot digests by a broadcast of
+bounded size; texts leave the join unless two different texts really share a digest.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revloom.llm.common import materialize, text_or_empty
+from revloom.llm.common import joined_by_key, materialize, quoted, text_or_empty
 
 #: A lone space needs no replacement; every other white-space run becomes one space.
 RUNS_TO_REPLACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -38,12 +38,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``digest`` may be replaced, even by a colliding function: texts that differ are
     never merged, since every stage groups by the text as well.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("norm"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), normalised(quoted(text_col)).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     by_salt = salted.groupBy("digest", "salt", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     winners = by_salt.groupBy("digest", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    by_digest = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    by_digest = winners.groupBy("digest").agg(F.count(F.lit(1)).alias("texts"), F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
     by_digest = materialize(by_digest)
     clashing = by_digest.filter("texts > 1").select("digest")
 
@@ -51,7 +51,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
     sha = F.col("digest") if digest is sha256_digest else F.sha2("norm", 256)
-    plain = rows.select("doc_id", "digest", sha.alias("text_sha256")).join(by_digest.filter("texts = 1"), "digest")
+    narrow = materialize(rows.select("doc_id", "digest", sha.alias("text_sha256")))
+    plain = joined_by_key(narrow, by_digest.filter("texts = 1"), "digest", "group_size")
     if clashing.isEmpty():
         return result(plain)
     exact = winners.join(clashing, "digest", "left_semi")
@@ -60,19 +61,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The rows of ``docs`` without copies, with all their columns.
+    """The rows of ``docs`` without copies, with all their columns, of any type.
 
     Of equal texts the row with the smallest id stays (a null id counts as the largest);
-    of rows that repeat that id, one.  The text is a grouping key, so that a hot group is
-    combined before the shuffle; the row's other columns travel as one struct.
+    of rows that repeat that id, one, chosen by a hash of its other columns.  The text is a
+    grouping key, so that a hot group is combined before the shuffle; the row's other
+    columns travel as one struct.  An empty table gives an empty one.
     """
-    names = docs.columns
-    rest = [c for c in names if c != text_col]
-    row = F.struct(F.col(id_col).isNull().alias("k0"), F.col(id_col).alias("k1"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("k2"), F.col(text_col).alias("k3"))
-    keyed = docs.select(normalised(F.col(text_col)).alias("__norm"), row.alias("__row"))
-    keyed = keyed.withColumn("__digest", F.xxhash64("__norm")).withColumn("__salt", F.pmod(F.xxhash64("__row.k1"), F.lit(salts)).cast("int"))
-    keyed = keyed.withColumn("__row", F.struct("__row.k0", "__row.k1", "__row.k2", F.when(F.col("__row.k3").eqNullSafe(F.col("__norm")), F.lit(None).cast("string")).otherwise(F.col("__row.k3")).alias("k3"), (F.col("__row.k3").isNull()).alias("k4")))
-    first = keyed.groupBy("__digest", "__salt", "__norm").agg(F.min("__row").alias("__row"))
-    last = first.groupBy("__digest", "__norm").agg(F.min("__row").alias("__row"))
-    text = F.when(F.col("__row.k4"), F.lit(None).cast("string")).otherwise(F.coalesce(F.col("__row.k3"), F.col("__norm")))
-    return last.select(*[(text if c == text_col else F.col("__row.k2").getField(c)).alias(c) for c in names])
+    rest = [c for c in docs.columns if c != text_col]
+    text, norm = quoted(text_col), normalised(quoted(text_col))
+    other = F.struct(*[quoted(c).alias(c) for c in rest])
+    own = F.when(~text.eqNullSafe(norm), text)  # the text itself is carried only where it differs from the key
+    row = F.struct(other.alias("other"), own.alias("text"), text.isNull().alias("empty"))
+    place = F.struct(quoted(id_col).isNull().alias("k0"), quoted(id_col).alias("k1"), F.xxhash64(other.cast("string")).alias("k2"), own.alias("k3"))
+    keyed = docs.select(norm.alias("norm"), F.xxhash64(norm).alias("digest"), F.pmod(F.xxhash64(quoted(id_col)), F.lit(salts)).cast("int").alias("salt"), row.alias("row"), place.alias("place"))
+    first = keyed.groupBy("digest", "salt", "norm").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place"))
+    last = first.groupBy("digest", "norm").agg(F.min_by("row", "place").alias("row"))
+    back = F.when(~F.col("row.empty"), F.coalesce("row.text", "norm"))
+    return last.select(*[(back if c == text_col else F.col("row.other").getField(c)).alias(c) for c in docs.columns])

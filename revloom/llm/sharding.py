@@ -2,9 +2,11 @@
 
 Arrivals are appended as small immutable shards (Parquet files).  Compaction looks at the
 shards' sizes: those of one tier, when there are enough, are merged into files of the
-target size.  A reader sees what the newest manifest lists; a manifest is a new version,
+target size, and so on until no tier has enough.  A reader sees what the newest manifest lists; a manifest is a new version,
 written aside and put in place by one rename that fails if the version exists, so writers
-that race are told apart and readers never see half of a change.
+that race are told apart and readers never see half of a change.  That needs a file system
+whose rename is atomic, such as HDFS or a local one; an object store needs a committer of
+its own.
 
 The texts are never shuffled.  Spark's reader packs small files into read partitions of
 the target size, and each partition is written as one file.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass
@@ -43,7 +46,7 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    """Shards and manifests under ``root``, any folder that Hadoop's file systems reach."""
+    """Shards and manifests under ``root``, a folder of a Hadoop file system."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -106,26 +109,33 @@ class ShardStore:
             except CommitConflict:
                 continue
 
-    def due(self, shards: list[Shard], target: int, factor: int = TIER_FACTOR, least: int = TIER_SHARDS) -> list[Shard]:
-        """Shards to merge: of tiers below the target that hold ``least`` or more."""
+    def due(self, shards: list[Shard], target: int, factor: int = TIER_FACTOR, least: int = TIER_SHARDS) -> list[list[Shard]]:
+        """Shards to merge, by tier: of tiers below the target that hold ``least`` or more."""
         tiers = defaultdict(list)
         for s in shards:
             if s.bytes * 2 <= target:
                 tiers[s.tier(factor)].append(s)
-        return [s for same in tiers.values() if len(same) >= least for s in same]
+        return [tiers[k] for k in sorted(tiers) if len(tiers[k]) >= least]
 
     def compact(self, target: int = TARGET_BYTES) -> int:
-        """Merge what is due into files of about ``target`` bytes; returns the version.
+        """Merge runs of similar size into files of about ``target`` bytes, one tier after the
+        other and until nothing is due; returns the version.
 
         If another writer commits meanwhile, what it added is kept; if it removed a shard
         that was merged here, the merge is dropped.
         """
-        base = self.version()
-        chosen = self.due(self.shards(base), target)
-        if not chosen:
-            return base
+        while True:
+            tiers = self.due(self.shards(), target)
+            if not tiers:
+                return self.version()
+            before = len(self.shards())
+            version = self._merge(tiers[0], target)
+            if len(self.shards(version)) >= before:  # nothing became fewer
+                return version
+
+    def _merge(self, chosen: list[Shard], target: int) -> int:
         generation = 1 + max(s.generation for s in chosen)
-        folder = f"shards/g{generation}-{uuid.uuid4().hex}"
+        folder = f"shards/g{generation}-t{chosen[0].tier()}-{uuid.uuid4().hex}"
         settings = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
         before = {k: self.spark.conf.get(k, None) for k in settings}
         try:
@@ -150,10 +160,14 @@ class ShardStore:
         shards = self.shards() if shards is None else shards
         return self.spark.read.parquet(*[f"{self.root}/{s.path}" for s in shards])
 
-    def vacuum(self) -> int:
-        """Delete shards that no manifest lists any more except older ones; returns how many."""
-        live = {s.path.split("/")[1] for s in self.shards()}
-        gone = [f.getPath() for f in self._fs.listStatus(self._path(f"{self.root}/shards")) if f.getPath().getName() not in live]
+    def vacuum(self, keep_versions: int = 1, older_than: float = 7 * 86_400.0) -> int:
+        """Delete folders of shards that none of the newest ``keep_versions`` manifests lists,
+        if they were last changed over ``older_than`` seconds ago: younger ones may belong to
+        a writer that hasn't committed yet.  Returns how many."""
+        newest = self.version()
+        live = {s.path.split("/")[1] for v in range(max(1, newest - keep_versions + 1), newest + 1) for s in self.shards(v)}
+        before = (time.time() - older_than) * 1000
+        gone = [f.getPath() for f in self._fs.listStatus(self._path(f"{self.root}/shards")) if f.getPath().getName() not in live and f.getModificationTime() <= before]
         for path in gone:
             self._fs.delete(path, True)
         return len(gone)
@@ -175,11 +189,13 @@ def sharded(docs: DataFrame, root: str | None = None, target: int = TARGET_BYTES
     store.append(docs, rows)
     store.compact(target)
     file = F.col("_metadata")
-    generation = F.regexp_extract(file["file_path"], r"/g(\d+)-[0-9a-f]+/[^/]+$", 1).cast("int")
+    generation = F.regexp_extract(file["file_path"], r"/g(\d+)-[^/]+/[^/]+$", 1).cast("int")
     return store.read().select("*", file["file_name"].alias("shard"), file["file_size"].alias("shard_bytes"), generation.alias("generation"))
 
 
 def sharding_report(docs: DataFrame, root: str | None = None) -> DataFrame:
-    """doc_id, shard_bytes, generation and the text's digest, one row per document."""
+    """doc_id, the text's digest, and shard (the file's number in its run), shard_bytes and
+    generation, one row per document."""
     back = sharded(docs, root)
-    return back.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", "shard_bytes", "generation")
+    number = F.regexp_extract("shard", r"^part-(\d+)-.*?(-c\d+)?\.", 1).cast("int")
+    return back.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), number.alias("shard"), "shard_bytes", "generation")
