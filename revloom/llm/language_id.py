@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revloom.llm.common import materialize
+from revloom.llm.common import MOST_BROADCAST_ROWS, materialize, quoted
 
 #: The model's parameters, all independent of the corpus' size: letters in an n-gram,
-#: labelled rows a language is fitted on (expected number), most n-grams of a language, the
-#: share of the largest language's frequency that an n-gram needs to enter another
-#: language's filter, and the labelled rows below which n-grams seen once count too.
-GRAM, TRAINING_ROWS, MOST_GRAMS, RELATIVE, FEW_ROWS = 4, 3000, 40_000, 0.25, 100
+#: labelled rows a language is fitted on (expected number), the share of the largest
+#: language's frequency that an n-gram needs to enter another language's filter, and the
+#: labelled rows below which n-grams seen once count too.
+GRAM, TRAINING_ROWS, RELATIVE, FEW_ROWS = 4, 3000, 0.25, 100
 HASHES = 3
 CHUNK = 1 << 20
 
@@ -153,25 +153,31 @@ def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n.astype(np.int64)})
 
 
+def with_languages(rows: DataFrame, per_language: DataFrame) -> DataFrame:
+    """Join to a table of one narrow row per language, broadcast if it has few when counted."""
+    few = per_language.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    return rows.join(F.broadcast(per_language) if few else per_language, "lang")
+
+
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", training_rows: int = TRAINING_ROWS) -> BitmaskFilters:
     """Filters from rows with a text and a language.
 
     Of each language about ``training_rows`` rows are read, chosen by a hash of id and
     text; all rows are counted to set the shares.  Every language is learned.  The n-gram
-    counts are summed on the cluster; at most MOST_GRAMS of each language come to the driver.
+    counts are summed on the cluster; what comes to the driver is the model, the n-grams that
+    the bounded sample has twice or more, 8 bytes each.
     """
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = labelled.filter(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
     sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))  # a row per language
     share = F.least(F.lit(1.0), F.lit(float(training_rows)) / F.col("rows"))
     drawn = F.shiftrightunsigned(F.xxhash64("doc_id", F.length("text")), 11).cast("double") * F.lit(2.0**-53)
-    sample = rows.join(F.broadcast(sizes), "lang").filter(drawn < share).select("lang", "text")
+    sample = with_languages(rows, sizes).filter(drawn < share).select("lang", "text")
     counted = sample.mapInPandas(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = materialize(counted)
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.join(F.broadcast(total.join(sizes, "lang")), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rated = with_languages(counted, materialize(total.join(sizes, "lang"))).withColumn("rate", F.col("n") / F.col("total"))
     top = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= RELATIVE * F.col("most")) & ((F.col("n") > 1) | (F.col("rows") < FEW_ROWS)))
-    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= MOST_GRAMS)
-    pdf = ranked.select("lang", "gram").toPandas()
+    pdf = top.select("lang", "gram").toPandas()
     return BitmaskFilters.of({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in pdf.groupby("lang")})
 
 
@@ -184,7 +190,7 @@ def predict(docs: DataFrame, filters: BitmaskFilters, text_col: str = "text") ->
         languages, scores = shared.value.predict([x or "" for x in texts])
         return pd.DataFrame({"lang": languages, "score": scores})
 
-    return docs.withColumn("guess", guess(F.col(text_col)))
+    return docs.withColumn("guess", guess(quoted(text_col)))
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -194,7 +200,7 @@ def language_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without an id (``held_out`` is then false), text or language.  Null texts and those without a letter
     are ``und`` with score 0, as is every text if nothing could be learned.
     """
-    fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
+    fold = F.pmod(F.crc32(quoted(id_col).cast("string").cast("binary")), F.lit(4))
     filters = fit(docs.filter(fold != 2), text_col, lang_col, id_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(quoted(id_col).alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"), quoted(text_col).alias("text"))
     return predict(rows, filters).select("doc_id", "held_out", F.col("guess.lang").alias("lang_pred"), F.col("guess.score").alias("score"))

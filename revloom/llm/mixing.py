@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revloom.llm.common import materialize, text_or_empty, word_count
+from revloom.llm.common import materialize, packed_row, quoted, text_or_empty, unpacked_row, word_count
 
 #: Weights of the sources in code-point order, repeating.
 SOURCE_WEIGHTS = (3.0, 1.0, 2.0)
@@ -22,8 +22,9 @@ SOURCE_WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST_EPOCHS = 1.5, 2.0
 #: Quality weights lie between this and 1, which bounds a bucket's share of the documents.
 LEAST_QUALITY = 0.25
-#: Documents meant for one bucket, and the most buckets of a source.
-BUCKET_ROWS, MOST_BUCKETS = 256, 65536
+#: Documents meant for one bucket; above so many buckets of a source, buckets and their
+#: documents both grow with the root of the source.
+BUCKET_ROWS, MANY_BUCKETS = 256, 65536
 #: Sources that may be broadcast: at most so many rows of about 100 bytes.
 MOST_BROADCAST_ROWS = 20_000
 SYMBOLS = r"[#*$%&|<>]+"
@@ -72,8 +73,9 @@ def with_small(big: DataFrame, small: DataFrame, condition: Column) -> DataFrame
 
 
 def keyed_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, *keep: Column) -> DataFrame:
-    size = word_count(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(text_col).alias("tie"), quality_weight(F.col(text_col), size).alias("quality"), *keep)
+    text = quoted(text_col)
+    size = word_count(text)
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), size.alias("size"), F.xxhash64(text).alias("tie"), quality_weight(text, size).alias("quality"), *keep)
     return rows.withColumn("key", exponential_key(F.struct("doc_id", "tie"), F.col("quality"), seed)).drop("quality")
 
 
@@ -92,7 +94,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     targets = source_targets(sizes, weights, share, most_epochs)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("left_over", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    targets = targets.withColumn("buckets", F.least(F.lit(MOST_BUCKETS), F.ceil(F.col("docs") / BUCKET_ROWS))).drop("docs").withColumnRenamed("source", "target_source")
+    targets = targets.withColumn("buckets", F.least(F.greatest(F.lit(MANY_BUCKETS), F.ceil(F.sqrt("docs"))), F.ceil(F.col("docs") / BUCKET_ROWS))).drop("docs").withColumnRenamed("source", "target_source")
     placed = with_small(rows, materialize(targets), F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
     # the density of documents along this scale is at most 1 / LEAST_QUALITY times its mean
     scale = 1.0 - F.exp(-F.col("key") * LEAST_QUALITY)
@@ -118,15 +120,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of ``docs``, each as often as the mix takes it, with the same columns.
 
     What the fraction takes of a source is what comes up to one place in its key order, so
-    the texts needn't move: each row compares its key with its source's last one.
+    the texts needn't move: each row compares its key with its source's last one.  Rows
+    that repeat both id and text share a key and are taken alike.  Null texts and sources,
+    repeated rows and empty tables are as in ``mixture``.
     """
-    names = docs.columns
     mixed = mixture(docs, id_col, text_col, source_col, seed=seed, whole_documents=True, **options)
     place = F.struct("key", "doc_id", "tie")
     ends = mixed.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("taken") > F.col("epochs") * F.col("size"), place)).alias("last"))
     ends = materialize(ends.select(F.col("source").alias("end_source"), "epochs", "last"))
-    rows = keyed_rows(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    rows = keyed_rows(docs, id_col, text_col, source_col, seed, packed_row(docs).alias("row"))
     placed = with_small(rows, ends, F.col("source").eqNullSafe(F.col("end_source")))
     copies = F.col("epochs") + F.when(place <= F.col("last"), 1).otherwise(0)
     repeated = placed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    return repeated.select(*[F.col("row").getField(c).alias(c) for c in names])
+    return unpacked_row(repeated, docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revloom.llm.common import materialize
+from revloom.llm.common import materialize, packed_row, quoted, unpacked_row
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -184,17 +184,17 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have no words and fail the base conditions; repeated rows and
     ids get a row each; an empty table gives none; other columns are not read.
     """
-    featured = docs.select(F.col(id_col).alias("doc_id"), text_features(F.col(text_col)).alias("f")).select("doc_id", "f.*")
+    featured = docs.select(quoted(id_col).alias("doc_id"), text_features(quoted(text_col)).alias("f")).select("doc_id", "f.*")
     voted = materialize(with_votes(featured, rules))
     probability, _ = posteriors(voted, len(rules))
     return verdict(voted, probability, threshold).drop("pattern")
 
 
 def quality_filtered(docs: DataFrame, text_col: str = "text", rules: tuple[VotingRule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that the model keeps, with the same columns."""
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), text_features(F.col(text_col)).alias("f")).select("row", "f.*")
+    """The rows of ``docs`` that the model keeps, with the same columns: null, empty and
+    short texts go, repeated rows are judged alike, and an empty table gives an empty one."""
+    rows = docs.select(packed_row(docs).alias("row"), text_features(quoted(text_col)).alias("f")).select("row", "f.*")
     voted = with_votes(rows, rules)
     probability, _ = posteriors(voted, len(rules))
     kept = verdict(voted, probability, threshold).filter("kept")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])
+    return unpacked_row(kept, docs.columns)

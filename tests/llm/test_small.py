@@ -78,6 +78,43 @@ def test_substring_dedup(docs):
     assert texts[6] == "one two three" and texts[7] == "before after"
 
 
+def repeats_by_brute_force(rows, window=35):
+    """(doc_id, n_words, n_removed, kept_sha256) of each (id, text), sorted."""
+    words = [(i, WORD.findall(t or "")) for i, t in rows]
+    seen = collections.Counter(tuple(w[k : k + window]) for _, w in words for k in range(len(w) - window + 1))
+    want = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] > 1:
+                gone[k : k + window] = [True] * window
+        want.append((i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_substring_dedup_of_the_samples_and_of_hot_prefixes(spark, monkeypatch):
+    report = lambda df, **options: sorted(map(tuple, substring_dedup.remove_repeats(df, **options).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    assert report(docs) == repeats_by_brute_force([tuple(r) for r in docs.collect()])
+    heading = " ".join(f"h{i}" for i in range(34))
+    rows = [(i, f"{heading} own{i} " + " ".join(f"d{i % 40}x{k}" for k in range(50))) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "MESSAGE_SUFFIXES", 0)
+    assert report(df, group_suffixes=200, block_chars=4000) == repeats_by_brute_force(rows)
+
+
+def test_words_that_agree_in_polynomials(spark):
+    rows = []
+    for n in (64, 1024, 2048, 4096):
+        a, b = "a", "b"
+        while len(a) < n:
+            a, b = a + b, b + a
+        rest = [" ".join(f"r{n}x{i}" for i in range(20)), " ".join(f"r{n}y{i}" for i in range(20))]
+        rows += [(2 * n, f"{rest[0]} {a} {rest[1]}"), (2 * n + 1, f"{rest[0]} {b} {rest[1]}")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0] * 8
+
+
 def test_wide_fingerprints(monkeypatch, docs):
     plain = sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str)
     monkeypatch.setattr(substring_dedup, "fingerprint_bytes", lambda n: 13)
@@ -93,14 +130,41 @@ def test_secret_spans(docs):
     assert got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
-def test_ledger_scans_only_new_pairs(spark, docs):
-    _, first = secret_scan.scan_versions(docs)
-    _, again = secret_scan.scan_versions(docs, first)
-    assert first.count() == 3 * len({t or "" for _, t in TEXTS}) and again.count() == 0
+def base_spans(text):
+    text, out = text or "", []
+    rules = (("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", r"AKIA[A-Z0-9]+", 0, 16), ("hex", r"[0-9a-f]+", 0, 32))
+    for rank, (kind, pattern, group, least) in enumerate(rules):
+        out += [(m.start(), rank, m.end(), kind) for m in re.finditer(pattern, text, re.ASCII) if len(m[group]) >= least]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_secret_spans_of_the_samples_like_plain_search(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = [(9001, "tok token=a.b TOKEN : 'ABCDEFGH' AKIA" + "Z9" * 20 + " x" + "f" * 31 + " " + "f" * 33), (9002, "apikey=12345678 api_key='secret=12345678' \U0001f600 password:x secret=" + "q" * 5000), (9003, None)]
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = {r.doc_id: base_spans(r.text) for r in docs.collect()}
+    got = {r.doc_id: r for r in secret_scan.secret_report(docs).collect()}
+    assert {i: r.base_sha256 for i, r in got.items()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
+    assert all(r.spans == want[i] and r.n_hex == want[i].count("hex:") for i, r in got.items())
+
+
+def test_ledger_scans_only_new_pairs(spark, docs, tmp_path):
+    ledger = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+    secret_scan.scan_versions(docs, ledger)
+    first = ledger.read().count()
+    assert first == 3 * len({t or "" for _, t in TEXTS})
+    older = docs.withColumn("text", F.concat("text", F.lit(" token=abcdefgh"))).filter("doc_id = 2")
+    secret_scan.scan_versions(docs, secret_scan.Ledger(spark, str(tmp_path / "ledger")))  # opened again
+    secret_scan.scan_versions(older.unionByName(docs), ledger)
+    assert ledger.read().count() == first + 3
     newer = (secret_scan.Rule("hex", "2", r"[0-9a-f]{16,}"), *secret_scan.RULES[:2])
-    found, fresh = secret_scan.scan_versions(docs, first, newer)
-    assert {r.rule for r in fresh.collect()} == {"hex@2"}
-    assert {s.kind for r in found.collect() for s in r.spans} == {"assign", "access", "hex"}
+    secret_scan.scan_versions(docs, ledger, newer)
+    added = ledger.read(newer).filter("rule = 'hex@2'").count()
+    assert added == first // 3 and ledger.read().count() == first + 3
+    found = secret_scan.findings(docs.unionByName(older), ledger, newer)
+    assert {s.kind for r in found.collect() for s in r.spans} == {"assign", "access", "hex"} and found.count() == docs.count() + 1
+    parts = [p.count() for p in secret_scan.arrivals_of(docs, 2)]
+    assert sum(parts) == docs.count() and min(parts) > 0
 
 
 def test_near_classes(spark):
@@ -326,14 +390,54 @@ def test_shards(spark, docs, tmp_path):
         store.append(docs.filter(F.coalesce("size", F.lit(0)) % 6 == part).coalesce(1))
     before = store.version()
     assert before == 6 and len(store.shards()) == 6
-    assert store.compact(1 << 20) == 7 and len(store.shards()) < 6 and len(store.shards(6)) == 6
+    assert store.compact(1 << 20) >= 7 and len(store.shards()) < 6 and len(store.shards(6)) == 6
     assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
     with pytest.raises(sharding.CommitConflict):
         store.commit([], 3)
-    assert store.vacuum() > 0 and store.read().count() == len(TEXTS)
+    docs.write.parquet(str(tmp_path / "store/shards/g0-of-another-writer"))  # not committed yet
+    assert store.vacuum() == 0 and store.vacuum(keep_versions=99, older_than=-60) == 1
+    assert store.vacuum(older_than=-60) > 0 and store.read().count() == len(TEXTS)
     assert sharding.sharded(docs).count() == len(TEXTS)
 
 
+def test_tiers_are_merged_one_by_one(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    shard = lambda size, n: sharding.Shard(f"shards/g0-x/{size}-{n}", size, 0)
+    shards = [shard(10, i) for i in range(4)] + [shard(1000, i) for i in range(5)] + [shard(5000, i) for i in range(3)] + [shard(90_000, i) for i in range(9)]
+    assert [[s.bytes for s in t] for t in store.due(shards, 100_000)] == [[10] * 4, [1000] * 5]
+    rows = spark.range(4000).selectExpr("id", "sha2(cast(id as string), 256) as text", "1 as shard", "'a' as generation", "2 as `a``b`")
+    for k in range(5):
+        store.append(rows.filter(F.col("id") % 5 == k).coalesce(1), 100)
+    store.compact(1 << 16)
+    assert not store.due(store.shards(), 1 << 16) and store.read().count() == 4000
+    back = sharding.sharded(rows, target=1 << 16, rows=300)
+    assert {"docs_shard", "docs_generation", "shard", "shard_bytes", "a`b"} <= set(back.columns)
+    assert sorted(r.id for r in back.select("id").collect()) == list(range(4000))
+
+
+def test_report_of_shards_keeps_texts(spark, docs):
+    got = sorted((str(r.doc_id), r.text_sha256) for r in sharding.sharding_report(docs).collect())
+    assert got == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in TEXTS)
+
+
+def test_odd_columns(spark, docs):
+    """Maps, names with marks in them and names of helper columns don't disturb."""
+    odd = docs.withColumns({"a`b": F.create_map(F.lit("k"), F.lit(1)), "row": F.lit("r"), "digest": F.lit(1), "norm": F.array(F.lit(2)), "key": F.lit(3), "f": F.lit(4)})
+    for keep in (exact_dedup.keep_one, near_dedup.near_keep_one, mixing.mixed_documents, lambda d: quality.quality_filtered(d, threshold=0.0)):
+        kept = keep(odd)
+        assert kept.columns == odd.columns and all(r["a`b"] == {"k": 1} for r in kept.collect())
+    assert exact_dedup.keep_one(odd).count() == 11
+
+
+def test_reports_without_rows_of_small_tables(monkeypatch, docs):
+    """Hot and other keys, told apart, give what a broadcast gives."""
+    plain = sorted(map(str, exact_dedup.exact_dedup(docs).collect()))
+    monkeypatch.setattr(common, "MOST_BROADCAST_ROWS", 0)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs).collect())) == plain
+    monkeypatch.setattr(common, "HOT_SHARE", 5)
+    assert sorted(map(str, exact_dedup.exact_dedup(docs).collect())) == plain
+
+
 @pytest.mark.parametrize("report", [exact_dedup.exact_dedup, exact_dedup.keep_one, substring_dedup.substring_report, secret_scan.secret_report, near_dedup.near_dedup_report, near_dedup.near_keep_one, mixing.mixture_report, mixing.mixed_documents, packing.packed_documents, quality.quality_report, quality.quality_filtered, language_id.language_report, sharding.sharding_report])
 def test_empty_tables(nothing, report):
     assert report(nothing).count() == 0
