@@ -64,7 +64,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     """The rows of ``docs`` without copies, with all their columns, of any type.
 
     Of equal texts the row with the smallest id stays (a null id counts as the largest);
-    of rows that repeat that id, one, chosen by a hash of its other columns.  The text is a
+    of rows that repeat that id, one, chosen by a hash of what else is in them.  The text is a
     grouping key, so that a hot group is combined before the shuffle; the row's other
     columns travel as one struct.  An empty table gives an empty one.
     """
@@ -73,7 +73,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     other = F.struct(*[quoted(c).alias(c) for c in rest])
     own = F.when(~text.eqNullSafe(norm), text)  # the text itself is carried only where it differs from the key
     row = F.struct(other.alias("other"), own.alias("text"), text.isNull().alias("empty"))
-    place = F.struct(quoted(id_col).isNull().alias("k0"), quoted(id_col).alias("k1"), F.xxhash64(other.cast("string")).alias("k2"), own.alias("k3"))
+    place = F.struct(quoted(id_col).isNull().alias("k0"), quoted(id_col).alias("k1"), F.xxhash64(other.cast("string"), own).alias("k2"))
     keyed = docs.select(norm.alias("norm"), F.xxhash64(norm).alias("digest"), F.pmod(F.xxhash64(quoted(id_col)), F.lit(salts)).cast("int").alias("salt"), row.alias("row"), place.alias("place"))
     first = keyed.groupBy("digest", "salt", "norm").agg(F.min_by("row", "place").alias("row"), F.min("place").alias("place"))
     last = first.groupBy("digest", "norm").agg(F.min_by("row", "place").alias("row"))

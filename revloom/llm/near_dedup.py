@@ -30,7 +30,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 7
 COORDINATES = BANDS * ROWS
 #: Texts of a bucket that are compared inside one task.
-BUCKET_PART = 256
+BUCKET_PART = 2048
+#: Leaders that a text meets in a round; rounds go on while the rows in open buckets fall to
+#: this share or below.
+LEADERS, GOING_ON = 4, 0.95
 
 
 def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +158,30 @@ def compared(threshold: float):
     return links
 
 
+class Members:
+    """Nodes of a part, and how many cells another set has in common with each."""
+
+    def __init__(self):
+        self.nodes, self.roots, self.cells, self.index = [], [], [], None
+
+    def add(self, node: int, root: int, cells: np.ndarray) -> None:
+        for values, value in zip((self.nodes, self.roots, self.cells), (node, root, cells), strict=True):
+            values.append(value)
+
+    def similar_to(self, own: np.ndarray, threshold: float) -> np.ndarray:
+        if self.index is None:
+            sizes = np.array([len(c) for c in self.cells], dtype=np.int64)
+            flat = np.concatenate([*self.cells, np.zeros(0, np.uint64)])
+            order = np.argsort(flat)
+            self.index, self.cells = (flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes), []
+        flat, owner, sizes = self.index
+        low, high = np.searchsorted(flat, own), np.searchsorted(flat, own, side="right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sizes))
+        return np.flatnonzero(common >= threshold * (sizes + len(own) - common) - 1e-9)
+
+
 def compared_parts(threshold: float):
     """Links between the members of a part and those that visit it, enough to connect them.
 
@@ -162,7 +189,7 @@ def compared_parts(threshold: float):
     """
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, members, parent = None, [], {}
+        at, members, parent = None, Members(), {}
 
         def root(r: int) -> int:
             while parent.get(r, r) != r:
@@ -171,17 +198,17 @@ def compared_parts(threshold: float):
 
         for pdf in batches:
             found = []
-            columns = [pdf[c].tolist() for c in ("key", "part", "visits", "main", "node", "root")]
-            for key, part, visits, main, node, own_root, own in zip(*columns, cells_of(pdf["text"].tolist()), strict=True):
+            columns = [pdf[c].tolist() for c in ("key", "part", "visits", "node", "root")]
+            for key, part, visits, node, own_root, own in zip(*columns, cells_of(pdf["text"].tolist()), strict=True):
                 if (key, part) != at:
-                    at, members, parent = (key, part), [], {}
+                    at, members, parent = (key, part), Members(), {}
                 if not visits:
-                    members.append((node, own_root, main, own))
+                    members.add(node, own_root, own)
                     continue
-                for other, other_root, is_main, cells in members:
-                    # of two that both visit, one comparison is enough
-                    if (is_main or node < other) and (x := root(own_root)) != (y := root(other_root)) and similar(cells, own, threshold):
-                        found.append((node, other))
+                for i in members.similar_to(own, threshold).tolist():
+                    x, y = root(own_root), root(members.roots[i])
+                    if x != y:
+                        found.append((node, members.nodes[i]))
                         parent[x] = y
             yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
@@ -225,9 +252,9 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``nodes``: node, text, bands.  In each round every bucket draws a leader, by an
     order of all nodes, so that buckets with the same texts draw the same; each text meets
-    the leader of another component that it shares most buckets with.  A group of copies
+    the leaders of other components that it shares most buckets with.  A group of copies
     is connected in few rounds, without pairs among its members.  Rounds go on while they
-    connect much of what is apart.
+    finish some of the buckets.
 
     What is left, texts that share buckets but aren't similar to the leaders, is compared
     inside buckets of up to BUCKET_PART texts.  The texts of larger ones are matched by rare
@@ -249,9 +276,10 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         labelled = written(joined_by_key(labelled, drawn.select("key", "size", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key", "size"))
         rows = labelled.select("node", "key")
         apart = labelled.filter("root != b_root").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
-        pairs = materialize(apart.groupBy("a").agg(F.max(F.struct("n", "b")).alias("most"), F.count(F.lit(1)).alias("met")).select("a", F.col("most.b").alias("b"), "met"))
-        now = pairs.agg(F.sum("met")).first()[0] or 0
-        if now == 0 or (left is not None and now > 0.8 * left):
+        order = Window.partitionBy("a").orderBy(F.desc("n"), "b")  # a node has a leader a band at most
+        pairs = materialize(apart.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS).select("a", "b"))
+        now = rows.count()
+        if now == 0 or (left is not None and now > GOING_ON * left):
             break
         more = verified(pairs, texts, threshold)
         links, left, turn = materialize(more if links is None else links.unionByName(more)), now, turn + 1
@@ -284,8 +312,8 @@ def links_inside(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     mixed = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("n").alias("size")).filter("roots > 1")
     mixed = joined_by_key(rows.drop("size"), mixed.select("key", F.col("main.root").alias("main"), "size"), "key", "size").withColumn("parts", F.ceil(F.col("size") / BUCKET_PART).cast("int"))
     mixed = mixed.withColumn("main", F.col("root") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = mixed.select("key", F.col("own").alias("part"), F.lit(False).alias("visits"), "main", "node", "root")
-    visitors = mixed.filter(~F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("visits"), "main", "node", "root")
+    members = mixed.select("key", F.col("own").alias("part"), F.lit(False).alias("visits"), "node", "root")
+    visitors = mixed.filter(~F.col("main")).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("visits"), "node", "root")
     placed = members.unionByName(visitors).join(texts, "node")
     placed = placed.repartition("key", "part").sortWithinPartitions("key", "part", "visits", "node")
     return materialize(placed.mapInPandas(compared_parts(threshold), "a long, b long").distinct())
