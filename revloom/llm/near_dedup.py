@@ -34,6 +34,8 @@ BUCKET_PART = 2048
 #: Leaders that a text meets in a round; rounds go on while the rows in open buckets fall to
 #: this share or below.
 LEADERS, GOING_ON = 4, 0.95
+#: Parts of the largest family of texts in which all meet.
+FAMILY_PARTS = 4
 
 
 def weighted_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,9 +258,10 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is connected in few rounds, without pairs among its members.  Rounds go on while they
     finish some of the buckets.
 
-    What is left, texts that share buckets but aren't similar to the leaders, is compared
-    inside buckets of up to BUCKET_PART texts.  The texts of larger ones are matched by rare
-    shingles first: two similar texts must share one among a fifth of each one's cells, in
+    What is left are texts that share buckets but aren't similar to the leaders.  Those that
+    buckets connect to a family of bounded size are compared there, each moved once or few
+    times; others inside buckets of up to BUCKET_PART texts.  The texts of larger buckets are
+    matched by rare shingles first: two similar texts must share one among a fifth of each one's cells, in
     order of how often a cell occurs there.  Texts of one template whose own words make up
     that fifth thus don't meet again.  Those that do visit the parts of bounded size that
     the cell's texts are cut into.
@@ -284,8 +287,8 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = verified(pairs, texts, threshold)
         links, left, turn = materialize(more if links is None else links.unionByName(more)), now, turn + 1
     if now:
-        small, large = labelled.filter(F.col("size") <= BUCKET_PART), labelled.filter(F.col("size") > BUCKET_PART)
-        more = links_inside(small.select("key", "node", "root", "size"), texts, threshold)
+        together, small, large = families(labelled)
+        more = links_inside(together, texts, threshold).unionByName(links_inside(small, texts, threshold))
         if not large.isEmpty():
             more = more.unionByName(rare_links(large.select("node", "root").distinct(), texts, threshold))
         links = more if links is None else links.unionByName(more)
@@ -294,6 +297,25 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
+def families(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows of families, of other small buckets, of other large buckets), each key, node,
+    root and size, from rows (key, node, root, size, b) of open buckets with leaders b.
+
+    A family is what buckets connect, if it has up to FAMILY_PARTS parts of texts.
+    """
+    of = components(labelled.select(F.col("node").alias("a"), "b"))
+    rows = written(labelled.select("key", "node", "root", "size").join(of.withColumnRenamed("root", "family"), "node", "left").withColumn("family", F.coalesce("family", "node")))
+    nodes = rows.select("family", "node", "root").distinct()
+    sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"))
+    buckets = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = materialize(sizes.join(buckets, "family"))
+    fits = sizes.filter(F.col("nodes") <= FAMILY_PARTS * BUCKET_PART)
+    together = joined_by_key(nodes, fits.select("family", F.col("nodes").alias("size")), "family", "size").withColumnRenamed("family", "key")
+    others = joined_by_key(rows.drop("size").join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key"), sizes.filter(F.col("nodes") > FAMILY_PARTS * BUCKET_PART).select("family", "rows"), "family", "rows")
+    others = others.select("key", "node", "root", "size")
+    return together, others.filter(F.col("size") <= BUCKET_PART), others.filter(F.col("size") > BUCKET_PART)
+
+
 def rare_links(left: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links (a, b) between nodes of different roots, ``left`` (node, root), enough to connect
     them: similar texts that share a rare cell."""

@@ -257,6 +257,7 @@ def test_near_classes_of_one_template_and_of_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(common, "MOST_BROADCAST_ROWS", 5)
     monkeypatch.setattr(near_dedup, "MOST_BROADCAST_ROWS", 5)
     monkeypatch.setattr(near_dedup, "BUCKET_PART", 16)
+    monkeypatch.setattr(near_dedup, "FAMILY_PARTS", 0)
     assert {r.doc_id: r.class_id for r in near_dedup.near_dedup_report(df).collect()} == want
     kept = near_dedup.near_keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
