@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revloom.operators.shared import materialize
+
 DAY = 86_400
 
 
@@ -42,6 +44,12 @@ def ranked(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], n
     return running(rows, keys, bucket, order, {name: F.lit(1).cast("long")})
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the row's number, from 1, in the order of all rows, which are dealt over ranges of it."""
+    cut = materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    return ranked(cut, [], "__part", order, name).drop("__part")
+
+
 def with_neighbour(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], columns: dict[str, str], following: bool = False) -> DataFrame:
     """Adds columns of the row before (or after) it within its key: {new name: column}.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
+from revloom.operators.ordered import numbered
 from revloom.operators.shared import materialize
 from revloom.plans.history import History
 
@@ -29,7 +30,7 @@ def emission_order(history: History) -> DataFrame:
     lets = lets.select("cs_id", "branch", "seq", "parent_cs", "t", "author", "log", F.lit(None).cast("string").alias("commitid"), F.lit(2**30).alias("branch_ord"), F.lit(2**30).alias("depth"))
     # a tag's own branch comes after everything that it could grow from
     both = cs.select("cs_id", "branch", "seq", "parent_cs", "t", "author", "log", "commitid", "branch_ord", "depth", F.lit(0).alias("late")).unionByName(lets.withColumn("late", F.lit(1)))
-    return both.withColumn("place", F.row_number().over(Window.orderBy("late", *order, "cs_id")))
+    return numbered(both, [F.col(c) for c in ("late", *order, "cs_id")], "place")
 
 
 def operations(history: History) -> DataFrame:
@@ -55,7 +56,7 @@ def marked(history: History) -> tuple[DataFrame, DataFrame]:
     place = F.lit(0) if history.options.fast else F.col("f.place")
     blobs = first.select("master_id", "number", place.alias("place"), F.lit(0).alias("kind"), F.struct("f.place", "f.sort", "number").alias("sub"))
     commits = order.select("cs_id", "place", F.lit(1).alias("kind"))
-    every = blobs.unionByName(commits, allowMissingColumns=True).withColumn("mark", F.row_number().over(Window.orderBy("place", "kind", "sub")))
+    every = numbered(blobs.unionByName(commits, allowMissingColumns=True), [F.col("place"), F.col("kind"), F.col("sub")], "mark")
     every = materialize(every)
     marks = every.filter("kind = 1").select("cs_id", "mark")
     return materialize(order.join(marks, "cs_id")), every.filter("kind = 0").select("master_id", "number", "place", "sub", "mark")
@@ -93,7 +94,7 @@ def stream(history: History, authors: DataFrame | None = None) -> DataFrame:
     ops = ops.select("cs_id", F.struct(paths.deep_key("path").alias("k"), line.alias("line"), pair.alias("pair"), "path").alias("o"))
     listed = ops.groupBy("cs_id").agg(F.sort_array(F.collect_list("o")).alias("ops"))
     commits = commits.join(listed, "cs_id", "left").withColumn("ops", F.coalesce("ops", F.array().cast(listed.schema["ops"].dataType)))
-    first = F.col("place") == F.min("place").over(Window.partitionBy())
+    first = F.col("place") == F.lit(commits.agg(F.min("place")).first()[0])
     ignores = F.when(first & ~F.exists("ops", lambda x: x["path"] == ".gitignore"), F.concat(F.lit("M 100644 inline .gitignore\n"), sized(F.lit(text.DEFAULT_IGNORES)), F.lit("\n")))
     pairs = F.array_join(F.transform(F.filter("ops", lambda x: x["pair"].isNotNull()), lambda x: x["pair"]), "")
     log = F.col("log")

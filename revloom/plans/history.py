@@ -75,7 +75,8 @@ class History:
         r = r.join(first, ["branch", "master_id"]).withColumn("is_first", F.col("rev") == F.col("first_rev"))
         orphan = F.col("parent_rev").isNull()
         placeholder = F.col("is_first") & F.col("dead") & (F.col("n") > 1) & (orphan | (F.col("t") == F.col("parent_t")))
-        rows = r.filter(~placeholder).withColumn("keeps_alive", ~(F.col("dead") & orphan)).withColumn("path", paths.deep_key("fileop_path"))
+        self._placeholders = materialize(r.filter(placeholder).select("event_id"))
+        rows = r.join(self._placeholders, "event_id", "left_anti").withColumn("keeps_alive", ~(F.col("dead") & orphan)).withColumn("path", paths.deep_key("fileop_path"))
         return changesets.frontier_changesets(rows.select("branch", "path", "event_id", "t", "author", "log", "commitid", "dead", "keeps_alive"), self.options.window, prepared=True)
 
     def _numbered(self) -> DataFrame:
@@ -91,7 +92,8 @@ class History:
         own = self._placed.withColumn("to_seq", F.lead("seq").over(chain))
         first = self._placed.groupBy("branch", "master_id").agg(F.min("seq").alias("first_seq"))
         birth = self._own.groupBy(F.col("branch")).agg(F.min("t").alias("birth"), F.max("seq").alias("last_seq"))
-        grown = self.revisions.filter("root and parent_rev is not null").select("branch", "master_id", F.col("parent_rev").alias("rev"))
+        # a dead placeholder stands for a file that the branch's point doesn't have
+        grown = self.revisions.filter("root and parent_rev is not null").join(self._placeholders, "event_id", "left_anti").select("branch", "master_id", F.col("parent_rev").alias("rev"))
         idle = self.heads.filter("not own").select(F.col("ref_name").alias("branch"), "master_id", "rev")
         base = self.revisions.select("master_id", "rev", F.col("dead").alias("base_dead"), F.col("t").alias("base_t"), F.col("branch").alias("base_branch"), F.col("author").alias("base_author"), F.col("log").alias("base_log"), F.col("event_id").alias("base_event"))
         inherited = grown.unionByName(idle).join(base, ["master_id", "rev"]).filter(~F.col("base_dead")).join(birth, "branch", "left")
@@ -107,9 +109,10 @@ class History:
         from_ref = self._inherited.groupBy("branch").agg(newest.alias("b"))
         from_ref = from_ref.join(self.branches.select(F.col("ref_name").alias("branch"), "parent_ref"), "branch").select("branch", "parent_ref", "b.*")
         exact = self._placed.select(F.col("event_id").alias("base_event"), F.col("branch").alias("base_branch"), F.col("cs_id").alias("exact_cs"))
-        on_parent = self._own.select(F.col("branch").alias("parent_ref"), F.col("t").alias("p_t"), F.col("seq").alias("p_seq"), F.col("cs_id").alias("p_cs"))
-        dated = from_ref.join(on_parent, (on_parent["parent_ref"] == from_ref["parent_ref"]) & (F.col("p_t") <= F.col("base_t"))).groupBy("branch").agg(F.max(F.struct("p_seq", "p_cs")).alias("d"))
-        joins = from_ref.join(exact, ["base_event", "base_branch"], "left").join(dated, "branch", "left").select("branch", F.coalesce("exact_cs", "d.p_cs").alias("join_cs"))
+        on_parent = self._own.select(F.col("branch").alias("parent_ref"), "t", "seq", F.col("cs_id").alias("p_cs"))
+        asked = from_ref.select("branch", "parent_ref", F.col("base_t").alias("t"), F.lit(0).cast("long").alias("seq"))
+        dated = branches.as_of_backward(asked, on_parent, ["parent_ref"], ["p_cs"], "seq").select("branch", "p_cs")
+        joins = from_ref.join(exact, ["base_event", "base_branch"], "left").join(dated, "branch", "left").select("branch", F.coalesce("exact_cs", "p_cs").alias("join_cs"))
         self.joins = joins = materialize(joins)
         chain = Window.partitionBy("branch").orderBy("seq")
         own = self._own.withColumn("before", F.lag("cs_id").over(chain)).join(joins, "branch", "left")

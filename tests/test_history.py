@@ -130,6 +130,16 @@ def test_dead_and_unnamed_branches(spark):
     assert "dead unnamed branch left out" in {r.kind for r in emit.problems(h).collect()}
 
 
+def test_branch_whose_files_were_added_later_stays_disjoint(spark):
+    both = dict(number="1.1", date="2001.01.01.00.00.00", text="x\n", branches=["1.1.2.1"])
+    added = master([both, dict(number="1.1.2.1", date="2001.01.01.00.00.00", text="", state="dead", next="1.1.2.2"), dict(number="1.1.2.2", date="2001.02.01.00.00.00", text="a1 1\ny\n", log="on branch")], symbols={"BR": "1.1.0.2"})
+    other = master([dict(number="1.1", date="2001.01.01.00.00.00", text="z\n")])
+    h = History(Masters(files_of(spark, a=added, b=other)))
+    assert {(r.branch, r.seq): r.parent_cs for r in h.changesets.collect()} == {("BR", 0): None, ("master", 0): None}
+    assert {(r.branch, r.rev[0], len(r.rev)) for r in h.intervals.collect()} == {("master", 1, 2), ("BR", 1, 4)}
+    assert b"data 10\non branch\n\nM 100644 :4 a\n" in text_of(emit.stream(h))
+
+
 def test_incremental_and_forced_dates(spark):
     m = master([dict(number="1.2", date="2001.01.02.00.00.00", text="b\n", next="1.1"), dict(number="1.1", date="2001.01.01.00.00.00", text="d1 1\na1 1\na\n")])
     masters = Masters(files_of(spark, a=m))
