@@ -77,7 +77,8 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.append(spark.createDataFrame([], self.SCHEMA))
+        none = spark.range(0)
+        self.append(none.select(*[F.lit(None).cast(t).alias(n) for n, t in (("blob", "string"), ("rule", "string"), ("findings", FINDINGS))]))
 
     def append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.folder)
