@@ -52,25 +52,38 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+#: Narrow rows that fill a partition.
+PARTITION_ROWS = 10_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of up to ``rows`` narrow rows, in no more partitions than these fill.
+
+    A shuffle or checkpoint leaves files by the number of partitions, which many rounds over
+    a small table would multiply.  A table that fills its partitions keeps them.
+    """
+    return df.coalesce(min(max(1, -(-rows // PARTITION_ROWS)), 2**31 - 1))
+
+
 #: Rows of under 100 bytes that may be broadcast.
 MOST_BROADCAST_ROWS = 100_000
 #: A key with over one in so many of the rows is hot.
 HOT_SHARE = 1000
 
 
-def joined_by_key(big: DataFrame, small: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
-    """``big`` with the one row of ``small``, a table of narrow rows, that has its key;
-    ``size`` is how many rows have that key.
+def joined_by_key(big: DataFrame, small: DataFrame, key: str, size: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``big`` with the one row of ``small``, a table of narrow rows (up to ``rows``, if that
+    is known), that has its key; ``size`` is how many rows have that key.
 
     ``small`` is counted, and broadcast whole if it has few rows.  Else the rows of hot keys
     stay where they are: as each key has over a thousandth of the rows, there are under
     HOT_SHARE of them, and their rows of ``small`` are broadcast.  The others are joined by
     a shuffle, none of whose keys then has more than that share.
     """
-    small = materialize(small)
+    small = materialize(small if rows is None else gathered(small, rows))
     n, total = small.agg(F.count(F.lit(1)), F.sum(size)).first()
     if n <= MOST_BROADCAST_ROWS:
-        return big.join(F.broadcast(small), key, how)
+        return big.join(F.broadcast(gathered(small, n)), key, how)
     hot, cold = small.filter(F.col(size) * HOT_SHARE > total), small.filter(F.col(size) * HOT_SHARE <= total)
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how)
     return big.join(F.broadcast(hot), key).unionByName(rest)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revloom.llm.common import MOST_BROADCAST_ROWS, joined_by_key, materialize, packed_row, quoted, text_or_empty, unpacked_row, written
+from revloom.llm.common import MOST_BROADCAST_ROWS, gathered, joined_by_key, materialize, packed_row, quoted, text_or_empty, unpacked_row, written
 from revloom.llm.shingles import ODD, batches_of, mix, run_hashes, texts_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -270,45 +270,61 @@ def similar_links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     rows = written(rows.join(shared, "key"))
     texts = written(narrowed(nodes.select("node", "text"), materialize(rows.select("node").distinct()), "node"))
-    links, left, turn = None, None, 0
+    nodes_left = texts.count()
+    labels, left, turn = None, None, 0
+    now = rows.count()
     while True:
-        labelled = rows.withColumn("root", F.col("node")) if links is None else rows.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = rooted(rows, labels)
         draw = F.struct(F.xxhash64(F.lit(turn), "node"), "node", "root")
         drawn = labelled.groupBy("key").agg(F.min(draw).alias("c"), F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("size")).filter("r1 != r2")
         # buckets of one component are done with
-        labelled = written(joined_by_key(labelled, drawn.select("key", "size", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key", "size"))
+        labelled = written(joined_by_key(labelled, drawn.select("key", "size", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "key", "size", rows=now))
         rows = labelled.select("node", "key")
-        apart = labelled.filter("root != b_root").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
-        order = Window.partitionBy("a").orderBy(F.desc("n"), "b")  # a node has a leader a band at most
-        pairs = materialize(apart.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS).select("a", "b"))
         now = rows.count()
+        apart = gathered(labelled.filter("root != b_root").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n")), now)
+        order = Window.partitionBy("a").orderBy(F.desc("n"), "b")  # a node has a leader a band at most
+        ranked = apart.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS).select("a", "b")
         if now == 0 or (left is not None and now > GOING_ON * left):
             break
-        more = verified(pairs, texts, threshold)
-        links, left, turn = materialize(more if links is None else links.unionByName(more)), now, turn + 1
+        more = compact(verified(materialize(gathered(ranked, LEADERS * nodes_left)), texts, threshold))
+        # written: a checkpoint would hand on the constraints of its plan, which double from round to round
+        labels = written(components(more if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        left, turn = now, turn + 1
+    found = nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if labels is None else labels.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if now:
-        together, small, large = families(labelled)
-        more = links_inside(together, texts, threshold).unionByName(links_inside(small, texts, threshold))
+        together, small, large = families(labelled, now)
+        found = found.unionByName(links_inside(together, texts, threshold)).unionByName(links_inside(small, texts, threshold))
         if not large.isEmpty():
-            more = more.unionByName(rare_links(large.select("node", "root").distinct(), texts, threshold))
-        links = more if links is None else links.unionByName(more)
-    elif links is None:
-        links = pairs.select("a", "b")
-    return materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+            found = found.unionByName(rare_links(large.select("node", "root").distinct(), texts, threshold))
+    return compact(found)
+
+
+def compact(links: DataFrame) -> DataFrame:
+    """Links (a, b), computed once by all tasks, then in no more partitions than they fill."""
+    links = materialize(links)
+    return gathered(links, links.count())
 
 
-def families(labelled: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rooted(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows``, of which a node has as many as bands at most, with their nodes' roots."""
+    if labels is None:
+        return rows.withColumn("root", F.col("node"))
+    return joined_by_key(rows, labels.withColumn("bands", F.lit(BANDS)), "node", "bands", "left").drop("bands").withColumn("root", F.coalesce("root", "node"))
+
+
+def families(labelled: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows of families, of other small buckets, of other large buckets), each key, node,
-    root and size, from rows (key, node, root, size, b) of open buckets with leaders b.
+    root and size, from ``n`` rows (key, node, root, size, b) of open buckets with leaders b.
 
     A family is what buckets connect, if it has up to FAMILY_PARTS parts of texts.
     """
-    of = components(labelled.select(F.col("node").alias("a"), "b"))
-    rows = written(labelled.select("key", "node", "root", "size").join(of.withColumnRenamed("root", "family"), "node", "left").withColumn("family", F.coalesce("family", "node")))
-    nodes = rows.select("family", "node", "root").distinct()
+    of = components(labelled.select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"), F.lit(BANDS).alias("bands"))
+    rows = joined_by_key(labelled.select("key", "node", "root", "size"), of, "node", "bands", "left").drop("bands")
+    rows = written(rows.withColumn("family", F.coalesce("family", "node")))
+    nodes = gathered(rows.select("family", "node", "root").distinct(), n)
     sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("nodes"))
     buckets = rows.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
-    sizes = materialize(sizes.join(buckets, "family"))
+    sizes = materialize(gathered(sizes.join(buckets, "family"), n))
     fits = sizes.filter(F.col("nodes") <= FAMILY_PARTS * BUCKET_PART)
     together = joined_by_key(nodes, fits.select("family", F.col("nodes").alias("size")), "family", "size").withColumnRenamed("family", "key")
     others = joined_by_key(rows.drop("size").join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key"), sizes.filter(F.col("nodes") > FAMILY_PARTS * BUCKET_PART).select("family", "rows"), "family", "rows")
@@ -349,18 +365,20 @@ def components(links: DataFrame) -> DataFrame:
     and hot nodes' rows stay where they are.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
-    while True:
+    state, n = None, edges.count()
+    edges = gathered(edges, n)
+    while True:  # neither star adds edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
-        large = joined_by_key(both.filter("v > u"), least, "u", "size").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size"))
-        small = joined_by_key(large, least, "u", "size").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small)
+        large = joined_by_key(both.filter("v > u"), least, "u", "size", rows=2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = gathered(large, n)
+        least = gathered(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")), n)
+        small = joined_by_key(large, least, "u", "size", rows=n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        edges = materialize(gathered(small, n))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        state, n = now, now[0]
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -373,7 +391,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nodes = rows.groupBy(text_digest(F.col("text")).alias("digest"), "text").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes.select("digest", "text", "first_id", "copies", banded("text").alias("bands"), F.monotonically_increasing_id().alias("node")))
     roots = components(similar_links(nodes, threshold))
-    placed = materialize(nodes.select("node", "digest", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    placed = joined_by_key(nodes.select("node", "digest", "first_id", "copies"), roots.withColumn("rows", F.lit(1)), "node", "rows", "left").drop("rows")
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "node")))
     first = F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest"))
     classes = placed.groupBy("root").agg(first.alias("first"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("size"))
     classes = joined_by_key(placed.select("digest", "root", "copies"), classes, "root", "size")
