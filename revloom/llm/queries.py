@@ -16,6 +16,7 @@ from revloom.llm.packing import packed_documents
 from revloom.llm.quality import quality_report
 from revloom.llm.secret_scan import secret_report
 from revloom.llm.sharding import sharding_report
+from revloom.llm.structure_repair import repair_report
 from revloom.llm.substring_dedup import substring_report
 from revloom.llm.token_counts import token_counts
 
@@ -64,8 +65,12 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"))
 
 
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules, op11_token_counts)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules, op11_token_counts, op12_structure_repair)}
 
 
 OP5_SQL = r"""
