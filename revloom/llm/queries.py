@@ -13,6 +13,7 @@ from revloom.llm.language_id import language_report
 from revloom.llm.mixing import mixture_report
 from revloom.llm.near_dedup import near_dedup_report
 from revloom.llm.packing import packed_documents
+from revloom.llm.prefix_trie import prefix_trie
 from revloom.llm.quality import quality_report
 from revloom.llm.secret_scan import secret_report
 from revloom.llm.sharding import sharding_report
@@ -69,8 +70,12 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(read_table(spark, sf_dir, "conversations"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules, op11_token_counts, op12_structure_repair)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_near_dedup, op3_sharding, op4_secret_scan, op5_exact_dedup, op6_language_id, op7_chat_formatting, op8_best_fit_packing, op9_mixing, op10_quality_rules, op11_token_counts, op12_structure_repair, op13_prefix_trie)}
 
 
 OP5_SQL = r"""
