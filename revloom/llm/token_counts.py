@@ -3,8 +3,8 @@
 A tokenizer that never merges across white space, nor across the borders that its
 pre-tokenizer cuts, gives a text as many tokens as its pre-tokens have pieces.  So pieces
 are counted once per distinct pre-token of the corpus, in a table that a shuffle builds;
-documents carry how often each pre-token stands in them, and sums of products follow.  No
-ids of a document are ever made.
+documents carry how often each word of theirs stands in them, and sums of products follow.
+No ids of a document are ever made.
 
 The frequencies meet the counts in two ways.  The most frequent pre-tokens, a bounded
 number with bounded names, are broadcast, and a document's occurrences of them are summed
@@ -14,73 +14,87 @@ where its text is read.  The others, none of which is frequent, are joined by a
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import filterfalse, repeat
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revloom.llm.common import quoted, text_or_empty, written
 
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
-#: Pre-tokens that are broadcast, each with a name of up to LONG characters; longer ones go
-#: by a digest.  Distinct ones that a task gathers before it hands them on.
-FREQUENT, LONG, GATHERED = 100_000, 64, 200_000
-#: Words whose pre-tokens a worker remembers; pre-tokens encoded in one call.
-REMEMBERED, CALL = 500_000, 2000
-WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
+#: Pre-tokens that are broadcast, each with a name of up to LONG bytes; longer ones go by a
+#: digest.  Distinct words that a task gathers before it hands them on.
+FREQUENT, LONG, GATHERED = 100_000, 64, 500_000
+#: Words that a worker remembers; pre-tokens encoded in one call, and on one line.
+REMEMBERED, CALL, LINE = 500_000, 2000, 500
+#: Letters that normalising changes nothing about but their case, to another one of them.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+#: Words of these, digits and marks but the apostrophe; their pre-tokens.
+PLAIN = re.compile(rf"[!-&(-~{LETTERS}]+")
+PIECES = re.compile(rf"[{LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+")
 
 
 class PreTokens:
-    """The cuts of a tokenizer: words at white space, and inside plain words the pieces of
-    its own pattern.
+    """The cuts of a tokenizer: words at the six ASCII white-space characters, and inside
+    plain words runs of letters, single digits and runs of marks.
 
-    Inside a word of ASCII letters, digits and marks normalising changes nothing but case,
-    so the pattern may be applied to it by itself.  Any other word, and one that holds an
-    added token's string, stays whole.
+    Any other word, and one that holds an added token's string, stays whole.  Whether the
+    tokenizer cuts like this is tried out first.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Regex, Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        if self.pieces(["plain  words\n", "plain", "words", " plain"]) != [2, 1, 1, 1]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        if self.single(["plain  words\n", "plain", "words", " plain"]) != [2, 1, 1, 1]:
             raise ValueError("this tokenizer doesn't drop white space: its words can't be counted apart")
-        self.lower = self.tokenizer.normalizer.normalize_str("aB") == "ab"
-        self.cut = pre_tokenizers.Split(Regex(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
-        probe = "it's we'll12--end.'S x1y_z ''d"
-        if sum(self.pieces(self.parts(probe))) != self.pieces([probe])[0]:
-            self.cut = None
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def pieces(self, texts: list[str]) -> list[int]:
+        letters = re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x180))))
+        probe = "".join(f"{c}-{c}1{c}a,.{c}?2" for c in letters) + "".join(f"{chr(c)}x{chr(c)}1" for c in range(33, 127) if chr(c) != "'")
+        self.cuts = sum(self.single(PIECES.findall(probe.lower()))) == self.single([probe])[0]
+
+    def single(self, texts: list[str]) -> list[int]:
         out: list[int] = []
         for at in range(0, len(texts), CALL):
             out += [len(e.ids) for e in self.tokenizer.encode_batch_fast(texts[at : at + CALL], add_special_tokens=False)]
         return out
 
-    def parts(self, text: str) -> list[str]:
-        return [p for p, _ in self.cut.pre_tokenize_str(text.lower() if self.lower else text)]
-
-    def of(self, word: str) -> tuple[str, ...]:
+    def pieces(self, pre_tokens: list[str]) -> list[int]:
+        """The number of pieces of each; those of letters only are encoded many to a line."""
+        out = np.zeros(len(pre_tokens), dtype=np.int64)
+        letters = [i for i, p in enumerate(pre_tokens) if p.isalpha()]
+        others = [i for i, p in enumerate(pre_tokens) if not p.isalpha()]
+        for at in range(0, len(letters), LINE):
+            some = letters[at : at + LINE]
+            line = " ".join([pre_tokens[i] for i in some])
+            ends = np.flatnonzero(self.ends_word[self.tokenizer.encode_batch_fast([line], add_special_tokens=False)[0].ids])
+            if len(ends) == len(some):
+                out[some] = np.diff(ends, prepend=-1)
+            else:  # one isn't a single run for this tokenizer
+                others += some
+        out[others] = self.single([pre_tokens[i] for i in others])
+        return out.tolist()
+
+    def of(self, word: bytes) -> list[str]:
         """The pre-tokens of a word, a repeated one as often as it stands there."""
-        found = self.known.get(word)
-        if found is None:
-            if word.isascii() and word.isalpha():
-                found = (word.lower() if self.lower else word,)
-            elif self.cut and word.isascii() and word.isprintable() and not any(a in word for a in self.added):
-                found = tuple(self.parts(word))
-            else:
-                found = (word,)
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        if self.cuts and word.isalpha():
+            return [word.lower().decode()]
+        text = word.decode("utf-8", "replace")
+        if self.cuts and PLAIN.fullmatch(text) and not self.added.search(text):
+            return PIECES.findall(text.lower())
+        return [text]
 
 
 CUTS: dict[str, PreTokens] = {}
@@ -92,7 +106,14 @@ def cuts(path: str) -> PreTokens:
 
 def name_of(pre_token: str) -> str:
     """What a pre-token is joined by: itself, or a digest if it is long."""
-    return pre_token if len(pre_token) <= LONG else " " + sha256(pre_token.encode("utf-8", "surrogatepass")).hexdigest()
+    if len(pre_token) <= LONG // 4 or len(raw := pre_token.encode("utf-8", "surrogatepass")) <= LONG:
+        return pre_token
+    return " " + sha256(raw).hexdigest()
+
+
+def words_of(text: pa.StringScalar) -> list[bytes]:
+    """Words in UTF-8; bytes split at the six ASCII white-space characters only."""
+    return text.as_buffer().to_pybytes().split()
 
 
 def gatherer(path: str):
@@ -100,16 +121,16 @@ def gatherer(path: str):
         cut, words = cuts(path), Counter()
 
         def flushed() -> pa.RecordBatch:
-            found: Counter = Counter()
+            found: dict[str, int] = {}
             for w, n in words.items():
                 for p in cut.of(w):
-                    found[p] += n
+                    found[p] = found.get(p, 0) + n
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["pre_token", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
-                words.update(WORDS.findall(text.as_py()))
+                words.update(words_of(text))
                 if len(words) > GATHERED:
                     yield flushed()
         yield flushed()
@@ -139,27 +160,41 @@ def pre_token_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def summer(path: str, frequent):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, pieces = cuts(path), frequent.value
-        short: dict[str, tuple[int, tuple[str, ...]]] = {}  # a word's pieces so far, and its rarer pre-tokens
-        pair = pa.struct([("name", pa.string()), ("times", pa.int64())])
+        known: dict[bytes, int] = {}  # pieces of a word so far
+        rarer: dict[bytes, list[str]] = {}  # its pre-tokens that aren't frequent
+
+        def learn(words) -> None:
+            for word in words:
+                names = cut.of(word)
+                if len(word) > LONG // 4:
+                    names = [name_of(p) for p in names]
+                if len(names) == 1:
+                    rare = names if (n := pieces.get(names[0])) is None else None
+                else:
+                    n, rare = sum(map(pieces.get, names, repeat(0))), [p for p in names if p not in pieces]
+                known[word] = n or 0
+                if rare:
+                    rarer[word] = rare
+
         for batch in batches:
-            totals, rest = [], []
+            totals, names, times, ends = [], [], [], [0]
             for text in batch.column("text"):
-                total, rare = 0, Counter()
-                for word, n in Counter(WORDS.findall(text.as_py())).items():
-                    known = short.get(word)
-                    if known is None:
-                        names = [name_of(p) for p in cut.of(word)]
-                        known = sum(pieces.get(p, 0) for p in names), tuple(p for p in names if p not in pieces)
-                        if len(short) > REMEMBERED:
-                            short.clear()
-                        short[word] = known
-                    total += n * known[0]
-                    for p in known[1]:
-                        rare[p] += n
-                totals.append(total)
-                rest.append([{"name": p, "times": n} for p, n in rare.items()])
+                words = Counter(words_of(text))
+                if len(known) > REMEMBERED:
+                    known.clear()
+                    rarer.clear()
+                learn(filterfalse(known.__contains__, words))
+                totals.append(sum(map(mul, map(known.__getitem__, words), words.values())))
+                rare: dict[str, int] = {}
+                for word in filter(rarer.__contains__, words):
+                    for p in rarer[word]:
+                        rare[p] = rare.get(p, 0) + words[word]
+                names += rare.keys()
+                times += rare.values()
+                ends.append(len(names))
+            pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], ["name", "times"])
             kept = batch.drop_columns(["text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(totals, pa.int64()), pa.array(rest, pa.list_(pair))], [*kept.schema.names, "total", "rare"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(totals, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], [*kept.schema.names, "total", "rare"])
 
     return add
 

@@ -61,3 +61,8 @@ def test_documents(spark):
 def test_tokenizer_that_keeps_white_space_is_refused():
     with pytest.raises(ValueError, match="white space"):
         token_counts.PreTokens(public.path("byte_bpe_50k.json"))
+
+
+def test_plain_words_are_cut():
+    cut = token_counts.PreTokens(PATH)
+    assert cut.cuts and cut.of("Größe,x1".encode()) == ["größe", ",", "x", "1"] and cut.of(b"it's") == ["it's"] and cut.of("ɓ.".encode()) == ["ɓ."]
