@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from revloom.llm.common import quoted, text_or_empty, written
 
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
-#: Pre-tokens that are broadcast, each with a name of up to LONG bytes; longer ones go by a
-#: digest.  Distinct words that a task gathers before it hands them on.
-FREQUENT, LONG, GATHERED = 100_000, 64, 500_000
+#: A pre-token with over one in so many of all occurrences is frequent, so there are fewer
+#: than that; names have up to LONG bytes, longer pre-tokens go by a digest.  Distinct words
+#: that a task gathers before it hands them on.
+FREQUENT, LONG, GATHERED = 500_000, 64, 500_000
 #: Words that a worker remembers; pre-tokens encoded in one call, and on one line.
 REMEMBERED, CALL, LINE = 500_000, 2000, 500
 #: Letters that normalising changes nothing about but their case, to another one of them.
@@ -215,7 +216,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     spark = docs.sparkSession
     rows = docs.select(quoted(id_col).alias("doc_id"), text_or_empty(quoted(text_col)).alias("text"))
     known = written(pre_token_table(rows, tokenizer_path))
-    top = {r["name"]: r["pieces"] for r in known.orderBy(F.desc("n"), "name").limit(frequent).collect()}  # FREQUENT names of up to LONG characters
+    total = known.agg(F.sum("n")).first()[0] or 0
+    # under FREQUENT names of up to LONG bytes, however large the table is
+    top = {r["name"]: r["pieces"] for r in known.filter(F.col("n") * frequent > total).select("name", "pieces").collect()}
     kind = rows.schema["doc_id"].dataType.simpleString()
     numbered = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.octet_length("text").cast("long").alias("n_bytes"), "text")
     summed = numbered.mapInArrow(summer(tokenizer_path, spark.sparkContext.broadcast(top)), f"doc_id {kind}, row long, n_bytes long, total long, rare array<struct<name:string,times:bigint>>")

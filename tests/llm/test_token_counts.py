@@ -25,7 +25,7 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.select("doc_id", "n_bytes", "n_tokens", "over_limit").collect()), key=str)
 
 
-@pytest.mark.parametrize("frequent", [token_counts.FREQUENT, 3, 0])
+@pytest.mark.parametrize("frequent", [token_counts.FREQUENT, 20, 0])
 def test_awkward_texts(spark, frequent):
     rows = [(None if i % 7 == 3 else i, t, "n") for i, t in enumerate(AWKWARD)] + [(5, AWKWARD[5], "n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3)
