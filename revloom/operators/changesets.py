@@ -8,6 +8,7 @@ rows stream through in time order; only those within one window of the leader ar
 
 from __future__ import annotations
 
+import hashlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,7 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revloom.operators.ordered import day_of, running, with_neighbour
+from revloom.operators.ordered import day_of, numbered, running, with_neighbour
+from revloom.operators.shared import materialize
 
 WINDOW = 300
 
@@ -82,48 +84,89 @@ def anchored_changesets(rows: DataFrame, keys: list[str], window: int = WINDOW)
     return _streamed(cut.select(*columns, "t", "event_id"), keys, [F.desc("t"), F.desc("event_id")], fold, schema)
 
 
+class Revision:
+    """A file revision as the frontier holds it."""
+
+    __slots__ = ("event_id", "t", "path", "author", "log", "commitid", "keeps_alive", "taken")
+
+    def __init__(self, event_id, t, path, author, log, commitid, keeps_alive):
+        self.event_id, self.t, self.path, self.author, self.log, self.commitid, self.keeps_alive, self.taken = event_id, t, path, author, log, commitid, keeps_alive, False
+
+    @property
+    def key(self) -> tuple:
+        """Equal for revisions that belong together if they are close in time."""
+        return (self.author, self.log) if self.commitid is None else (self.commitid,)
+
+    @property
+    def place(self) -> tuple:
+        return -self.t, self.path, -self.event_id
+
+
 class Frontier:
     """One branch's revisions, fed newest first; gives out (leader, members).
 
-    ``oldest_live`` is the time of the branch's oldest revision that keeps the branch alive.
+    Held revisions are found by their key and by their path, so a leader looks at those
+    that could be its members only.  ``oldest_live`` is the place of the branch's oldest
+    revision that keeps the branch alive; ``first``: no changeset has been made yet.
     """
 
-    def __init__(self, window: int, oldest_live: float, first: bool):
+    def __init__(self, window: int, oldest_live: tuple | None, first: bool, held: list[Revision] = ()):
         self.window, self.oldest_live, self.first = window, oldest_live, first
-        self.held: deque = deque()
-
-    def feed(self, row) -> Iterator[tuple]:
-        while self.held and self.held[0].t - row.t >= self.window:
-            yield from self.lead()
-        self.held.append(row)
+        self.order: deque[Revision] = deque()
+        self.by_key: dict[tuple, list[Revision]] = {}
+        self.by_path: dict[str, deque[Revision]] = {}
+        self.live, self.last = 0, None
+        for r in held:
+            self.hold(r)
+
+    def hold(self, r: Revision) -> None:
+        self.order.append(r)
+        self.by_key.setdefault(r.key, []).append(r)
+        self.by_path.setdefault(r.path, deque()).append(r)
+        self.live += r.keeps_alive
+        self.last = r.place
+
+    def head(self) -> Revision | None:
+        while self.order and self.order[0].taken:
+            self.order.popleft()
+        return self.order[0] if self.order else None
+
+    def held(self) -> list[Revision]:
+        return [r for r in self.order if not r.taken]
+
+    def feed(self, r: Revision) -> Iterator[tuple]:
+        while (leader := self.head()) and leader.t - r.t >= self.window:
+            yield from self.lead(leader)
+        self.hold(r)
 
     def finish(self) -> Iterator[tuple]:
-        while self.held:
-            yield from self.lead()
-
-    def lead(self) -> Iterator[tuple]:
-        leader = self.held[0]
-        alive = self.first or self.oldest_live < self.held[-1].t or any(r.keeps_alive for r in self.held)
+        while leader := self.head():
+            yield from self.lead(leader)
+
+    def take(self, r: Revision) -> None:
+        r.taken = True
+        self.live -= r.keeps_alive
+        mine = self.by_path[r.path]
+        mine.popleft()
+        if not mine:
+            del self.by_path[r.path]
+
+    def lead(self, leader: Revision) -> Iterator[tuple]:
+        """All held revisions are within the window of the oldest held one's leader."""
+        alive = self.first or self.live or (self.oldest_live is not None and self.oldest_live > self.last)
         self.first = False
-        if not alive:
-            self.held.popleft()
-            return
-        members, seen, rest = [], set(), deque()
-        for r in self.held:
-            front = r.path not in seen
-            seen.add(r.path)
-            if front and leader.t - r.t < self.window and self.same(leader, r):
-                members.append(r)
-            else:
-                rest.append(r)
-        self.held = rest
-        yield leader, members
-
-    @staticmethod
-    def same(a, b) -> bool:
-        if a.commitid is not None and b.commitid is not None:
-            return a.commitid == b.commitid
-        return a.commitid is None and b.commitid is None and a.author == b.author and a.log == b.log
+        key = leader.key
+        # a file takes part with its newest revision only
+        members = [r for r in self.by_key[key] if self.by_path[r.path][0] is r] if alive else [leader]
+        for r in members:
+            self.take(r)
+        rest = [r for r in self.by_key[key] if not r.taken]
+        if rest:
+            self.by_key[key] = rest
+        else:
+            del self.by_key[key]
+        if alive:
+            yield leader, members
 
 
 def surviving(rows: DataFrame) -> DataFrame:
@@ -137,47 +180,145 @@ def surviving(rows: DataFrame) -> DataFrame:
     return rows.withColumn("keeps_alive", ~(F.col("__root") & F.col("dead"))).drop("__first", "__n", "__root")
 
 
-def frontier_changesets(rows: DataFrame, window: int = WINDOW, prepared: bool = False) -> DataFrame:
-    """Membership (branch, leader_id, t, author, log, commitid, path, event_id, member_t).
+#: Revisions in a chunk, and how many windows of those before it warm it up.
+CHUNK, WARM = 20_000, 64
+#: What a chunk gives out: members of changesets, revisions it leaves to the next chunk, and
+#: digests of what was held where it begins and ends.
+MEMBER, LEFT, SEAM = range(3)
+STREAMED = ["event_id", "t", "path", "author", "log", "commitid", "keeps_alive"]
+ASKED = ["branch", "epoch", "unit", "chunk", "part", "last", "first", "oldest", *STREAMED]
 
-    ``rows``: branch, path, event_id, t, author, log, commitid, dead.  A file takes part
-    with its newest revision that isn't taken.  Ties in time go by path, then the larger id.
-    ``prepared`` rows have keeps_alive and lack what ``surviving`` leaves out.
-    """
-    rows = rows if prepared else surviving(rows)
-    cut = epochs(rows, ["branch"], window)
-    ends = cut.groupBy("branch").agg(F.max("epoch").alias("newest"), F.min(F.when(F.col("keeps_alive"), F.col("t"))).alias("oldest_live"))
-    cut = cut.join(ends, "branch").withColumn("first", F.col("epoch") == F.col("newest"))
-    fields = ["branch", "epoch", "path", "event_id", "t", "author", "log", "commitid", "keeps_alive", "oldest_live", "first"]
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, frontier, out = None, None, []
+def chunked(rows: DataFrame, size: int) -> DataFrame:
+    """Adds ``chunk``, runs of ``size`` revisions of a branch's epoch, newest first, and whether
+    it is the epoch's ``last`` one.  Rows aren't sorted if no epoch has more than that."""
+    order = [F.desc("t"), F.col("path"), F.desc("event_id")]
+    total = rows.groupBy("branch", "epoch").agg(F.floor((F.count(F.lit(1)) - 1) / size).alias("last_chunk"))
+    if not total.agg(F.max("last_chunk")).first()[0]:
+        return rows.withColumns({"chunk": F.lit(0).cast("long"), "last": F.lit(True)})
+    ranked_rows = numbered(rows, order, "place", ["branch", "epoch"])
+    cut = ranked_rows.withColumn("chunk", F.floor((F.col("place") - 1) / size)).drop("place")
+    return cut.join(total, ["branch", "epoch"]).withColumn("last", F.col("chunk") == F.col("last_chunk")).drop("last_chunk")
 
-        def put(found) -> None:
-            for leader, members in found:
-                out.extend((group[0], leader.event_id, leader.t, leader.author, leader.log, leader.commitid, m.path, m.event_id, m.t) for m in members)
 
-        def flushed() -> pd.DataFrame:
-            pdf = pd.DataFrame(out, columns=["branch", "leader_id", "t", "author", "log", "commitid", "path", "event_id", "member_t"])
+def fed(rows: DataFrame, window: int) -> DataFrame:
+    """The revisions of chunks, each after those of the chunk before it that lie within WARM
+    windows: with these it guesses what is held where it begins."""
+    starts = rows.groupBy("branch", "epoch", "chunk").agg(F.max("t").alias("start_t"), F.max("last").alias("last_"))
+    warm = rows.withColumn("chunk", F.col("chunk") + 1).join(starts, ["branch", "epoch", "chunk"]).filter(F.col("t") < F.col("start_t") + WARM * window)
+    warm = warm.withColumn("last", F.col("last_")).drop("start_t", "last_").withColumn("part", F.lit("warm"))
+    both = rows.withColumn("part", F.lit("own")).unionByName(warm)
+    return both.withColumn("first", F.col("first") & (F.col("chunk") == 0))
+
+
+def chunk_folder(window: int):
+    """Rows of chunks, in order, through frontiers: warm or given ones first, then own ones."""
+    import pyarrow as pa
+
+    names = ["branch", "epoch", "chunk"]
+    given = ["kind", *names, "leader_id", "leader_t", "leader_author", "leader_log", "leader_commitid", "path", "event_id", "member_t", "begins", "ends"]
+    types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def state(frontier: Frontier) -> str:
+        return ("first " if frontier.first else "later ") + hashlib.sha256(repr([r.event_id for r in frontier.held()]).encode()).hexdigest()
+
+    def fold(batches: Iterator) -> Iterator:
+        unit, group, frontier, begins, last, out = None, None, None, None, False, []
+
+        def put(found, wanted: bool) -> None:
+            for leader, members in found:
+                if wanted:
+                    head = (MEMBER, *group, leader.event_id, leader.t, leader.author, leader.log, leader.commitid)
+                    out.extend((*head, m.path, m.event_id, m.t, None, None) for m in members)
+
+        def ended() -> None:
+            """The end of a chunk; the frontier may go on with the next one."""
+            if last:
+                put(frontier.finish(), True)
+            out.extend((LEFT, *group, *[None] * 6, r.event_id, None, None, None) for r in frontier.held())
+            out.append((SEAM, *group, *[None] * 8, begins, state(frontier)))
+
+        def flushed():
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
             out.clear()
-            return pdf
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], given)
 
-        for pdf in batches:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            for row in pdf.itertuples(index=False):
-                if group != (row.branch, row.epoch):
+        for batch in batches:
+            for branch, epoch, start, chunk, part, is_last, first, oldest, *row in zip(*[batch.column(c).to_pylist() for c in ASKED], strict=True):
+                if group != (branch, epoch, chunk) or unit != start:
                     if frontier:
-                        put(frontier.finish())
-                    oldest = float("inf") if row.oldest_live is None else row.oldest_live
-                    group, frontier = (row.branch, row.epoch), Frontier(window, oldest, row.first)
-                put(frontier.feed(row))
+                        ended()
+                    if unit != start or group[:2] != (branch, epoch):
+                        frontier = Frontier(window, oldest and tuple(oldest.values()), first)
+                    unit, group, last, begins = start, (branch, epoch, chunk), is_last, None
+                revision = Revision(*row)
+                if part == "given":
+                    frontier.hold(revision)
+                    continue
+                if part == "own" and begins is None:
+                    # what the sequential fold does between two chunks it does when it is fed on
+                    begins = state(frontier)
+                put(frontier.feed(revision), part == "own")
             yield flushed()
         if frontier:
-            put(frontier.finish())
+            ended()
         yield flushed()
 
-    schema = "branch string, leader_id long, t long, author string, log string, commitid string, path string, event_id long, member_t long"
-    return _streamed(cut.select(*fields), ["branch"], [F.desc("t"), F.col("path"), F.desc("event_id")], fold, schema)
+    return fold
+
+
+FOLDED = "kind int, branch string, epoch long, chunk long, leader_id long, leader_t long, leader_author string, leader_log string, leader_commitid string, path string, event_id long, member_t long, begins string, ends string"
+
+
+def folded(rows: DataFrame, window: int) -> DataFrame:
+    """What the units, runs of chunks of a branch's epoch, give out."""
+    order = [F.col("part") == "own", F.desc("t"), F.col("path"), F.desc("event_id")]
+    placed = rows.repartition("branch", "epoch", "unit").sortWithinPartitions("branch", "epoch", "unit", *order)
+    return materialize(placed.select(*ASKED).mapInArrow(chunk_folder(window), FOLDED))
+
+
+def frontier_changesets(rows: DataFrame, window: int = WINDOW, prepared: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """Membership (branch, leader_id, t, author, log, commitid, path, event_id, member_t).
+
+    ``rows``: branch, path, event_id, t, author, log, commitid, dead.  A file takes part
+    with its newest revision that isn't taken.  Ties in time go by path, then the larger id.
+    ``prepared`` rows have keeps_alive and lack what ``surviving`` leaves out.
+
+    What a leader takes depends on what the ones before it left.  Epochs start with nothing
+    left; a longer one is cut into chunks of ``chunk`` revisions that are folded at once, each
+    after guessing, from the revisions before it, what is held where it begins.  A chunk
+    whose guess isn't what the chunk before it left is folded again with that, and with
+    twice as many of those behind it in every round, until all agree; then the result is
+    that of the sequential fold.
+    """
+    rows = rows if prepared else surviving(rows)
+    cut = epochs(rows, ["branch"], window)
+    place = F.struct((-F.col("t")).alias("t"), F.col("path").alias("path"), (-F.col("event_id")).alias("id"))
+    ends = cut.groupBy("branch").agg(F.max("epoch").alias("newest"), F.max(F.when(F.col("keeps_alive"), place)).alias("oldest"))
+    cut = cut.join(ends, "branch").withColumn("first", F.col("epoch") == F.col("newest"))
+    cut = materialize(chunked(cut.select("branch", "epoch", "first", "oldest", *STREAMED), chunk))
+    keys, units = ["branch", "epoch", "chunk"], ["branch", "epoch", "unit"]
+    found = folded(fed(cut, window).withColumn("unit", F.col("chunk")), window)
+    span = 1
+    while True:
+        seams = found.filter(F.col("kind") == SEAM).select(*keys, "begins", "ends")
+        before = seams.select("branch", "epoch", (F.col("chunk") + 1).alias("chunk"), F.col("ends").alias("left_over"))
+        wrong = seams.join(before, keys).filter("begins != left_over").withColumn("block", F.floor(F.col("chunk") / span))
+        start = F.min(F.struct("chunk", F.col("left_over").startswith("first").alias("first"))).alias("s")
+        wrong = materialize(wrong.groupBy("branch", "epoch", "block").agg(start).select("branch", "epoch", "block", F.col("s.chunk").alias("unit"), F.col("s.first").alias("first")))
+        if wrong.isEmpty():
+            break
+        # from what the chunk before it left, as it stands, a wrong one is folded with those behind it
+        own = cut.drop("first").withColumn("block", F.floor(F.col("chunk") / span)).join(wrong, ["branch", "epoch", "block"]).filter("chunk >= unit").withColumn("part", F.lit("own"))
+        flags = own.filter("chunk = unit").groupBy(*units).agg(F.max("last").alias("last"), F.max("first").alias("first"))
+        left = found.filter(F.col("kind") == LEFT).select("branch", "epoch", (F.col("chunk") + 1).alias("unit"), "event_id").join(flags, units)
+        given = left.join(cut.drop("chunk", "last", "first"), ["branch", "epoch", "event_id"]).withColumns({"part": F.lit("given"), "chunk": F.col("unit")})
+        again = folded(own.drop("block").unionByName(given), window)
+        redone = own.select(*keys).distinct()
+        found = materialize(found.join(redone, keys, "left_anti").unionByName(again))
+        span *= 2
+    members = found.filter(F.col("kind") == MEMBER)
+    return members.select("branch", "leader_id", F.col("leader_t").alias("t"), F.col("leader_author").alias("author"), F.col("leader_log").alias("log"), F.col("leader_commitid").alias("commitid"), "path", "event_id", "member_t")
 
 
 def changesets_of(membership: DataFrame) -> DataFrame:

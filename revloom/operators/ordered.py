@@ -44,10 +44,13 @@ def ranked(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], n
     return running(rows, keys, bucket, order, {name: F.lit(1).cast("long")})
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds the row's number, from 1, in the order of all rows, which are dealt over ranges of it."""
-    cut = materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    return ranked(cut, [], "__part", order, name).drop("__part")
+def numbered(rows: DataFrame, order: list[Column], name: str, keys: list[str] = ()) -> DataFrame:
+    """Adds the row's number, from 1, in the order of all rows, or of those of its key.
+
+    Rows are dealt over ranges of the order, so a key of any size is spread.
+    """
+    cut = materialize(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    return ranked(cut, list(keys), "__part", order, name).drop("__part")
 
 
 def with_neighbour(rows: DataFrame, keys: list[str], bucket: str, order: list[Column], columns: dict[str, str], following: bool = False) -> DataFrame:

@@ -305,12 +305,27 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changesets.frontier_changesets(unnumbered_log(spark, sf_dir).withColumn("branch", F.lit("master")), CHANGESET_WINDOW)
 
 
-@query()
+#: Each step of the recursion is a changeset: every file's newest revision that isn't taken,
+#: the leader among them, and what it takes.
+FRONTIER = f"""WITH RECURSIVE {RL},
+s AS (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM rl),
+c AS MATERIALIZED (SELECT path, row_number() OVER (PARTITION BY path ORDER BY t, event_id) AS k, event_id, t, author, log, commitid, NOT (rn = 1 AND dead) AS alive,
+  coalesce('c' || commitid, 'a' || author || chr(1) || log) AS key FROM s WHERE NOT (rn = 1 AND dead AND n > 1)),
+f AS (SELECT 0 AS step, path, max(k) AS k, NULL::BIGINT AS leader_id, NULL::BIGINT AS event_id FROM c GROUP BY path
+  UNION ALL
+  SELECT step + 1, path, CASE WHEN m THEN k - 1 ELSE k END, -lead.i, CASE WHEN m THEN event_id END
+  FROM (SELECT *, key = lead.key AND -lead.t - t < {CHANGESET_WINDOW} AS m FROM (
+    SELECT step, path, k, c.event_id, t, key, min({{'t': -t, 'p': path, 'i': -c.event_id, 'key': key}}) OVER () AS lead, bool_or(alive) OVER () AS any_alive FROM f JOIN c USING (path, k)))
+  WHERE step = 0 OR any_alive),
+taken AS (SELECT leader_id, event_id, path FROM f WHERE event_id IS NOT NULL)"""
+
+
+@query(f"{FRONTIER}, g AS (SELECT leader_id, count(*) AS files FROM taken GROUP BY leader_id) SELECT 'master' AS branch, leader_id, t, author, log, commitid, files FROM g JOIN c ON c.event_id = leader_id")
 def frontier_changesets(spark, sf_dir):
     return changesets.changesets_of(membership(spark, sf_dir))
 
 
-@query()
+@query(f"{FRONTIER} SELECT 'master' AS branch, leader_id, event_id, path FROM taken")
 def frontier_membership(spark, sf_dir):
     return membership(spark, sf_dir).select("branch", "leader_id", "event_id", "path")
 

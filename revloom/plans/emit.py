@@ -111,8 +111,11 @@ def stream(history: History, authors: DataFrame | None = None) -> DataFrame:
     prop = F.when((F.lit(o.properties)) & (pairs != ""), F.concat(F.lit("property cvs-revision "), F.octet_length(pairs), F.lit(" "), pairs))
     body = F.concat(F.coalesce(restart, F.lit("")), F.lit("commit "), branch, F.lit("\nmark :"), "mark", F.lit("\n"), who, sized(log), F.lit("\n"), F.coalesce(origin, F.lit("")), changes, F.coalesce(ignores, F.lit("")), F.coalesce(prop, F.lit("")), F.lit("\n"))
     commit_rows = commits.select("place", F.lit(1).alias("kind"), F.col("mark").alias("sub"), body.cast("binary").alias("chunk"))
-    used = blobs.join(commits.select(F.col("place").alias("p")), F.col("p") == F.col("sub.place"), "left_semi") if o.newer_than is not None else blobs
-    content = used.join(history.blobs(), ["master_id", "number"])
+    used, wanted = blobs, None
+    if o.newer_than is not None:  # only what later commits use is replayed
+        used = materialize(blobs.join(commits.select(F.col("place").alias("p")), F.col("p") == F.col("sub.place"), "left_semi"))
+        wanted = used.select("master_id", "number")
+    content = used.join(history.blobs(wanted), ["master_id", "number"])
     root_ignore = history.masters.files.filter("fileop_path = '.gitignore'").select("master_id", F.lit(True).alias("is_root_ignore"))
     content = content.join(root_ignore, "master_id", "left")
     data = F.when(F.col("is_root_ignore"), F.concat(F.lit(text.DEFAULT_IGNORES).cast("binary"), F.col("content"))).otherwise(F.col("content"))

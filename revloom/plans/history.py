@@ -172,11 +172,11 @@ class History:
         self.branchlet_trees = lets.select("name", "cs_id").join(live, "name").select("cs_id", "master_id", "rev")
         return placed.withColumn("synthetic", F.lit(False)), lets
 
-    def blobs(self) -> DataFrame:
-        """(master_id, number, content) of all live revisions."""
+    def blobs(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(master_id, number, content) of all live revisions, or of those that are ``wanted``."""
         files = self.masters.files.select("master_id", text.resolved_mode("expand", self.options.keywords).alias("mode"), "path")
         rows = self.revisions.select("master_id", revnum.render("rev").alias("number"), "edit_text", "dead", "t", "author", "state", "log")
-        return replay.snapshots(rows.join(files, "master_id"))
+        return replay.snapshots(rows.join(files, "master_id"), wanted)
 
     def authors(self) -> DataFrame:
         """author and place, in order of first changeset."""

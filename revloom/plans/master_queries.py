@@ -14,12 +14,14 @@ from revloom.plans.history import History
 from revloom.sources.masters import Masters
 from revloom.sources.revision_log import table
 
-#: The revisions in SQL: a turn each on the trunk, and one on a branch from the first turn.
+#: The revisions in SQL: four conversations at a time are worked on together, a turn each on
+#: the trunk; every other one has a branch from its first turn.
 REVISIONS = """
-n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role, replace(coalesce(text, ''), ' ', chr(10)) || chr(10) AS body FROM conversations),
-revs AS (SELECT 'c' || conv_id || '.txt' AS path, '1.' || k AS number, 'master' AS branch, 1000000000 + conv_id * 40000 + k * 400 AS t, 'a' || conv_id % 7 AS author, coalesce(role, '') || chr(10) AS log,
-    k % 5 <> 0 AS live, CASE WHEN conv_id % 3 = 0 THEN 'id' || conv_id || 'x' || k END AS commitid, body FROM n
-  UNION ALL SELECT 'c' || conv_id || '.txt', '1.1.2.1', 'BR', 1000000000 + conv_id * 40000 + 20000, 'b', 'on branch' || chr(10), true, NULL, body || 'branched' || chr(10) FROM n WHERE k = 1)"""
+n AS (SELECT conv_id, conv_id // 4 AS g, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role, replace(coalesce(text, ''), ' ', chr(10)) || chr(10) AS body FROM conversations),
+revs AS (SELECT 'c' || conv_id || '.txt' AS path, '1.' || k AS number, 'master' AS branch, 1000000000 + g * 40000 + k * 400 + conv_id % 4 * 20 AS t, 'a' || g % 7 AS author, coalesce(role, '') || chr(10) AS log,
+    k % 5 <> 0 AS live, CASE WHEN conv_id % 3 = 0 THEN 'id' || g || 'x' || k END AS commitid, body, g, k FROM n
+  UNION ALL SELECT 'c' || conv_id || '.txt', '1.1.2.1', 'BR', 1000000000 + g * 40000 + 20000 + conv_id % 4 * 20, 'b', 'on branch' || chr(10), true, NULL, body || 'branched' || chr(10), g, 0 FROM n WHERE k = 1 AND conv_id % 2 = 0),
+sets AS (SELECT *, max({'t': t, 'log': log}) OVER (PARTITION BY branch, g, k, coalesce(commitid, log)) AS lead FROM revs)"""
 
 
 def conversation_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def conversation_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(turns))
     body = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("\n")), F.lit("\n"))
     rows = rows.withColumn("body", body).withColumn("lines", F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit(""))))
-    rows = rows.withColumn("above", F.lead("lines").over(turns)).withColumn("base", 1_000_000_000 + F.col("conv_id") * 40_000)
+    rows = rows.withColumn("above", F.lead("lines").over(turns)).withColumn("g", F.floor(F.col("conv_id") / 4))
+    rows = rows.withColumn("base", 1_000_000_000 + F.col("g") * 40_000 + F.col("conv_id") % 4 * 20).withColumn("grows", F.col("conv_id") % 2 == 0)
 
     def header(number, seconds, author, state, branches, after, commitid):
         date = F.date_format(F.timestamp_seconds(seconds), "yyyy.MM.dd.HH.mm.ss")
@@ -38,15 +41,16 @@ def conversation_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(F.lit("\n"), number, F.lit("\nlog\n@"), text.at_escaped(log), F.lit("\n@\ntext\n@"), text.at_escaped(edit), F.lit("@\n"))
 
     number = F.concat(F.lit("1."), "k")
-    commitid = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("commitid\tid"), "conv_id", F.lit("x"), "k", F.lit(";\n"))).otherwise("")
-    head = header(number, F.col("base") + F.col("k") * 400, F.concat(F.lit("a"), F.col("conv_id") % 7), F.when(F.col("k") % 5 == 0, "dead").otherwise("Exp"), F.when(F.col("k") == 1, "\n\t1.1.2.1").otherwise(""), F.when(F.col("k") > 1, F.concat(F.lit("1."), F.col("k") - 1)).otherwise(""), commitid)
+    commitid = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("commitid\tid"), "g", F.lit("x"), "k", F.lit(";\n"))).otherwise("")
+    head = header(number, F.col("base") + F.col("k") * 400, F.concat(F.lit("a"), F.col("g") % 7), F.when(F.col("k") % 5 == 0, "dead").otherwise("Exp"), F.when((F.col("k") == 1) & F.col("grows"), "\n\t1.1.2.1").otherwise(""), F.when(F.col("k") > 1, F.concat(F.lit("1."), F.col("k") - 1)).otherwise(""), commitid)
     # a version replaces all lines of the next one
     edit = F.when(F.col("above").isNull(), F.col("body")).otherwise(F.concat(F.lit("d1 "), "above", F.lit("\na"), "above", F.lit(" "), "lines", F.lit("\n"), "body"))
-    rows = rows.select("conv_id", "k", head.alias("head"), body_of(number, F.coalesce("role", F.lit("")), edit).alias("tail"), header(F.lit("1.1.2.1"), F.col("base") + 20_000, F.lit("b"), F.lit("Exp"), F.lit(""), F.lit(""), F.lit("")).alias("branch_head"), body_of(F.lit("1.1.2.1"), F.lit("on branch"), F.concat(F.lit("a"), "lines", F.lit(" 1\nbranched\n"))).alias("branch_tail"))
+    rows = rows.select("conv_id", "k", "grows", head.alias("head"), body_of(number, F.coalesce("role", F.lit("")), edit).alias("tail"), header(F.lit("1.1.2.1"), F.col("base") + 20_000, F.lit("b"), F.lit("Exp"), F.lit(""), F.lit(""), F.lit("")).alias("branch_head"), body_of(F.lit("1.1.2.1"), F.lit("on branch"), F.concat(F.lit("a"), "lines", F.lit(" 1\nbranched\n"))).alias("branch_tail"))
+    rows = rows.withColumns({c: F.when(F.col("grows"), F.col(c)).otherwise("") for c in ("branch_head", "branch_tail")})
     files = rows.groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("k", "head", "tail", "branch_head", "branch_tail")))).alias("r"))
     first = F.element_at("r", -1)
     joined = lambda field: F.array_join(F.transform("r", lambda x: x[field]), "")
-    admin = F.concat(F.lit("head\t1."), F.size("r"), F.lit(";\naccess;\nsymbols\n\tBR:1.1.0.2;\nlocks; strict;\ncomment\t@# @;\n\n\n"))
+    admin = F.concat(F.lit("head\t1."), F.size("r"), F.lit(";\naccess;\nsymbols"), F.when(F.col("conv_id") % 2 == 0, "\n\tBR:1.1.0.2").otherwise(""), F.lit(";\nlocks; strict;\ncomment\t@# @;\n\n\n"))
     content = F.concat(admin, joined("head"), first["branch_head"], F.lit("\n\ndesc\n@@\n"), joined("tail"), first["branch_tail"])
     return files.select(F.concat(F.lit("m/c"), "conv_id", F.lit(".txt,v")).alias("path"), F.encode(content, "UTF-8").alias("content"))
 
@@ -69,15 +73,47 @@ def master_contents(spark, sf_dir):
     return replay.snapshots(rows).join(masters.files.select("master_id", F.col("fileop_path").alias("path")), "master_id").select("path", "number", F.md5("content").alias("content"))
 
 
-@query(f"""WITH {REVISIONS} SELECT branch, row_number() OVER (PARTITION BY branch ORDER BY t) - 1 AS seq, t, author, log, CASE WHEN live THEN 'M' ELSE 'D' END AS op, path, CASE WHEN live THEN number END AS number FROM revs""")
+#: Files whose revisions are later than this are wanted by an incremental conversion.
+CUTOFF = 1_000_081_300
+NEEDED = f"""w AS (SELECT * FROM revs WHERE live AND t > {CUTOFF}),
+lowest AS (SELECT path, min(CASE WHEN branch = 'BR' THEN 1 ELSE k END) AS low FROM w GROUP BY path)"""
+
+
+def wanted(deltas: DataFrame) -> DataFrame:
+    return deltas.filter((F.col("t") > CUTOFF) & ~F.col("dead")).select("master_id", revnum.render("rev").alias("number"))
+
+
+@query(f"WITH {REVISIONS}, {NEEDED} SELECT path, number FROM revs JOIN lowest USING (path) WHERE branch = 'master' AND k >= low UNION ALL SELECT path, number FROM w WHERE branch = 'BR'")
+def needed_deltas(spark, sf_dir):
+    """The deltas that revisions after a cutoff depend on; no others are replayed for them."""
+    masters = masters_of(spark, sf_dir)
+    rows = replay.chained(masters.deltas.select("master_id", F.col("fileop_path").alias("path"), revnum.render("rev").alias("number")))
+    return replay.needed(rows, wanted(masters.deltas)).select("path", "number")
+
+
+@query(f"WITH {REVISIONS} SELECT path, number, md5(body) AS content FROM revs WHERE live AND t > {CUTOFF}")
+def contents_since(spark, sf_dir):
+    """Contents of the revisions after a cutoff, replayed from the deltas that they need."""
+    masters = masters_of(spark, sf_dir)
+    rows = masters.deltas.select("master_id", revnum.render("rev").alias("number"), "edit_text", "dead", F.lit("b").alias("mode"))
+    found = replay.snapshots(rows, wanted(masters.deltas), segment=4)
+    return found.join(masters.files.select("master_id", F.col("fileop_path").alias("path")), "master_id").select("path", "number", F.md5("content").alias("content"))
+
+
+@query(f"""WITH {REVISIONS}, c AS (SELECT branch, lead.t AS t, row_number() OVER (PARTITION BY branch ORDER BY lead.t) - 1 AS seq FROM sets GROUP BY branch, lead.t)
+SELECT branch, seq, lead.t AS t, author, lead.log AS log, CASE WHEN live THEN 'M' ELSE 'D' END AS op, path, CASE WHEN live THEN number END AS number FROM sets JOIN c USING (branch) WHERE c.t = lead.t
+UNION ALL SELECT 'BR', 0, (SELECT min(lead.t) FROM sets WHERE branch = 'BR'), 'b', 'on branch' || chr(10), 'D', path, NULL FROM sets
+  WHERE path NOT IN (SELECT path FROM sets WHERE branch = 'BR') AND lead.t <= (SELECT arg_max(lead.t, t) FROM sets WHERE branch = 'master' AND k = 1 AND g = 0 AND path IN (SELECT path FROM sets WHERE branch = 'BR'))""")
 def master_history(spark, sf_dir):
-    """Changesets and their file operations: revisions further apart than the window stay alone."""
+    """Changesets, several files in one, and their file operations: what the branch's first
+    tree lacks of the one that it grows from is deleted there."""
     history = History(masters_of(spark, sf_dir))
     ops = history.fileops.select("cs_id", "op", "path", revnum.render("rev").alias("number"))
     return history.changesets.join(ops, "cs_id").select("branch", "seq", "t", "author", "log", "op", "path", "number")
 
 
-@query(f"""WITH {REVISIONS}, m AS (SELECT *, sum(1 + live::INT) OVER (ORDER BY t)::BIGINT AS mark FROM revs) SELECT mark, path || ' ' || number || ' :' || mark AS line FROM m WHERE live""")
+@query(f"""WITH {REVISIONS}, c AS (SELECT branch, lead.t AS t, sum(count(*) FILTER (live) + 1) OVER (ORDER BY lead.t)::BIGINT AS mark FROM sets GROUP BY branch, lead.t)
+SELECT mark, path || ' ' || number || ' :' || mark AS line FROM sets JOIN c USING (branch) WHERE c.t = lead.t AND live""")
 def master_revision_map(spark, sf_dir):
-    """The map of revisions to marks: each commit's mark comes after that of its blob."""
+    """The map of revisions to marks: each commit's mark comes after those of its blobs."""
     return emit.revision_map(History(masters_of(spark, sf_dir))).select("mark", "line")

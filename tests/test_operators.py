@@ -35,8 +35,8 @@ def greedy(rows, window):
         out.append((lead["event_id"], sorted(r["event_id"] for r in members)))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_frontier_changesets_like_the_model(spark, seed):
+@pytest.mark.parametrize(("seed", "chunk"), [(0, changesets.CHUNK), (1, 5), (2, 2)])
+def test_frontier_changesets_like_the_model(spark, seed, chunk):
     rng = random.Random(seed)
     rows, want, event = [], set(), 0
     for branch in range(60):
@@ -48,10 +48,38 @@ def test_frontier_changesets_like_the_model(spark, seed):
         rows += own
         want |= {(f"b{branch}", lead, tuple(members)) for lead, members in greedy([dict(r) for r in own], 300)}
     df = spark.createDataFrame(rows, "branch string, path string, event_id long, t long, author string, log string, commitid string, dead boolean")
-    got = changesets.frontier_changesets(df, 300).groupBy("branch", "leader_id").agg(F.sort_array(F.collect_list("event_id")).alias("m")).collect()
+    got = changesets.frontier_changesets(df, 300, chunk=chunk).groupBy("branch", "leader_id").agg(F.sort_array(F.collect_list("event_id")).alias("m")).collect()
     assert {(r.branch, r.leader_id, tuple(r.m)) for r in got} == want
 
 
+def test_a_dense_history_in_chunks_like_the_sequential_fold(spark):
+    """One epoch of 100,000 revisions: chunks folded at once give what one fold gives."""
+    rng = random.Random(11)
+    rows, t = [], 0
+    for i in range(100_000):
+        t += rng.choice([0, 5, 10, 30])
+        rows.append((i, t, f"p{rng.randint(0, 400)}", rng.choice("abcdefg"), rng.choice("lmnop"), rng.choice([None, None, f"c{i // 50}"]), rng.random() < 0.1))
+    frontier, want = changesets.Frontier(300, (0, "", 1), True), {}
+    fed = [changesets.Revision(i, t, p, a, m, c, True) for i, t, p, a, m, c, _ in sorted(rows, key=lambda r: (-r[1], r[2], -r[0]))]
+    for found in [*(f for r in fed for f in frontier.feed(r)), *frontier.finish()]:
+        want[found[0].event_id] = sorted(m.event_id for m in found[1])
+    df = spark.createDataFrame(rows, "event_id long, t long, path string, author string, log string, commitid string, dead boolean").withColumns({"branch": F.lit("b"), "keeps_alive": F.lit(True)})
+    found = changesets.frontier_changesets(df, 300, prepared=True, chunk=8_000)
+    assert found.groupBy("leader_id").agg(F.sort_array(F.collect_list("event_id")).alias("m")).rdd.map(tuple).collectAsMap() == want
+    assert df.count() == found.count() and len(want) > 1000
+
+
+def test_chunks_whose_guess_is_wrong_are_folded_again(spark, monkeypatch):
+    monkeypatch.setattr(changesets, "WARM", 0)
+    rng = random.Random(12)
+    rows = [dict(branch="b", path=f"p{rng.randint(0, 5)}", event_id=i, t=i * 40, author=rng.choice("xy"), log="l", commitid=None, dead=i < 3) for i in range(300)]
+    want = {(lead, tuple(members)) for lead, members in greedy([dict(r) for r in rows], 300)}
+    df = spark.createDataFrame(rows, "branch string, path string, event_id long, t long, author string, log string, commitid string, dead boolean")
+    for size in (60, 20):
+        got = changesets.frontier_changesets(df, 300, chunk=size).groupBy("leader_id").agg(F.sort_array(F.collect_list("event_id")).alias("m")).collect()
+        assert {(r.leader_id, tuple(r.m)) for r in got} == want
+
+
 def test_running_sums_and_neighbours_cross_buckets(spark):
     rng = random.Random(5)
     rows = [(rng.choice("ab"), rng.randint(0, 900_000), i, rng.randint(0, 9)) for i in range(300)]
