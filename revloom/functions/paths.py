@@ -73,12 +73,3 @@ def common_folder(paths: DataFrame, path_col: str = "path", keys: list[str] | No
     """
     ends = paths.groupBy(*(keys or [])).agg(F.min(path_col).alias("low"), F.max(path_col).alias("high"))
     return ends.select(*(keys or []), F.coalesce(shared_prefix(F.col("low"), F.col("high")), F.lit("")).alias("prefix"))
-
-
-def blob_path(serial: Column | str) -> Column:
-    """A fan-out path for a serial: its base-256 digits from the lowest, the highest as file."""
-    serial = _col(serial)
-    steps = F.filter(F.sequence(F.lit(0), F.lit(24), F.lit(8)), lambda k: (k == 0) | (F.floor(serial / F.pow(F.lit(2), k)) > 0))
-    digits = F.transform(steps, lambda k: F.lower(F.hex((F.floor(serial / F.pow(F.lit(2), k)) % 256).cast("int"))))
-    last = F.size(digits)
-    return F.concat(F.array_join(F.transform(F.slice(digits, 1, last - 1), lambda d: F.concat(F.lit("/"), d)), ""), F.lit("/="), F.element_at(digits, last))

@@ -1,4 +1,4 @@
-"""Branch points, branch trees and reachability."""
+"""Branch points and parents."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from revloom.functions import revnum
 from revloom.operators.ordered import day_of
-from revloom.operators.shared import materialize
 
 
 def as_of_backward(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], order: str = "event_id") -> DataFrame:
@@ -33,15 +32,27 @@ def as_of_backward(left: DataFrame, right: DataFrame, keys: list[str], values: l
 
 def newest_match(left: DataFrame, right: DataFrame, keys: list[str], window: int, left_id: str, right_id: str, others: bool = False) -> DataFrame:
     """For each row of ``left`` the newest row of ``right`` with the same keys and a time
-    closer than ``window``: a join on time buckets, as wide as the window.  ``others``: not
-    the row of the same id, where both sides are one table."""
-    near = right.withColumn("__b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t") / window) + d)))
-    near = near.select(*keys, "__b", F.col("t").alias("__t"), F.col(right_id).alias("__id"))
-    pairs = left.withColumn("__b", F.floor(F.col("t") / window)).join(near, [*keys, "__b"]).filter(F.abs(F.col("t") - F.col("__t")) < window)
+    closer than ``window``.  ``others``: not the row of the same id, where both sides are one
+    table.
+
+    A sliding frame over both, in stretches of 64 windows: a row of ``right`` near the end of
+    one stands in the next as well, so nothing is paired.
+    """
+    stretch = 64 * window
+    found = F.struct(F.col("t").alias("t"), F.col(right_id).alias("id"))
+    shares = F.array_distinct(F.transform(F.array(F.lit(1 - window), F.lit(0), F.lit(window - 1)), lambda d: F.floor((F.col("t") + d) / stretch)))
+    near = right.select(*keys, "t", F.explode(shares).alias("__b"), found.alias("__found"), F.lit(None).cast(dict(left.dtypes)[left_id]).alias("__id"))
+    asked = left.select(*keys, "t", F.floor(F.col("t") / stretch).alias("__b"), F.lit(None).cast(near.schema["__found"].dataType).alias("__found"), F.col(left_id).alias("__id"))
+    both = near.unionByName(asked)
+    frame = Window.partitionBy(*keys, "__b").orderBy("t").rangeBetween(1 - window, window - 1)
+    rows = both.withColumn("__best", F.max("__found").over(frame))
     if others:
-        pairs = pairs.filter(F.col(left_id) != F.col("__id"))
-    best = F.max(F.struct("__t", "__id"))
-    return pairs.groupBy(left_id).agg(best.alias("best")).select(left_id, F.col("best.__t").alias("found_t"), F.col("best.__id").alias("found_id"))
+        # the newest may be the row itself: then it is the one before it, if that is near enough
+        order = Window.partitionBy(*keys, "__b").orderBy("t", F.coalesce("__found.id", "__id"), F.col("__found").isNull()).rowsBetween(Window.unboundedPreceding, -2)
+        rows = rows.withColumn("__before", F.last("__found", ignorenulls=True).over(order)).withColumn("__own", F.col("__best.id") == F.col("__id"))
+        before = F.when(F.col("t") - F.col("__before.t") < window, F.col("__before"))
+        rows = rows.withColumn("__best", F.when(F.col("__own"), before).otherwise(F.col("__best")))
+    return rows.filter(F.col("__id").isNotNull() & F.col("__best").isNotNull()).select(F.col("__id").alias(left_id), F.col("__best.t").alias("found_t"), F.col("__best.id").alias("found_id"))
 
 
 def deepest_branch(numbers: DataFrame, heads: DataFrame) -> DataFrame:
@@ -56,41 +67,6 @@ def deepest_branch(numbers: DataFrame, heads: DataFrame) -> DataFrame:
     return found.groupBy("key").agg(best.alias("best")).select("key", F.col("best.head").alias("head"))
 
 
-class BranchCycle(ValueError):
-    """Branches that are each other's ancestors."""
-
-
-def ancestors(parents: DataFrame, limit: int = 24) -> DataFrame:
-    """(node, ancestor, distance) for all ancestors, the node itself at distance 0.
-
-    ``parents``: node, parent (null at a root).  Links double in length every round, so
-    the rounds are the logarithm of the depth; a node above itself raises.
-    """
-    links = materialize(parents.filter(F.col("parent").isNotNull()).select("node", F.col("parent").alias("ancestor")))
-    known = parents.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
-    for step in (2**i for i in range(limit)):
-        if links.isEmpty():
-            return known
-        further = known.select("node", F.col("ancestor").alias("__m"), "distance").join(links.select(F.col("node").alias("__m"), "ancestor"), "__m")
-        known = materialize(known.unionByName(further.select("node", "ancestor", (F.col("distance") + step).alias("distance"))))
-        if not known.filter("node = ancestor and distance > 0").isEmpty():
-            break
-        links = materialize(links.alias("a").join(links.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor")))
-    raise BranchCycle("the branch tree has a cycle")
-
-
-def depths(parents: DataFrame) -> DataFrame:
-    """(node, depth), 0 at a root: parents come before their children in this order."""
-    return ancestors(parents).groupBy("node").agg(F.max("distance").alias("depth"))
-
-
-def reference_counts(parents: DataFrame, heads: DataFrame) -> DataFrame:
-    """For each node that a head reaches: (node, refs, owner), ``owner`` the smallest head,
-    on whose branch it counts first."""
-    reached = ancestors(parents).join(heads.select(F.col("head").alias("node")), "node")
-    return reached.groupBy("ancestor").agg(F.count(F.lit(1)).alias("refs"), F.min("node").alias("owner")).withColumnRenamed("ancestor", "node")
-
-
 def parents_over_masters(heads: DataFrame) -> DataFrame:
     """Over all masters, each branch's parent: the one named by most masters' deepest entry.
 

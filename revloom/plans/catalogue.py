@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
-from revloom.operators import branches, changesets, ordered, repair, replay, tags, trees, verify
+from revloom.operators import branches, changesets, forest, ordered, repair, replay, tags, trees, verify
 from revloom.sources.revision_log import revision_log, table, unnumbered_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,12 +140,6 @@ def folder_ancestry(spark, sf_dir):
     return rows.select(F.explode(paths.ancestors("folder")).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN s < 256 THEN '' ELSE '/' || lower(printf('%x', s % 256)) END || CASE WHEN s < 65536 THEN '' ELSE '/' || lower(printf('%x', s // 256 % 256)) END
-  || '/=' || lower(printf('%x', CASE WHEN s < 256 THEN s WHEN s < 65536 THEN s // 256 ELSE s // 65536 END)) AS blob FROM (SELECT o_orderkey, o_orderkey * 7 AS s FROM orders)""")
-def blob_paths(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", paths.blob_path(F.col("o_orderkey") * 7).alias("blob"))
-
-
 # Contents
 
 
@@ -192,18 +186,9 @@ def tz_render(spark, sf_dir):
     return unnumbered_log(spark, sf_dir).select("event_id", text.author_stamp(F.timestamp_seconds("t"), zone).alias("stamp"))
 
 
-@query(f"""WITH {RL}, m AS (SELECT 'a' || c_custkey AS name, c_name AS "full", lower(c_mktsegment) || '@example.org' AS email FROM customer WHERE c_custkey < 5)
-  SELECT author, coalesce("full", author) AS full_name, coalesce(email, author) AS email, count(*) AS revisions FROM rl LEFT JOIN m ON author = name GROUP BY ALL""")
-def author_map_join(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").filter("c_custkey < 5").select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("author"), F.col("c_name").alias("full"), F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("mail"))
-    counted = unnumbered_log(spark, sf_dir).groupBy("author").agg(F.count(F.lit(1)).alias("revisions"))
-    return counted.join(known, "author", "left").select("author", F.coalesce("full", "author").alias("full_name"), F.coalesce("mail", "author").alias("email"), "revisions")
-
-
 @query(f"""WITH {RL}, m AS (SELECT 'a' || c_custkey AS name, c_name AS "full", lower(c_mktsegment) || '@example.org' AS email FROM customer)
   SELECT author, coalesce("full", author) AS full_name, coalesce(email, author) AS email, count(*) AS revisions FROM rl LEFT JOIN m ON author = name GROUP BY ALL""")
-def author_map_join_whole(spark, sf_dir):
-    """The map is the whole customer table."""
+def author_map_join(spark, sf_dir):
     known = table(spark, sf_dir, "customer").select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("author"), F.col("c_name").alias("full"), F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("mail"))
     counted = unnumbered_log(spark, sf_dir).groupBy("author").agg(F.count(F.lit(1)).alias("revisions"))
     return counted.join(known, "author", "left").select("author", F.coalesce("full", "author").alias("full_name"), F.coalesce("mail", "author").alias("email"), "revisions")
@@ -254,15 +239,10 @@ def rcs_escape_roundtrip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", escaped.alias("escaped")).select("doc_id", F.length("escaped").cast("long").alias("escaped_length"), F.md5(text.at_unescaped("escaped")).alias("back"))
 
 
-@query("""SELECT doc_id, replace(replace(replace(replace(substr(text, 1, 200), '\\', '\\\\'), chr(10), '\\n'), ' ', '\\040'), '$', '\\044') AS value FROM documents WHERE text IS NOT NULL""")
-def keyword_value_escapes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", text.value_escaped(F.substring("text", 1, 200)).alias("value"))
-
-
 @query(r"""WITH e AS (SELECT doc_id, replace(replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(10), '\n'), ' ', '\040'), '$', '\044') AS value FROM documents)
   SELECT doc_id, length(value)::BIGINT AS length, md5(value) AS digest FROM e""")
-def keyword_value_escapes_whole(spark, sf_dir):
-    """Every document, from its first character to its last; ``keyword_value_escapes`` has 200 of them."""
+def keyword_value_escapes(spark, sf_dir):
+    """Every document, from its first character to its last."""
     value = text.value_escaped("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.length(value).cast("long").alias("length"), F.md5(value).alias("digest"))
 
@@ -397,16 +377,9 @@ def branch_point_asof(spark, sf_dir):
     return found.select("event_id", "trunk_id", "trunk_t")
 
 
-@query(f"""WITH {RL} SELECT b.event_id, max({{'t': v.t, 'e': v.event_id}}).t AS found_t, max({{'t': v.t, 'e': v.event_id}}).e AS found_id
-  FROM rl b JOIN rl v ON b.event_id % 2 = 1 AND v.event_id % 2 = 0 AND v.author = b.author AND v.log = b.log AND abs(v.t - b.t) < 1800 GROUP BY b.event_id""")
-def branch_point_by_meta(spark, sf_dir):
-    rows = unnumbered_log(spark, sf_dir).select("event_id", "author", "log", "t")
-    return branches.newest_match(rows.filter("event_id % 2 = 1"), rows.filter("event_id % 2 = 0"), ["author", "log"], 1800, "event_id", "event_id")
-
-
 @query(f"""WITH {RL} SELECT b.event_id, max({{'t': v.t, 'e': v.event_id}}).t AS found_t, max({{'t': v.t, 'e': v.event_id}}).e AS found_id
   FROM rl b JOIN rl v ON v.event_id <> b.event_id AND v.author = b.author AND v.log = b.log AND abs(v.t - b.t) < 1800 GROUP BY b.event_id""")
-def branch_point_by_meta_whole(spark, sf_dir):
+def branch_point_by_meta(spark, sf_dir):
     """Every revision meets every other one."""
     rows = unnumbered_log(spark, sf_dir).select("event_id", "author", "log", "t")
     return branches.newest_match(rows, rows, ["author", "log"], 1800, "event_id", "event_id", others=True)
@@ -423,26 +396,57 @@ PART_TREE = """anc AS (SELECT p_partkey AS node, p_partkey AS a, 0 AS d FROM par
 
 @query(f"WITH RECURSIVE {PART_TREE} SELECT node, max(d)::BIGINT AS depth FROM anc GROUP BY node")
 def branch_depth(spark, sf_dir):
-    return branches.depths(part_tree(spark, sf_dir))
+    return forest.depths(part_tree(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {PART_TREE}, d AS (SELECT node, max(d) AS depth FROM anc GROUP BY node) SELECT node, row_number() OVER (ORDER BY depth, node) AS place FROM d")
 def branch_toposort(spark, sf_dir):
-    rows = branches.depths(part_tree(spark, sf_dir)).withColumn("all", F.lit(0))
+    rows = forest.depths(part_tree(spark, sf_dir)).withColumn("all", F.lit(0))
     return ordered.ranked(rows, ["all"], "depth", [F.col("node")], "place").select("node", "place")
 
 
-@query(f"WITH RECURSIVE {PART_TREE} SELECT a AS node, count(*) AS refs, min(node) AS owner FROM anc WHERE node % 10 = 0 GROUP BY a")
+@query(f"WITH RECURSIVE {PART_TREE} SELECT a AS node, count(*) AS refs, min(node) AS owner FROM anc GROUP BY a")
 def ancestor_refcount(spark, sf_dir):
+    """Every node is a head."""
     tree = part_tree(spark, sf_dir)
-    return branches.reference_counts(tree, tree.filter("node % 10 = 0").select(F.col("node").alias("head")))
+    return forest.reference_counts(tree, tree.select(F.col("node").alias("head")))
 
 
-@query(f"WITH RECURSIVE {PART_TREE} SELECT a AS node, count(*) AS refs, min(node) AS owner FROM anc GROUP BY a")
-def ancestor_refcount_whole(spark, sf_dir):
-    """Every node is a head."""
-    tree = part_tree(spark, sf_dir)
-    return branches.reference_counts(tree, tree.select(F.col("node").alias("head")))
+@query(f"""WITH RECURSIVE {PART_TREE}, h AS (SELECT a, min({{'p': p_size, 'h': node}}).h AS owner FROM anc JOIN part ON p_partkey = node GROUP BY a)
+  SELECT h.a AS node, h.owner, coalesce(up.owner <> h.owner, false) AS tail FROM h LEFT JOIN h up ON h.a > 0 AND up.a = h.a // 2""")
+def tail_bits(spark, sf_dir):
+    """Every part heads a branch; branches are walked in order of size."""
+    heads = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("head"), F.struct("p_size", "p_partkey").alias("place"))
+    return forest.tail_bits(part_tree(spark, sf_dir), heads)
+
+
+@query("""WITH RECURSIVE l AS (SELECT p_partkey AS node, p_brand || '.' || p_partkey AS label FROM part WHERE p_partkey = 0
+  UNION ALL SELECT p_partkey, label || ' > ' || p_brand || '.' || p_partkey FROM part JOIN l ON p_partkey > 0 AND p_partkey // 2 = node) SELECT node, label FROM l""")
+def qualified_labels(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.concat("p_brand", F.lit("."), F.col("p_partkey").cast("string")).alias("name"))
+    return forest.path_names(part_tree(spark, sf_dir).join(names, "node"), F.col("name"))
+
+
+def file_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisions as nodes, each below the one before it in its file, dated by the day."""
+    rows = revision_log(spark, sf_dir)
+    above = rows.select("path", (F.col("rn") + 1).alias("rn"), F.col("event_id").alias("parent"))
+    day = F.floor(F.col("t") / ordered.DAY)
+    return rows.join(above, ["path", "rn"], "left").select(F.col("event_id").alias("node"), "parent", day.alias("t"), "author", "log", F.col("t").alias("seconds"))
+
+
+@query(f"WITH {RL} SELECT event_id AS node, first_value(t) OVER (PARTITION BY path ORDER BY rn) AS first FROM rl")
+def first_of_history(spark, sf_dir):
+    return forest.first_of_history(file_chains(spark, sf_dir), F.col("seconds"))
+
+
+@query(f"""WITH RECURSIVE {RL}, d AS (SELECT path, rn, event_id, t // 86400 AS t, author, log FROM rl),
+  k AS (SELECT path, rn, event_id, t, 0 AS step, [{{'t': t, 's': 0, 'a': author, 'l': log}}] AS key FROM d WHERE rn = 1
+    UNION ALL SELECT d.path, d.rn, d.event_id, d.t, CASE WHEN d.t = k.t THEN step + 1 ELSE 0 END, [{{'t': d.t, 's': CASE WHEN d.t = k.t THEN step + 1 ELSE 0 END, 'a': d.author, 'l': d.log}}] || key FROM k JOIN d ON d.path = k.path AND d.rn = k.rn + 1)
+  SELECT event_id AS node, dense_rank() OVER (ORDER BY key) - 1 AS rank FROM k""")
+def commit_order_by_parents(spark, sf_dir):
+    """Commits of a day by author and log; ties among those go by their ancestors."""
+    return forest.ordered_commits(file_chains(spark, sf_dir).select("node", "parent", "t", "author", "log"))
 
 
 @query("""WITH l AS (SELECT n_regionkey, s_nationkey, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL)
@@ -574,15 +578,8 @@ def skew_vulnerable(spark, sf_dir):
     return unnumbered_log(spark, sf_dir).groupBy("path").agg(F.max(F.when(bare, F.col("t"))).alias("vulnerable_until"), F.count(F.when(bare, 1)).alias("without_id"))
 
 
-@query("SELECT doc_id, md5(text) AS log, 'content for ' || source || ' 1.' || doc_id || chr(10) AS stub FROM documents WHERE doc_id % 10 <> 1")
-def reduce_logs(spark, sf_dir):
-    sticky = F.concat(F.lit("1."), (F.col("doc_id") % 10).cast("string"))
-    rows = table(spark, sf_dir, "documents").filter(~sticky.rlike("^1[.]1$"))
-    return rows.select("doc_id", F.md5("text").alias("log"), F.concat(F.lit("content for "), "source", F.lit(" 1."), F.col("doc_id").cast("string"), F.lit("\n")).alias("stub"))
-
-
 @query("SELECT doc_id, md5(text) AS log, 'content for ' || source || ' 1.' || doc_id || chr(10) AS stub FROM documents")
-def reduce_logs_whole(spark, sf_dir):
+def reduce_logs(spark, sf_dir):
     """Every document is reduced."""
     rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.md5("text").alias("log"), F.concat(F.lit("content for "), "source", F.lit(" 1."), F.col("doc_id").cast("string"), F.lit("\n")).alias("stub"))

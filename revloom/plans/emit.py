@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
+from revloom.operators import forest
 from revloom.operators.ordered import numbered
 from revloom.operators.shared import materialize
 from revloom.plans.history import History
@@ -171,7 +172,9 @@ def graph(history: History, title: str | None = None) -> DataFrame:
     edges = nodes.join(above, "parent_cs").select(F.lit(3).alias("part"), F.concat(F.lit("\t"), "node", F.lit(" -> "), "parent_node", weight).alias("line"))
     head = f"{title}\\n" if title else ""
     last = cs.groupBy("branch").agg(F.max_by("cs_id", "seq").alias("cs_id")).join(nodes.select("cs_id", "node"), "cs_id")
-    refs = last.select(F.concat(F.lit(f'\t"{head}'), "branch", F.lit('"')).alias("ref"), "node", F.lit("ellipse").alias("shape"), F.lit(" [weight=100];").alias("w"))
+    named = forest.path_names(history.branches.select(F.col("ref_name").alias("node"), F.col("parent_ref").alias("parent")), F.col("node"))
+    last = last.join(named.withColumnRenamed("node", "branch"), "branch")
+    refs = last.select(F.concat(F.lit(f'\t"{head}'), "label", F.lit('"')).alias("ref"), "node", F.lit("ellipse").alias("shape"), F.lit(" [weight=100];").alias("w"))
     named = history.tags.groupBy("cs_id").agg(F.array_join(F.sort_array(F.collect_list("name")), "\\n").alias("names")).join(nodes.select("cs_id", "node"), "cs_id")
     tags = named.select(F.concat(F.lit(f'\t"{head}'), "names", F.lit('"')).alias("ref"), "node", F.lit("diamond").alias("shape"), F.lit(" [weight=3];").alias("w"))
     both = refs.unionByName(tags)

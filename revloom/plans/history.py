@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
-from revloom.operators import branches, changesets, filetrees, replay, tags
+from revloom.operators import branches, changesets, filetrees, forest, replay, tags
 from revloom.operators.shared import materialize
 from revloom.sources.masters import Masters
 
@@ -65,7 +65,7 @@ class History:
         names = self.heads.select("ref_name").distinct().join(parents, "ref_name", "left")
         known = names.select(F.col("ref_name").alias("p")).withColumn("is_known", F.lit(True))
         names = names.join(known, "p", "left").select("ref_name", F.when(F.col("is_known"), F.col("p")).alias("parent_ref"))
-        depth = branches.depths(names.select(F.col("ref_name").alias("node"), F.col("parent_ref").alias("parent"))).withColumnRenamed("node", "ref_name")
+        depth = forest.depths(names.select(F.col("ref_name").alias("node"), F.col("parent_ref").alias("parent"))).withColumnRenamed("node", "ref_name")
         placed = names.join(depth, "ref_name")
         return placed.withColumn("branch_ord", F.row_number().over(Window.orderBy("depth", F.col("ref_name") != "master", "ref_name")))
 
