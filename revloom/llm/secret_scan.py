@@ -48,12 +48,14 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule's matches, in code points, end exclusive.
 
     The pieces between matches and the matches themselves alternate, so their running
-    lengths are the positions.
+    lengths are the positions.  Spans are appended to the list of a run of matches, and these
+    lists to one another; as many runs as a run has matches keep the copying low in a text
+    with any number of matches.
     """
     pieces, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     triples = F.arrays_zip(pieces.alias("p"), found.alias("f"), values.alias("v"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(FINDINGS).alias("out"))
+    none = F.array().cast(FINDINGS)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["p"])
@@ -62,8 +64,18 @@ def matches(text: Column, rule: Rule, rank: int) -> Column:
         good = x["f"].isNotNull() & (F.length(x["v"]) >= rule.least)
         return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    none = F.array().cast(FINDINGS)
-    return F.when(text.rlike(rule.pattern), F.aggregate(triples, start, step, lambda a: a["out"])).otherwise(none)
+    def run(acc: Column, some: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), none.alias("out"))
+        return F.aggregate(some, begin, step, lambda a: F.struct(a["at"].alias("at"), F.concat(acc["runs"], F.array(a["out"])).alias("runs")))
+
+    def spans(found: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(found))).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(found) / size).cast("int") - 1), lambda i: F.slice(found, i * size + 1, size))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{FINDINGS}>").alias("runs"))
+        return F.aggregate(runs, start, run, lambda a: F.flatten(a["runs"]))
+
+    # a lambda's variable is computed once, an expression inside one for every element
+    return F.when(text.rlike(rule.pattern), F.get(F.transform(F.array(triples), spans), 0)).otherwise(none)
 
 
 class Ledger:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -463,3 +464,33 @@ def test_tokenizer_units_like_whole_texts():
         some = texts[at : at + 500]
         assert [x.tolist() for x in units.ids(some)] == [tokenizer.encode(x, add_special_tokens=False).ids for x in some]
     assert [x.tolist() for x in units.ids(["ab", ""], 1)] == [[*tokenizer.encode("ab", add_special_tokens=False).ids, 1], [1]]
+
+
+def test_a_text_of_many_secrets(spark):
+    """32,000 matches of each kind in one text, each at its place."""
+    parts = [f"token=abcdefgh{i:05d} AKIAABCDEFGH{i:05d} {i:032x} é" for i in range(32_000)]
+    text = " ".join(parts)
+    docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    began = time.monotonic()
+    found = {r.doc_id: r for r in secret_scan.secret_report(docs).collect()}
+    assert time.monotonic() - began < 120
+    spans = sorted((m.start(), r, f"{k}:{m.start()}:{m.end()}") for r, (k, p) in enumerate((("assign", r"token=[a-z0-9]+"), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]{32,}"))) for m in re.finditer(p, text))
+    assert (found[1].n_assign, found[1].n_access, found[1].n_hex) == (32_000,) * 3
+    assert found[1].spans == ",".join(s for _, _, s in spans) and found[2].spans == ""
+
+
+def test_rows_that_repeat_id_and_text_are_dealt_over_blocks(spark):
+    docs = spark.createDataFrame([(None, PASSAGE)] * 300 + [(7, "alone")], "doc_id long, text string").repartition(3)
+    got = substring_dedup.remove_repeats(docs, block_chars=3000).collect()
+    assert sum(r.n_removed for r in got) == 300 * 60 and len(got) == 301
+    blocks = []
+    made = substring_dedup.remover
+
+    def counting(*options):
+        remove = made(*options)
+        return lambda docs, answers: remove(docs, answers).assign(kept_sha256=str(len(docs)))
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring_dedup, "remover", counting)
+        blocks = [int(r.kept_sha256) for r in substring_dedup.remove_repeats(docs, block_chars=3000).collect()]
+    assert max(blocks) < 60
