@@ -272,8 +272,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = longer > suffixes // LONG_CLASSES * 4 + group_suffixes // 4
     width = fingerprint_bytes(suffixes)
     blocks = max(1, math.ceil(chars / block_chars))
-    # a hash of the row, so that copies of a text are dealt over all blocks
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    # a hash of the row and its place, so that copies of a text, and of a row, are dealt over
+    # all blocks; a row whose place differs between the passes is found out by the second one
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)))
     sent = dealt.groupBy("block").applyInPandas(sender(first, parts, hot, width, window), "block long, group long, prints binary, twice binary")
     answers = sent.groupBy("group").applyInPandas(subtree(width), "block long, group long, n long, repeated binary")
     schema = "doc_id string, n_words long, n_removed long, kept_sha256 string, removed string" + ", kept_text string" * keep_text
