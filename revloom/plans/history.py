@@ -55,8 +55,9 @@ class History:
         self.branches = materialize(self._branches())
         self.membership = materialize(self._membership())
         self._own = materialize(self._numbered())
-        self.intervals = materialize(self._intervals())
+        self._place()
         self.changesets = materialize(self._joined())
+        self.intervals = materialize(self._intervals())
         self.fileops = materialize(self._fileops())
         self.tags, self.branchlets = self._tags()
 
@@ -85,38 +86,64 @@ class History:
         order = Window.partitionBy("branch").orderBy("t", "leader_id")
         return own.withColumn("seq", (F.row_number().over(order) - 1).cast("long")).withColumn("cs_id", F.xxhash64("branch", "leader_id"))
 
-    def _intervals(self) -> DataFrame:
+    def _place(self) -> None:
+        """Revisions with their changesets, and what each branch takes over where it begins."""
         placed = self.membership.select("branch", "leader_id", "event_id").join(self._own.select("branch", "leader_id", "seq", "cs_id"), ["branch", "leader_id"])
         self._placed = materialize(placed.join(self.revisions.select("event_id", "master_id", "rev", "dead", F.col("t").alias("rev_t")), "event_id"))
-        chain = Window.partitionBy("branch", "master_id").orderBy("seq")
-        own = self._placed.withColumn("to_seq", F.lead("seq").over(chain))
-        first = self._placed.groupBy("branch", "master_id").agg(F.min("seq").alias("first_seq"))
         birth = self._own.groupBy(F.col("branch")).agg(F.min("t").alias("birth"), F.max("seq").alias("last_seq"))
         # a dead placeholder stands for a file that the branch's point doesn't have
         grown = self.revisions.filter("root and parent_rev is not null").join(self._placeholders, "event_id", "left_anti").select("branch", "master_id", F.col("parent_rev").alias("rev"))
         idle = self.heads.filter("not own").select(F.col("ref_name").alias("branch"), "master_id", "rev")
-        base = self.revisions.select("master_id", "rev", F.col("dead").alias("base_dead"), F.col("t").alias("base_t"), F.col("branch").alias("base_branch"), F.col("author").alias("base_author"), F.col("log").alias("base_log"), F.col("event_id").alias("base_event"))
+        base = self.revisions.select("master_id", "rev", F.col("dead").alias("base_dead"), F.col("t").alias("base_t"), F.col("branch").alias("base_branch"), F.col("author").alias("base_author"), F.col("log").alias("base_log"), F.col("commitid").alias("base_commitid"), F.col("event_id").alias("base_event"))
         inherited = grown.unionByName(idle).join(base, ["master_id", "rev"]).filter(~F.col("base_dead")).join(birth, "branch", "left")
         self._inherited = materialize(inherited.filter(F.col("birth").isNull() | (F.col("base_t") <= F.col("birth"))))
-        inherited = self._inherited.join(first, ["branch", "master_id"], "left").filter(F.col("birth").isNotNull() & (F.coalesce("first_seq", F.lit(1)) > 0))
-        inherited = inherited.select("branch", "master_id", "rev", F.lit(0).cast("long").alias("from_seq"), F.col("first_seq").alias("to_seq"))
+
+    def _intervals(self) -> DataFrame:
+        chain = Window.partitionBy("branch", "master_id").orderBy("seq")
+        own = self._placed.withColumn("to_seq", F.lead("seq").over(chain))
+        first = self._placed.groupBy("branch", "master_id").agg(F.min("seq").alias("first_seq"))
+        begins = self.changesets.groupBy("branch").agg(F.min("seq").alias("from_seq"))
+        inherited = self._inherited.join(begins, "branch").join(first, ["branch", "master_id"], "left").filter(F.coalesce(F.col("first_seq") > F.col("from_seq"), F.lit(True)))
+        inherited = inherited.select("branch", "master_id", "rev", "from_seq", F.col("first_seq").alias("to_seq"))
         own = own.filter(~F.col("dead")).select("branch", "master_id", "rev", F.col("seq").alias("from_seq"), "to_seq")
         return own.unionByName(inherited)
 
+    def _join_points(self) -> DataFrame:
+        """branch, join_cs, how: where branches that take something over join others.
+
+        The newest revision taken over decides: its branch joins the newest changeset of the
+        parent branch that matches it (``match``); else the one that holds it, if that is on a
+        branch further up (``holder``); else the parent's newest one of its date or before
+        (``date``); and if there is none either, the branch gets a root of its own (``root``).
+        """
+        newest = F.max(F.struct("base_t", "rev", "base_event", "base_branch", "base_author", "base_log", "base_commitid"))
+        above = forest.climbed(self.branches.select(F.col("ref_name").alias("node"), F.col("parent_ref").alias("parent")), {"above": (F.array("node"), lambda near, far: F.concat(near, far))})
+        asked = self._inherited.groupBy("branch").agg(newest.alias("b"))
+        asked = asked.join(self.branches.select(F.col("ref_name").alias("branch"), "parent_ref"), "branch").select("branch", "parent_ref", "b.*")
+        asked = materialize(asked.join(above.withColumnRenamed("node", "branch"), "branch"))
+        on_parent = self._own.select(F.col("branch").alias("parent_ref"), "t", "seq", "author", "log", "commitid", F.col("cs_id").alias("p_cs"))
+        by_id = asked.join(on_parent, (asked.parent_ref == on_parent.parent_ref) & (asked.base_commitid == on_parent.commitid)).groupBy("branch").agg(F.max_by("p_cs", "seq").alias("match_cs"))
+        bare = asked.filter("base_commitid is null").select("branch", "parent_ref", F.col("base_author").alias("author"), F.col("base_log").alias("log"), F.col("base_t").alias("t"))
+        by_log = branches.newest_match(bare, on_parent.filter("commitid is null"), ["parent_ref", "author", "log"], self.options.window, "branch", "p_cs").select("branch", F.col("found_id").alias("match_cs"))
+        held = self._placed.select(F.col("event_id").alias("base_event"), F.col("branch").alias("base_branch"), F.col("cs_id").alias("holder_cs"))
+        dated = branches.as_of_backward(asked.select("branch", "parent_ref", F.col("base_t").alias("t"), F.lit(0).cast("long").alias("seq")), on_parent, ["parent_ref"], ["p_cs"], "seq").select("branch", F.col("p_cs").alias("date_cs"))
+        found = asked.join(by_id.unionByName(by_log), "branch", "left").join(held, ["base_event", "base_branch"], "left").join(dated, "branch", "left")
+        holder = F.when(F.array_contains("above", F.col("base_branch")) & (F.col("base_branch") != F.col("branch")), F.col("holder_cs"))
+        how = F.when(F.col("match_cs").isNotNull(), "match").when(holder.isNotNull(), "holder").when(F.col("date_cs").isNotNull(), "date").otherwise("root")
+        root = F.xxhash64(F.lit("root"), "branch")
+        columns = [F.coalesce("match_cs", holder, "date_cs", root).alias("join_cs"), how.alias("how"), *[F.col(f"base_{c}").alias(c) for c in ("t", "author", "log", "commitid")]]
+        return found.select("branch", *columns)
+
     def _joined(self) -> DataFrame:
-        """Changesets with parents: before them on their branch, or where the branch joins."""
-        newest = F.max(F.struct("base_t", "rev", "base_event", "base_branch"))
-        from_ref = self._inherited.groupBy("branch").agg(newest.alias("b"))
-        from_ref = from_ref.join(self.branches.select(F.col("ref_name").alias("branch"), "parent_ref"), "branch").select("branch", "parent_ref", "b.*")
-        exact = self._placed.select(F.col("event_id").alias("base_event"), F.col("branch").alias("base_branch"), F.col("cs_id").alias("exact_cs"))
-        on_parent = self._own.select(F.col("branch").alias("parent_ref"), "t", "seq", F.col("cs_id").alias("p_cs"))
-        asked = from_ref.select("branch", "parent_ref", F.col("base_t").alias("t"), F.lit(0).cast("long").alias("seq"))
-        dated = branches.as_of_backward(asked, on_parent, ["parent_ref"], ["p_cs"], "seq").select("branch", "p_cs")
-        joins = from_ref.join(exact, ["base_event", "base_branch"], "left").join(dated, "branch", "left").select("branch", F.coalesce("exact_cs", "p_cs").alias("join_cs"))
-        self.joins = joins = materialize(joins)
+        """Changesets with parents: before them on their branch, or where the branch joins; a
+        branch's own root, which adopts the files it takes over, stands at -1."""
+        self.joins = joins = materialize(self._join_points())
         chain = Window.partitionBy("branch").orderBy("seq")
-        own = self._own.withColumn("before", F.lag("cs_id").over(chain)).join(joins, "branch", "left")
-        return own.select("cs_id", "branch", "seq", F.when(F.col("seq") > 0, F.col("before")).otherwise(F.col("join_cs")).alias("parent_cs"), "t", "author", "log", "commitid")
+        own = self._own.withColumn("before", F.lag("cs_id").over(chain)).join(joins.select("branch", "join_cs"), "branch", "left")
+        own = own.select("cs_id", "branch", "seq", F.when(F.col("seq") > 0, F.col("before")).otherwise(F.col("join_cs")).alias("parent_cs"), "t", "author", "log", "commitid")
+        # a root of a branch without changesets has nothing to be the root of
+        rooted = joins.filter("how = 'root'").join(self._own.select("branch").distinct(), "branch", "left_semi")
+        return own.unionByName(rooted.select(F.col("join_cs").alias("cs_id"), "branch", F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("long").alias("parent_cs"), "t", "author", "log", "commitid"))
 
     def tree(self, changeset: DataFrame) -> DataFrame:
         """(cs_id, master_id, rev) for ``changeset`` (cs_id, branch, seq)."""
@@ -125,14 +152,16 @@ class History:
 
     def _fileops(self) -> DataFrame:
         """Interval starts and ends; a branch's first tree against the tree it joins."""
-        at = self.changesets.select("branch", "seq", "cs_id")
-        starts = self.intervals.filter("from_seq > 0").select("branch", F.col("from_seq").alias("seq"), "master_id", "rev", F.lit("M").alias("op"))
+        first = self.changesets.groupBy("branch").agg(F.min("seq").alias("first"))
+        every = materialize(self.changesets.join(first, "branch").withColumn("is_first", F.col("seq") == F.col("first")))
+        at = every.filter("not is_first").select("branch", "seq", "cs_id")
+        starts = self.intervals.select("branch", F.col("from_seq").alias("seq"), "master_id", "rev", F.lit("M").alias("op"))
         again = self.intervals.select("branch", F.col("from_seq").alias("seq"), "master_id")
         ends = self.intervals.filter("to_seq is not null").select("branch", F.col("to_seq").alias("seq"), "master_id").join(again, ["branch", "seq", "master_id"], "left_anti")
         ends = ends.withColumn("rev", F.lit(None).cast("array<int>")).withColumn("op", F.lit("D"))
         later = starts.unionByName(ends).join(at, ["branch", "seq"]).select("cs_id", "master_id", "rev", "op")
-        roots = self.changesets.filter("seq = 0").select("cs_id", "parent_cs")
-        new = self.tree(self.changesets.filter("seq = 0").select("cs_id", "branch", "seq"))
+        roots = every.filter("is_first").select("cs_id", "parent_cs")
+        new = self.tree(every.filter("is_first").select("cs_id", "branch", "seq"))
         below = roots.join(self.changesets.select(F.col("cs_id").alias("parent_cs"), "branch", "seq"), "parent_cs")
         old = self.tree(below.select("cs_id", "branch", "seq")).withColumnRenamed("rev", "old_rev")
         both = new.join(old, ["cs_id", "master_id"], "full_outer").filter(~F.col("rev").eqNullSafe(F.col("old_rev")))

@@ -140,6 +140,50 @@ def test_branch_whose_files_were_added_later_stays_disjoint(spark):
     assert b"data 10\non branch\n\nM 100644 :4 a\n" in text_of(emit.stream(h))
 
 
+def branched(number, base_date, parent_number=None, **more):
+    """A master with a branch BR from ``number``, and a branch between if that isn't on the trunk."""
+    deltas = [dict(number="1.1", date=base_date, text="x\n", log="base", **more)]
+    if parent_number:
+        deltas[0]["branches"] = [parent_number]
+        deltas.append(dict(number=parent_number, date=base_date[:-2] + "30", text="a1 1\nbetween\n", log="between", branches=[f"{parent_number}.2.1"]))
+    else:
+        deltas[0]["branches"] = ["1.1.2.1"]
+    own = f"{parent_number}.2.1" if parent_number else "1.1.2.1"
+    return deltas + [dict(number=own, date="2001.06.01.00.00.00", text="a1 1\non BR\n", log="on BR")]
+
+
+def test_a_branch_joins_the_newest_match_on_its_parent(spark):
+    deltas = branched("1.1", "2001.01.01.00.00.00", commitid="same")
+    other = master([dict(number="1.2", date="2001.03.01.00.00.00", text="z\n", log="again", commitid="same", next="1.1"), dict(number="1.1", date="2001.02.01.00.00.00", text="d1 1\na1 1\ny\n", log="own")])
+    h = History(Masters(files_of(spark, a=master(deltas, symbols={"BR": "1.1.0.2"}), b=other)))
+    cs = {(r.branch, r.seq): r for r in h.changesets.collect()}
+    assert [(r.branch, r.how) for r in h.joins.collect()] == [("BR", "match")]
+    assert cs["BR", 0].parent_cs == cs["master", 2].cs_id and cs["master", 2].log == "again\n"
+
+
+def test_a_branch_whose_masters_disagree_joins_its_parent_by_date(spark):
+    x = master(branched("1.1.2.1", "2001.01.02.00.00.00", "1.1.2.1"), symbols={"OTHER": "1.1.0.2", "BR": "1.1.2.1.0.2"})
+    y = master(branched("1.1.4.1", "2001.01.01.00.00.00", "1.1.4.1"), symbols={"THIRD": "1.1.0.4", "BR": "1.1.4.1.0.2"})
+    h = History(Masters(files_of(spark, x=x, y=y)))
+    assert {r.ref_name: r.parent_ref for r in h.branches.collect()}["BR"] == "THIRD"
+    cs = {(r.branch, r.seq): r for r in h.changesets.collect()}
+    assert [r.how for r in h.joins.collect() if r.branch == "BR"] == ["date"]
+    assert cs["BR", 0].parent_cs == cs["THIRD", 0].cs_id
+
+
+def test_a_branch_that_finds_nothing_adopts_its_files_in_a_root(spark):
+    x = master(branched("1.1.2.1", "2001.01.02.00.00.00", "1.1.2.1"), symbols={"OTHER": "1.1.0.2", "BR": "1.1.2.1.0.2"})
+    y = master(branched("1.1.4.1", "2001.05.01.00.00.00", "1.1.4.1"), symbols={"THIRD": "1.1.0.4", "BR": "1.1.4.1.0.2"})
+    late = y.replace(b"2001.06.01", b"2001.04.01")  # on BR before what it grows from: not taken over
+    h = History(Masters(files_of(spark, x=x, y=late)))
+    cs = {(r.branch, r.seq): r for r in h.changesets.collect()}
+    how = {r.branch: r.how for r in h.joins.collect()}
+    assert how["BR"] == "root" and cs["BR", -1].parent_cs is None and cs["BR", 0].parent_cs == cs["BR", -1].cs_id
+    ops = {(r.op, r.path, tuple(r.rev)) for r in h.fileops.filter(F.col("cs_id") == cs["BR", -1].cs_id).collect()}
+    assert ops == {("M", "x", (1, 1, 2, 1))}
+    assert b"commit refs/heads/BR" in text_of(emit.stream(h))
+
+
 def test_incremental_and_forced_dates(spark):
     m = master([dict(number="1.2", date="2001.01.02.00.00.00", text="b\n", next="1.1"), dict(number="1.1", date="2001.01.01.00.00.00", text="d1 1\na1 1\na\n")])
     masters = Masters(files_of(spark, a=m))
