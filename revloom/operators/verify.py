@@ -1,10 +1,15 @@
-"""Comparing two trees."""
+"""Comparing two trees, and two histories at all their branches and tags."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revloom.functions import paths
+from revloom.operators.branches import as_of_backward
+from revloom.operators.ordered import numbered
+from revloom.operators.shared import materialize
+
 
 def compared(left: DataFrame, right: DataFrame, key: str, content: str) -> DataFrame:
     """Files that two trees don't have in common: key and status (left_only, right_only, differs).
@@ -20,3 +25,79 @@ def compared(left: DataFrame, right: DataFrame, key: str, content: str) -> DataF
 
 def summary(compared_files: DataFrame) -> DataFrame:
     return compared_files.groupBy("status").agg(F.count(F.lit(1)).alias("files"))
+
+
+#: Files that a version-control tool keeps for itself, and its folders.
+TOOL_FILES, TOOL_FOLDERS = (".cvsignore", ".gitignore"), ("CVS", ".git")
+
+
+def visible(path: Column, files: tuple[str, ...] = TOOL_FILES, folders: tuple[str, ...] = TOOL_FOLDERS) -> Column:
+    """Whether a walk over a tree for comparison meets the file: not if it has one of the
+    names or lies in one of the folders."""
+    parts = F.split(path, "/")
+    return ~(F.element_at(parts, -1).isin(*files) | F.exists(parts, lambda x: x.isin(*folders)))
+
+
+def changing_folders(left: DataFrame, right: DataFrame) -> DataFrame:
+    """folder: those that the two histories don't have alike at all times.
+
+    ``left``, ``right``: path, content, from_t, to_t.  A folder's print is a sum of hashes,
+    which a file's coming adds to and its going takes from; it is the difference of the
+    two prints that is kept, so that a folder alike at all times has no step at all.
+    """
+
+    def steps(rows: DataFrame, sign: int) -> DataFrame:
+        mark = F.xxhash64("path", "content").cast("decimal(38,0)")
+        rows = rows.select(paths.directory("path").alias("folder"), mark.alias("mark"), "from_t", "to_t")
+        return rows.select("folder", F.inline(F.array(F.struct(F.col("from_t").alias("t"), (F.col("mark") * sign).alias("d")), F.struct(F.col("to_t").alias("t"), (F.col("mark") * -sign).alias("d")))))
+
+    both = steps(left, 1).unionByName(steps(right, -1))
+    return both.groupBy("folder", "t").agg(F.sum("d").alias("d")).filter("d != 0").select("folder").distinct()
+
+
+def differing_stretches(left: DataFrame, right: DataFrame) -> DataFrame:
+    """path, from_t, to_t, status: when a file is in one history only, or not the same.
+
+    Only files in folders that ever differ are looked at, one by one.
+    """
+    folders = materialize(changing_folders(left, right))
+
+    def below(rows: DataFrame, side: str) -> DataFrame:
+        rows = rows.withColumn("folder", paths.directory("path")).join(folders, "folder", "left_semi")
+        come = rows.select("path", F.col("from_t").alias("t"), F.lit(1).alias("is_start"), F.struct(F.col("content").alias("content")).alias(side))
+        gone = rows.select("path", F.col("to_t").alias("t"), F.lit(0).alias("is_start"), F.struct(F.lit(None).cast(rows.schema["content"].dataType).alias("content")).alias(side))
+        return come.unionByName(gone)
+
+    both = below(left, "a").unionByName(below(right, "b"), allowMissingColumns=True)
+    # of what happens at one time the start of a stretch counts, not the end of the one before
+    at = both.groupBy("path", "t").agg(F.max_by("a", F.when(F.col("a").isNotNull(), F.col("is_start"))).alias("a"), F.max_by("b", F.when(F.col("b").isNotNull(), F.col("is_start"))).alias("b"))
+    file = Window.partitionBy("path").orderBy("t")
+    known = at.withColumns({c: F.last(c, ignorenulls=True).over(file) for c in "ab"} | {"to_t": F.lead("t").over(file)})
+    a, b = F.col("a.content"), F.col("b.content")
+    status = F.when(a.isNull() & b.isNotNull(), "right_only").when(a.isNotNull() & b.isNull(), "left_only").when(a != b, "differs")
+    return known.select("path", F.col("t").alias("from_t"), "to_t", status.alias("status")).filter("status is not null and to_t is not null")
+
+
+def stabbed(stretches: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each stretch (from_t, to_t exclusive) with each of ``refs`` (ref, t) that lies in it.
+
+    Refs are numbered in order of time, so a stretch's are a run of numbers: two as-of
+    lookups and an equal join, however many refs there are.
+    """
+    numbers = materialize(numbered(refs.select("ref", "t"), [F.col("t"), F.col("ref")], "rank"))
+    rows = materialize(stretches.withColumn("__id", F.monotonically_increasing_id()))
+    known = numbers.select(F.lit(0).alias("all"), "t", F.col("rank").alias("__id"), F.col("rank").alias("before"))
+
+    def refs_before(column: str, name: str) -> DataFrame:
+        asked = rows.select(F.lit(0).alias("all"), (F.col(column) - 1).alias("t"), "__id")
+        return as_of_backward(asked, known, ["all"], ["before"], "__id").select("__id", F.coalesce("before", F.lit(0).cast("long")).alias(name))
+
+    run = rows.join(refs_before("from_t", "low"), "__id").join(refs_before("to_t", "high"), "__id").filter("low < high")
+    return run.withColumn("rank", F.explode(F.sequence(F.col("low") + 1, F.col("high")))).join(numbers.select("rank", "ref"), "rank").drop("rank", "low", "high", "__id")
+
+
+def compared_refs(left: DataFrame, right: DataFrame, refs: DataFrame, ignore: tuple[str, ...] = TOOL_FILES) -> DataFrame:
+    """ref, path, status: what two histories don't have alike at any of ``refs`` (ref, t), all
+    branches and tags at once.  Refs and files without a difference give no rows."""
+    seen = [x.filter(visible(F.col("path"), ignore)) for x in (left, right)]
+    return stabbed(differing_stretches(*seen), refs).select("ref", "path", "status")

@@ -600,6 +600,19 @@ def verify_content(spark, sf_dir):
     return two_copies(spark, sf_dir)
 
 
+@query(f"""WITH {RL}, refs AS (SELECT DISTINCT (t // 86400 + 1) * 86400 AS t FROM rl), b AS (SELECT * FROM rl WHERE event_id % 13 <> 0),
+  ha AS (SELECT refs.t AS moment, path, max({{'t': rl.t, 'e': event_id, 'dead': dead}}) AS m FROM refs JOIN rl ON rl.t <= refs.t GROUP BY ALL), hb AS (SELECT refs.t AS moment, path, max({{'t': b.t, 'e': event_id, 'dead': dead}}) AS m FROM refs JOIN b ON b.t <= refs.t GROUP BY ALL),
+  ta AS (SELECT moment, path, m.e AS a FROM ha WHERE NOT m.dead), tb AS (SELECT moment, path, m.e AS b FROM hb WHERE NOT m.dead),
+  j AS (SELECT moment, path, CASE WHEN a IS NULL THEN 'right_only' WHEN b IS NULL THEN 'left_only' WHEN a <> b THEN 'differs' END AS status FROM ta FULL JOIN tb USING (moment, path))
+  SELECT 'day-' || moment AS ref, path, status FROM j WHERE status IS NOT NULL AND NOT regexp_matches(path, '/u7[.]c$')""")
+def verify_all_refs(spark, sf_dir):
+    """A history against a copy that has lost revisions, at the end of every day."""
+    rows = revision_log(spark, sf_dir)
+    refs = rows.select(((F.floor(F.col("t") / ordered.DAY) + 1) * ordered.DAY).alias("t")).distinct().select(F.concat(F.lit("day-"), F.col("t").cast("string")).alias("ref"), "t")
+    copies = [trees.tree_intervals(x).select("path", F.col("event_id").alias("content"), "from_t", "to_t") for x in (rows, rows.filter("event_id % 13 <> 0"))]
+    return verify.compared_refs(*copies, refs, ignore=("u7.c",))
+
+
 @query(f"WITH {COPIES} SELECT status, count(*) AS files FROM c WHERE status IS NOT NULL GROUP BY status")
 def verify_manifest(spark, sf_dir):
     return verify.summary(two_copies(spark, sf_dir))
