@@ -11,6 +11,7 @@ from revloom.operators import replay
 from revloom.plans import emit
 from revloom.plans.catalogue import query
 from revloom.plans.history import History
+from revloom.sources import reduction
 from revloom.sources.masters import Masters
 from revloom.sources.revision_log import table
 
@@ -117,3 +118,12 @@ SELECT mark, path || ' ' || number || ' :' || mark AS line FROM sets JOIN c USIN
 def master_revision_map(spark, sf_dir):
     """The map of revisions to marks: each commit's mark comes after those of its blobs."""
     return emit.revision_map(History(masters_of(spark, sf_dir))).select("mark", "line")
+
+
+@query(f"""WITH {REVISIONS} SELECT path, number, md5(log) || chr(10) AS log,
+  md5(CASE WHEN branch = 'BR' OR k < max(k) OVER (PARTITION BY path) THEN 'd1 1' || chr(10) || 'a1 1' || chr(10) ELSE '' END || 'm/' || path || ',v content for ' || number || chr(10)) AS edit FROM revs""")
+def reduced_masters(spark, sf_dir):
+    """The masters reduced to their shape, written as files and read again."""
+    nested = reduction.parsed_files(conversation_masters(spark, sf_dir))
+    masters = Masters(reduction.rendered(reduction.reduced(nested)), "m/")
+    return masters.deltas.select(F.col("fileop_path").alias("path"), revnum.render("rev").alias("number"), "log", F.md5("edit_text").alias("edit"))
