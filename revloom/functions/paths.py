@@ -41,8 +41,10 @@ def ancestors(folder: Column | str) -> Column:
     return F.when(_col(folder) == "", F.array().cast("array<string>")).otherwise(every)
 
 
-def is_below(folder: Column | str, above: Column | str) -> Column:
-    return F.startswith(_col(folder), F.concat(_col(above), F.lit("/")))
+def absolute(path: Column | str, root: str) -> Column:
+    """A path below ``root``, unless it begins at the root of all; ./ in front is dropped."""
+    path = _col(path)
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.regexp_replace(path, "^([.]/+)+", "")))
 
 
 def deep_key(path: Column | str) -> Column:

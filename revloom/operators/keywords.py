@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The keywords, and the leaders of comments that $Log$ turns into " *".
 KEYWORDS = (b"Author", b"Date", b"Header", b"Id", b"Locker", b"Log", b"Name", b"RCSfile", b"Revision", b"Source", b"State")
@@ -67,3 +72,19 @@ def expanded(content: bytes, row, mode: str) -> bytes:
             out.append(log_entry(content[start : m.start()], row))
     out.append(content[at:])
     return b"".join(out)
+
+
+def expanded_contents(rows: DataFrame, key: str) -> DataFrame:
+    """(key, content) of ``rows`` with keywords expanded in the row's mode.
+
+    ``rows``: the key, content (binary), mode, path, number, t, author, state, log.  Null
+    contents stay null.
+    """
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = [None if r.content is None else expanded(bytes(r.content), r, r.mode) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({key: pdf[key], "content": done})
+
+    asked = rows.select(key, "content", "mode", "path", "number", "t", "author", "state", "log").filter(F.col(key).isNotNull())
+    return asked.mapInPandas(expand, f"{key} {rows.schema[key].dataType.simpleString()}, content binary")

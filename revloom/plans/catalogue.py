@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
-from revloom.operators import branches, changesets, forest, ordered, repair, replay, tags, trees, verify
+from revloom.operators import branches, changesets, forest, keywords, ordered, repair, replay, tags, trees, verify
 from revloom.sources.revision_log import revision_log, table, unnumbered_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,6 +232,28 @@ def keyword_expand_simple(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.keyword_expanded(unexpanded, "Revision", value)).alias("expanded"))
 
 
+#: The modes of expansion.
+MODES = ("kv", "kvl", "k", "v", "o", "b")
+KEYWORD_NAMES = tuple(k.decode() for k in keywords.KEYWORDS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, text, ({list(KEYWORD_NAMES)!r})[doc_id % 11 + 1] AS k, ({list(MODES)!r})[doc_id // 11 % 6 + 1] AS mode, '1.' || doc_id AS number, 'a' || doc_id % 7 AS author,
+    strftime(make_timestamp((978307200 + doc_id * 61) * 1000000), '%Y/%m/%d %H:%M:%S') AS moment, 'f\040' || doc_id || '.c,v' AS name, coalesce(source, '') AS folder FROM documents),
+  v AS (SELECT *, CASE k WHEN 'Author' THEN author WHEN 'Date' THEN moment WHEN 'State' THEN 'Exp' WHEN 'Revision' THEN number WHEN 'RCSfile' THEN name WHEN 'Log' THEN name WHEN 'Source' THEN '/repo/' || folder || '/' || name
+    WHEN 'Id' THEN concat_ws(' ', name, number, moment, author, 'Exp') WHEN 'Header' THEN concat_ws(' ', '/repo/' || folder || '/' || name, number, moment, author, 'Exp') ELSE '' END AS value FROM d),
+  w AS (SELECT *, CASE WHEN mode IN ('kv', 'kvl') THEN '$' || k || ': ' || value || ' $' WHEN mode = 'v' THEN value ELSE '$' || k || '$' END AS found,
+    CASE WHEN mode IN ('kv', 'kvl') THEN chr(10) || ' * Revision ' || number || '  ' || moment || '  ' || author || chr(10) || ' * why' || chr(10) || ' *' || chr(10) || ' * so' || chr(10) || ' *' ELSE '' END AS entry FROM v)
+  SELECT doc_id, md5(CASE WHEN k = 'Log' THEN '/* ' || found || entry || chr(10) || ' */' || text ELSE replace(text, 'e', found) END) AS expanded FROM w""")
+def keyword_modes(spark, sf_dir):
+    """Every keyword in every mode, in whole texts: a keyword for each e, or a log at the start."""
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").withColumns({"k": pick(KEYWORD_NAMES, F.col("doc_id") % 11), "mode": pick(MODES, F.floor(F.col("doc_id") / 11) % 6)})
+    raw = F.when(F.col("k") == "Log", F.concat(F.lit("/* $Log$\n */"), "text")).otherwise(F.replace("text", F.lit("e"), F.concat(F.lit("$"), "k", F.lit("$"))))
+    path = paths.absolute(F.concat(F.lit("./"), F.coalesce("source", F.lit("")), F.lit("/f "), "doc_id", F.lit(".c,v")), "/repo/")
+    rows = rows.select("doc_id", F.encode(raw, "UTF-8").alias("content"), "mode", path.alias("path"), F.concat(F.lit("1."), "doc_id").alias("number"), (978_307_200 + F.col("doc_id") * 61).alias("t"), F.concat(F.lit("a"), F.col("doc_id") % 7).alias("author"), F.lit("Exp").alias("state"), F.lit("why\n\nso\n").alias("log"))
+    return keywords.expanded_contents(rows, "doc_id").select("doc_id", F.md5("content").alias("expanded"))
+
+
 @query("""WITH e AS (SELECT doc_id, replace(text, 'e', '@') AS raw FROM documents)
   SELECT doc_id, length(raw) + length(raw) - length(replace(raw, '@', '')) AS escaped_length, md5(raw) AS back FROM e""")
 def rcs_escape_roundtrip(spark, sf_dir):

@@ -28,6 +28,7 @@ class Options:
     embed_ids: bool = False
     properties: bool = False
     tagger: str = TAGGER
+    root: str | None = None  # the folder that the masters' paths start from, for keywords with whole paths
 
     def __post_init__(self):
         if self.embed_ids and self.properties:
@@ -203,7 +204,7 @@ class History:
 
     def blobs(self, wanted: DataFrame | None = None) -> DataFrame:
         """(master_id, number, content) of all live revisions, or of those that are ``wanted``."""
-        files = self.masters.files.select("master_id", text.resolved_mode("expand", self.options.keywords).alias("mode"), "path")
+        files = self.masters.files.select("master_id", text.resolved_mode("expand", self.options.keywords).alias("mode"), paths.absolute("path", self.options.root).alias("path") if self.options.root is not None else F.col("path"))
         rows = self.revisions.select("master_id", revnum.render("rev").alias("number"), "edit_text", "dead", "t", "author", "state", "log")
         return replay.snapshots(rows.join(files, "master_id"), wanted)
 

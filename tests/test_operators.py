@@ -157,6 +157,12 @@ def test_column_functions(spark):
     assert text.command_date("2001-01-01T00:00:00 +0100") == 978_303_600 and text.command_date("77") == 77
 
 
+def test_absolute_paths(spark):
+    names = ["a/b", "./a", ".//./b", "/x/y", "..", ".hidden"]
+    df = spark.createDataFrame([(n,) for n in names], "p string")
+    assert [r.p for r in df.select(paths.absolute("p", "/r/").alias("p")).collect()] == ["/r/a/b", "/r/a", "/r/b", "/x/y", "/r/..", "/r/.hidden"]
+
+
 def test_deep_order(spark):
     names = ["a/b/c", "a/x", "a/b", "b", "a/b/d/e", "z/y"]
     df = spark.createDataFrame([(n,) for n in names], "p string")
