@@ -127,3 +127,28 @@ def reduced_masters(spark, sf_dir):
     nested = reduction.parsed_files(conversation_masters(spark, sf_dir))
     masters = Masters(reduction.rendered(reduction.reduced(nested)), "m/")
     return masters.deltas.select(F.col("fileop_path").alias("path"), revnum.render("rev").alias("number"), "log", F.md5("edit_text").alias("edit"))
+
+
+IGNORES = "'" + text.DEFAULT_IGNORES.replace("'", "''") + "'"
+
+
+@query(f"""WITH {REVISIONS},
+c AS (SELECT branch, lead.t AS t, any_value(author) AS author, any_value(lead.log) AS log, count(*) FILTER (live) AS n, sum(count(*) FILTER (live) + 1) OVER (ORDER BY lead.t)::BIGINT AS mark FROM sets GROUP BY branch, lead.t),
+joined AS (SELECT mark FROM c WHERE branch = 'master' AND t = (SELECT arg_max(lead.t, t) FROM sets WHERE branch = 'master' AND k = 1 AND g = 0 AND path IN (SELECT path FROM sets WHERE branch = 'BR'))),
+b AS (SELECT sets.branch, lead.t AS t, path, body, c.mark - c.n - 1 + row_number() OVER (PARTITION BY sets.branch, lead.t ORDER BY path) AS mark FROM sets JOIN c ON c.branch = sets.branch AND c.t = lead.t WHERE live),
+ops AS (SELECT branch, t, path, 'M 100644 :' || mark || ' ' || path || chr(10) AS line FROM b UNION ALL SELECT branch, lead.t, path, 'D ' || path || chr(10) FROM sets WHERE NOT live
+  UNION ALL SELECT 'BR', (SELECT min(lead.t) FROM sets WHERE branch = 'BR'), path, 'D ' || path || chr(10) FROM sets JOIN c ON c.branch = 'master' AND c.t = lead.t
+    WHERE path NOT IN (SELECT path FROM sets WHERE branch = 'BR') AND c.mark <= (SELECT mark FROM joined)),
+changes AS (SELECT branch, t, string_agg(line, '' ORDER BY path) AS lines FROM ops GROUP BY ALL),
+p AS (SELECT c.*, lines, CASE WHEN branch = 'BR' THEN coalesce(lag(mark) OVER w, (SELECT mark FROM joined)) ELSE lag(mark) OVER w END AS parent FROM c JOIN changes USING (branch, t) WINDOW w AS (PARTITION BY branch ORDER BY t)),
+lines AS (SELECT 0 AS kind, mark AS sub, 'blob' || chr(10) || 'mark :' || mark || chr(10) || 'data ' || octet_length(encode(body)) || chr(10) || body || chr(10) AS chunk FROM b
+  UNION ALL SELECT 1, mark, 'commit refs/heads/' || branch || chr(10) || 'mark :' || mark || chr(10) || 'committer ' || author || ' <' || author || '> ' || t || ' +0000' || chr(10) || 'data ' || octet_length(encode(log)) || chr(10) || log || chr(10)
+    || coalesce('from :' || parent || chr(10), '') || lines || CASE WHEN t = (SELECT min(t) FROM c) THEN 'M 100644 inline .gitignore' || chr(10) || 'data ' || octet_length(encode({IGNORES})) || chr(10) || {IGNORES} || chr(10) ELSE '' END || chr(10) FROM p
+  UNION ALL SELECT 3, CASE branch WHEN 'master' THEN 1 ELSE 2 END, 'reset refs/heads/' || branch || chr(10) || 'from :' || max(mark) || chr(10) || chr(10) FROM c GROUP BY branch
+  UNION ALL SELECT 4, 0, 'done' || chr(10))
+SELECT kind, sub, md5(chunk) AS chunk FROM lines""")
+def import_stream(spark, sf_dir):
+    """The whole import stream: blobs, commits with their files, the default ignores, where the
+    branches end."""
+    stream = emit.stream(History(masters_of(spark, sf_dir)))
+    return stream.select("kind", "sub", F.md5("chunk").alias("chunk"))
