@@ -39,7 +39,7 @@ def file_revisions(deltas: DataFrame, symbols: DataFrame) -> DataFrame:
     known = known.join(names, ["master_id", "key"], "left")
     fixed = F.when((F.size("bkey") == 0) | F.col("spliced"), "master").when(F.col("vendor"), F.concat(F.lit("import-"), F.col("key"))).otherwise(F.col("symbol"))
     known = known.withColumn("name", fixed)
-    tried = known.filter(F.col("name").isNull() & F.col("alive").isNotNull()).select("master_id", "key", "last_id", F.explode(F.slice(revnum.prefixes("bkey"), 2, 99)).alias("above"))
+    tried = known.filter(F.col("name").isNull() & F.col("alive").isNotNull()).select("master_id", "key", "last_id", F.explode(F.slice(revnum.prefixes("bkey"), F.lit(2), F.size(revnum.prefixes("bkey")))).alias("above"))
     above = known.filter(F.col("name").isNotNull()).select("master_id", F.col("bkey").alias("above"), F.col("name").alias("above_name"))
     nearest = tried.join(above, ["master_id", "above"]).groupBy("master_id", "key", "last_id").agg(F.max(F.struct(F.size("above"), F.col("above_name").alias("n"))).alias("a"))
     made = F.concat_ws("-", F.col("a.n"), F.lit("UNNAMED-BRANCH"), F.col("last_id"))
