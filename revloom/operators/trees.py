@@ -6,10 +6,12 @@ No tree is stored; what a tree holds, and what changes between two, are range fi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from revloom.operators.ordered import day_of, running, with_neighbour
+from revloom.operators.branches import as_of_backward
+from revloom.operators.ordered import day_of, numbered, running, with_neighbour
+from revloom.operators.shared import materialize
 
 FOREVER = 2**62
 
@@ -34,20 +36,29 @@ def latest_at(rows: DataFrame, at: Column | int, order: str = "event_id") -> Dat
     return found.filter(~F.col("newest.dead")).select("path", F.col(f"newest.{order}").alias(order), F.col("newest.rn").alias("rn"))
 
 
-def trees_at(rows: DataFrame, instants: DataFrame, order: str = "event_id") -> DataFrame:
-    """The trees at several times: (instant, path, rn) for ``instants`` (instant).
+def stabbed(stretches: DataFrame, refs: DataFrame) -> DataFrame:
+    """Each stretch (from_t, to_t exclusive) with each of ``refs`` (ref, t) that lies in it.
 
-    Within the stretch between two instants the newest revision of a file is combined
-    before the shuffle; then each stretch takes over what the ones before it left.
+    Refs are numbered in order of time, so a stretch's are a run of numbers: two as-of
+    lookups and an equal join, however many refs there are.
     """
-    times = instants.agg(F.sort_array(F.collect_set("instant")).alias("times"))
-    placed = rows.join(F.broadcast(times), F.lit(True))
-    later = F.filter("times", lambda x: x >= F.col("t"))
-    placed = placed.withColumn("instant", F.get(later, 0)).filter(F.col("instant").isNotNull())
-    newest = placed.groupBy("path", "instant").agg(F.max(F.struct("t", order, "rn", "dead")).alias("newest"))
-    files = newest.select("path").distinct().join(F.broadcast(times), F.lit(True)).select("path", F.explode("times").alias("instant"))
-    held = files.join(newest, ["path", "instant"], "left").withColumn("newest", F.last("newest", ignorenulls=True).over(Window.partitionBy("path").orderBy("instant")))
-    return held.filter(F.col("newest").isNotNull() & ~F.col("newest.dead")).select("instant", "path", F.col("newest.rn").alias("rn"))
+    numbers = materialize(numbered(refs.select("ref", "t"), [F.col("t"), F.col("ref")], "rank"))
+    rows = materialize(stretches.withColumn("__id", F.monotonically_increasing_id()))
+    known = numbers.select(F.lit(0).alias("all"), "t", F.col("rank").alias("__id"), F.col("rank").alias("before"))
+
+    def refs_before(column: str, name: str) -> DataFrame:
+        asked = rows.select(F.lit(0).alias("all"), (F.col(column) - 1).alias("t"), "__id")
+        return as_of_backward(asked, known, ["all"], ["before"], "__id").select("__id", F.coalesce("before", F.lit(0).cast("long")).alias(name))
+
+    run = rows.join(refs_before("from_t", "low"), "__id").join(refs_before("to_t", "high"), "__id").filter("low < high")
+    return run.withColumn("rank", F.explode(F.sequence(F.col("low") + 1, F.col("high")))).join(numbers.select("rank", "ref"), "rank").drop("rank", "low", "high", "__id")
+
+
+def trees_at(rows: DataFrame, instants: DataFrame, order: str = "event_id") -> DataFrame:
+    """The trees at several times: (instant, path, rn) for ``instants`` (instant)."""
+    stretches = tree_intervals(rows, order).select("path", "rn", "from_t", "to_t")
+    found = stabbed(stretches, instants.select(F.col("instant").alias("ref"), F.col("instant").alias("t")))
+    return found.select(F.col("ref").alias("instant"), "path", "rn")
 
 
 def file_operations(rows: DataFrame, order: str = "event_id") -> DataFrame:

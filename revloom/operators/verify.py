@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths
-from revloom.operators.branches import as_of_backward
-from revloom.operators.ordered import numbered
 from revloom.operators.shared import materialize
+from revloom.operators.trees import stabbed
 
 
 def compared(left: DataFrame, right: DataFrame, key: str, content: str) -> DataFrame:
@@ -78,24 +77,6 @@ def differing_stretches(left: DataFrame, right: DataFrame) -> DataFrame:
     return known.select("path", F.col("t").alias("from_t"), "to_t", status.alias("status")).filter("status is not null and to_t is not null")
 
 
-def stabbed(stretches: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each stretch (from_t, to_t exclusive) with each of ``refs`` (ref, t) that lies in it.
-
-    Refs are numbered in order of time, so a stretch's are a run of numbers: two as-of
-    lookups and an equal join, however many refs there are.
-    """
-    numbers = materialize(numbered(refs.select("ref", "t"), [F.col("t"), F.col("ref")], "rank"))
-    rows = materialize(stretches.withColumn("__id", F.monotonically_increasing_id()))
-    known = numbers.select(F.lit(0).alias("all"), "t", F.col("rank").alias("__id"), F.col("rank").alias("before"))
-
-    def refs_before(column: str, name: str) -> DataFrame:
-        asked = rows.select(F.lit(0).alias("all"), (F.col(column) - 1).alias("t"), "__id")
-        return as_of_backward(asked, known, ["all"], ["before"], "__id").select("__id", F.coalesce("before", F.lit(0).cast("long")).alias(name))
-
-    run = rows.join(refs_before("from_t", "low"), "__id").join(refs_before("to_t", "high"), "__id").filter("low < high")
-    return run.withColumn("rank", F.explode(F.sequence(F.col("low") + 1, F.col("high")))).join(numbers.select("rank", "ref"), "rank").drop("rank", "low", "high", "__id")
-
-
 def compared_refs(left: DataFrame, right: DataFrame, refs: DataFrame, ignore: tuple[str, ...] = TOOL_FILES) -> DataFrame:
     """ref, path, status: what two histories don't have alike at any of ``refs`` (ref, t), all
     branches and tags at once.  Refs and files without a difference give no rows."""
