@@ -25,7 +25,7 @@ from revloom.llm.common import MOST_BROADCAST_ROWS, materialize, quoted
 #: labelled rows a language is fitted on (expected number), the share of the largest
 #: language's frequency that an n-gram needs to enter another language's filter, and the
 #: labelled rows below which n-grams seen once count too.
-GRAM, TRAINING_ROWS, RELATIVE, FEW_ROWS = 4, 3000, 0.25, 100
+GRAM, TRAINING_ROWS, RELATIVE, LEAST_RATE = 4, 3000, 0.25, 1e-6
 HASHES = 3
 CHUNK = 1 << 20
 
@@ -165,7 +165,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     Of each language about ``training_rows`` rows are read, chosen by a hash of id and
     text; all rows are counted to set the shares.  Every language is learned.  The n-gram
     counts are summed on the cluster; what comes to the driver is the model, the n-grams that
-    the bounded sample has twice or more, 8 bytes each.
+    make up ``LEAST_RATE`` or more of their language's: a million at most, 8 bytes each,
+    for a language.
     """
     rows = labelled.filter(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull()).select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
     sizes = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))  # a row per language
@@ -176,7 +177,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     counted = materialize(counted)
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = with_languages(counted, materialize(total.join(sizes, "lang"))).withColumn("rate", F.col("n") / F.col("total"))
-    top = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= RELATIVE * F.col("most")) & ((F.col("n") > 1) | (F.col("rows") < FEW_ROWS)))
+    top = rated.withColumn("most", F.max("rate").over(Window.partitionBy("gram"))).filter((F.col("rate") >= RELATIVE * F.col("most")) & (F.col("rate") >= LEAST_RATE))
     pdf = top.select("lang", "gram").toPandas()
     return BitmaskFilters.of({lang: part["gram"].to_numpy(np.int64).view(np.uint64) for lang, part in pdf.groupby("lang")})
 
