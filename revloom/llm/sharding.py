@@ -21,7 +21,7 @@ import uuid
 from collections import defaultdict
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revloom.llm.common import fresh_folder
@@ -29,6 +29,8 @@ from revloom.llm.common import fresh_folder
 #: Bytes of a finished shard; a tier spans sizes within this factor; shards that make a
 #: tier worth merging; rows of an arriving shard.
 TARGET_BYTES, TIER_FACTOR, TIER_SHARDS, ARRIVAL_ROWS = 128 << 20, 4, 4, 2000
+#: How many sixteenths of a table each of its arrivals holds.
+ARRIVALS = (6, 1, 1, 3, 1, 1, 2, 1)
 
 
 @dataclass(frozen=True)
@@ -109,6 +111,23 @@ class ShardStore:
             except CommitConflict:
                 continue
 
+    def append_arrivals(self, rows: DataFrame, arrival: Column, compact_to: int, rows_a_shard: int = ARRIVAL_ROWS) -> int:
+        """Write ``rows`` once, those of each ``arrival`` number into shards of their own, then
+        let them arrive in turn: each is committed, compacted, and what it replaced deleted,
+        before the next.  The store must have no other writer; returns the version."""
+        folder = f"shards/g0-{uuid.uuid4().hex}"
+        rows.withColumn("__arrival", arrival).write.option("maxRecordsPerFile", rows_a_shard).partitionBy("__arrival").parquet(f"{self.root}/{folder}")
+        parts = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if f.isDirectory()]
+        if not parts:  # no rows: an empty shard, which tells the columns
+            return self.append(rows.limit(0))
+        for part in sorted(parts, key=lambda n: int(n.split("=")[1])):
+            base = self.version()
+            self.commit(self.shards(base) + self._written(f"{folder}/{part}", 0), base)
+            self.compact(compact_to)
+            for shard in {s.path for s in self.shards(base + 1)} - {s.path for s in self.shards()}:
+                self._fs.delete(self._path(f"{self.root}/{shard}"), False)
+        return self.version()
+
     def due(self, shards: list[Shard], target: int, factor: int = TIER_FACTOR, least: int = TIER_SHARDS) -> list[list[Shard]]:
         """Shards to merge, by tier: of tiers below the target that hold ``least`` or more."""
         tiers = defaultdict(list)
@@ -177,8 +196,9 @@ def sharded(docs: DataFrame, root: str | None = None, target: int = TARGET_BYTES
     """``docs`` as read back from a store after append and compaction.
 
     Adds ``shard`` (file name), ``shard_bytes`` and ``generation``; a column of ``docs``
-    with such a name is kept under ``docs_`` and its name.  All rows and columns survive,
-    nulls and repeats included.  An empty table has one empty shard or none.
+    with such a name is kept under ``docs_`` and its name.  The rows arrive in parts of
+    unequal size, drawn by a hash of the row's place, one after the other.  All rows and
+    columns survive, nulls and repeats included.  An empty table has one empty shard or none.
     """
     spark = docs.sparkSession
     added = ("shard", "shard_bytes", "generation")
@@ -186,10 +206,10 @@ def sharded(docs: DataFrame, root: str | None = None, target: int = TARGET_BYTES
         if name in docs.columns:
             docs = docs.withColumnRenamed(name, f"docs_{name}")
     store = ShardStore(spark, root or fresh_folder(spark, "shards"))
-    store.append(docs, rows)
-    store.compact(target)
+    slots = F.array(*[F.lit(k) for k, n in enumerate(ARRIVALS) for _ in range(n)])
+    store.append_arrivals(docs, F.get(slots, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(sum(ARRIVALS))).cast("int")), target, rows)
     file = F.col("_metadata")
-    generation = F.regexp_extract(file["file_path"], r"/g(\d+)-[^/]+/[^/]+$", 1).cast("int")
+    generation = F.regexp_extract(file["file_path"], r"/shards/g(\d+)-[^/]+/(?:[^/]+/)?[^/]+$", 1).cast("int")
     return store.read().select("*", file["file_name"].alias("shard"), file["file_size"].alias("shard_bytes"), generation.alias("generation"))
 
 

@@ -6,11 +6,13 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from revloom.llm import common, exact_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup
+from revloom.llm import queries as llm_queries
 from revloom.llm.chat_format import chat_format
 from revloom.llm.shingles import text_hashes
 
@@ -369,6 +371,15 @@ def test_language_filters(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
 
 
+def test_rare_grams_go_by_their_share_alone(spark, monkeypatch):
+    """The rule is the same for a language of two rows and one of two hundred."""
+    rows = [(4 * i, f"{'abcd' * 5} {chr(0x4E00 + i) * 4}", "many") for i in range(200)] + [(4001, "wxyz", "few"), (4005, "wxyz stuv", "few")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.fit(df).predict([chr(0x4E00 + 7) * 4, "stuv"])[0] == ["many", "few"]
+    monkeypatch.setattr(language_id, "LEAST_RATE", 0.01)
+    assert language_id.fit(df).predict([chr(0x4E00 + 7) * 4, "stuv"])[0][1] == "few"
+
+
 def test_every_language_is_learned(spark):
     words = {f"l{i:03}": "".join(chr(0x4E00 + 12 * i + k) for k in range(12)) for i in range(300)}
     rows = [(4 * i + k, w, lang) for i, (lang, w) in enumerate(words.items()) for k in range(1 if i == 299 else 2)]
@@ -386,6 +397,28 @@ def test_chat(spark):
     assert "".join(r.rendered for r in small) == "".join(f"<|user|>\n{i}<|end|>\n" for i in range(50)) and len(small) == 7
 
 
+def test_chat_of_odd_tables(spark):
+    """Empty tables, other columns, many turns without a number, a turn of a megabyte."""
+    schema = "conv_id long, turn long, role string, text string, part int, rendered string, block long"
+    assert chat_format(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, None, "user", f"t{i:04}", 7, "x", 3) for i in range(700)] + [(2, 0, "user", "a" * 1_000_000, 7, "x", 3)]
+    got = chat_format(spark.createDataFrame(rows, schema)).orderBy("conv_id", "part").collect()
+    assert "".join(r.rendered for r in got if r.conv_id == 1) == "".join(f"<|user|>\nt{i:04}<|end|>\n" for i in range(700))
+    assert [r.rendered for r in got if r.conv_id == 2] == ["<|user|>\n" + "a" * 1_000_000 + "<|end|>\n"] and {r.n_turns for r in got} == {700, 1}
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_queries_like_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got, want = llm_queries.queries()[name](spark, sf), con.sql(llm_queries.oracle_sql()[name])
+    columns = sorted(want.columns)
+    assert set(columns) <= set(got.columns)
+    assert sorted(map(str, got.select(columns).toPandas().astype(str).values.tolist())) == sorted(map(str, want.df()[columns].astype(str).values.tolist()))
+
+
 def test_shards(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "store"))
     for part in range(6):
@@ -417,6 +450,16 @@ def test_tiers_are_merged_one_by_one(spark, tmp_path):
     assert sorted(r.id for r in back.select("id").collect()) == list(range(4000))
 
 
+def test_arrivals_of_unequal_size_are_merged_as_they_come(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"))
+    rows = spark.range(3000).selectExpr("id", "sha2(cast(id as string), 256) as text")
+    store.append_arrivals(rows.coalesce(1), F.when(F.col("id") < 2000, 0).otherwise(1 + F.col("id") % 9), 1 << 20)
+    assert store.version() > 10 and {s.generation for s in store.shards()} > {0} and not store.due(store.shards(), 1 << 20)
+    assert sorted(r.id for r in store.read().collect()) == list(range(3000)) and store.read().columns == ["id", "text"]
+    kept = {str(p.relative_to(tmp_path / "store")) for p in (tmp_path / "store/shards").rglob("*.parquet")}
+    assert kept == {s.path for s in store.shards()}
+
+
 def test_report_of_shards_keeps_texts(spark, docs):
     got = sorted((str(r.doc_id), r.text_sha256) for r in sharding.sharding_report(docs).collect())
     assert got == sorted((str(i), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in TEXTS)
