@@ -154,3 +154,32 @@ def repository_url(url: Column | str) -> Column:
     url = _col(url)
     pattern = r"^(?:cvs|https?)://(?:[^@/]*@)?([^/]*)(/[^#]*)?(?:#(.*))?$"
     return F.struct(*[F.regexp_extract(url, pattern, i).alias(n) for i, n in ((1, "host"), (2, "path"), (3, "module"))])
+
+
+#: For hosts whose name contains the first, how a module's files are addressed.
+MIRROR_HOSTS = (("sourceforge", "{project}::{root}/{module}/"), ("berlios", "cvs.berlios.de::{module}_cvs"), ("sourceware", "{host}::{second}-cvs/{module}/"), ("savannah", "rsync://vcs.savannah.gnu.org{root}/{module}/"))
+MIRROR_ROOTS = {"sourceforge": "/cvsroot", "savannah": "/sources"}
+
+
+def mirror_source(host: Column | str, path: Column | str, module: Column | str) -> Column:
+    """Where a module of a repository is mirrored from: known hosts have forms of their own,
+    others ``host:path/module/``.
+
+    A known host's root is put before paths that lack it; the first form names the project,
+    the path's last part, before the host and drops the leading slash.
+    """
+    host, path, module = _col(host), _col(path), _col(module)
+
+    def filled(form: str, values: dict[str, Column]) -> Column:
+        parts = re.split(r"[{}]", form)
+        return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+    out = F.lit(None).cast("string")
+    for i, (name, form) in enumerate(MIRROR_HOSTS):
+        root = F.when(path.startswith(MIRROR_ROOTS[name]), path).otherwise(F.concat(F.lit(MIRROR_ROOTS[name]), path)) if name in MIRROR_ROOTS else path
+        project = F.element_at(F.split(root, "/"), -1)
+        own = F.when(host.startswith(F.concat(project, F.lit("."))), host).otherwise(F.concat(project, F.lit("."), host))
+        below = F.substring(root, 2, 2**31 - 1) if "{project}" in form else root
+        made = filled(form, {"host": host, "project": own, "root": below, "module": module, "second": F.coalesce(F.get(F.split(path, "/"), 2), F.lit(""))})
+        out = F.when(host.contains(name), made) if i == 0 else out.when(host.contains(name), made)
+    return out.otherwise(F.concat(host, F.lit(":"), path, F.lit("/"), module, F.lit("/")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
-from revloom.operators import branches, changesets, forest, keywords, ordered, repair, replay, tags, trees, verify
+from revloom.operators import branches, changesets, forest, keywords, ordered, orders, repair, replay, shared, tags, trees, verify
+from revloom.plans import emit
+from revloom.sources.masters import author_map
 from revloom.sources.revision_log import revision_log, table, unnumbered_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -644,3 +647,52 @@ def verify_manifest(spark, sf_dir):
 def run_stats(spark, sf_dir):
     size = F.octet_length("text")
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.max(F.length("text")).cast("long").alias("longest"))
+
+
+# Orders, sources
+
+
+@query(f"WITH {NUMBERS} SELECT number, row_number() OVER (ORDER BY len(rev), rev) AS place FROM n")
+def node_order(spark, sf_dir):
+    """Revision numbers by their length, then by their components."""
+    return ordered.numbered(numbers(spark, sf_dir), [orders.node_key(F.col("rev"))], "place").select("number", "place")
+
+
+@query(f"""WITH {RL}, e AS (SELECT author, path, max(CASE WHEN NOT dead THEN t END) AS t, bool_or(commitid IS NOT NULL) AS tailed FROM rl GROUP BY ALL)
+  SELECT author, path, t, tailed, row_number() OVER (PARTITION BY author ORDER BY t IS NULL, tailed, t DESC, path) AS place FROM e""")
+def join_order(spark, sf_dir):
+    """Each author's files as a branch join takes them: those without a live revision last, then
+    those on a shared tail, the newest first; ties by path."""
+    rows = unnumbered_log(spark, sf_dir).groupBy("author", "path").agg(F.max(F.when(~F.col("dead"), F.col("t"))).alias("t"), F.bool_or(F.col("commitid").isNotNull()).alias("tailed"))
+    key = orders.join_key(F.col("t"), F.col("tailed"))
+    return ordered.numbered(rows, [key, F.col("path")], "place", ["author"])
+
+
+@query(r"""WITH p AS (SELECT page_id, (['cvs.sourceforge.net', 'p.cvs.sourceforge.net', 'cvs.berlios.de', 'sourceware.org', 'cvs.savannah.gnu.org', 'example.org'])[page_id % 6 + 1] AS host,
+    CASE page_id % 4 WHEN 0 THEN '/cvsroot' WHEN 1 THEN '/sources' ELSE '' END || '/' || split_part(url, '/', 3) || CASE WHEN page_id % 5 = 0 THEN '/p' ELSE '' END AS path, 'm' || page_id % 7 AS module FROM pages),
+  r AS (SELECT *, CASE WHEN path LIKE '/cvsroot%' THEN path ELSE '/cvsroot' || path END AS root FROM p)
+  SELECT page_id, CASE page_id % 6 WHEN 2 THEN 'cvs.berlios.de::' || module || '_cvs' WHEN 3 THEN 'sourceware.org::' || split_part(path, '/', 3) || '-cvs/' || module || '/'
+    WHEN 4 THEN 'rsync://vcs.savannah.gnu.org' || CASE WHEN path LIKE '/sources%' THEN path ELSE '/sources' || path END || '/' || module || '/' WHEN 5 THEN host || ':' || path || '/' || module || '/'
+    ELSE CASE WHEN starts_with(host, string_split(root, '/')[-1] || '.') THEN '' ELSE string_split(root, '/')[-1] || '.' END || host || '::' || root[2:] || '/' || module || '/' END AS source FROM r""")
+def mirror_sources(spark, sf_dir):
+    """Where modules are mirrored from, by the kind of their host."""
+    hosts = ("cvs.sourceforge.net", "p.cvs.sourceforge.net", "cvs.berlios.de", "sourceware.org", "cvs.savannah.gnu.org", "example.org")
+    at = F.col("page_id")
+    host = F.get(F.array(*[F.lit(h) for h in hosts]), (at % 6).cast("int"))
+    path = F.concat(F.when(at % 4 == 0, "/cvsroot").when(at % 4 == 1, "/sources").otherwise(""), F.lit("/"), F.split_part("url", F.lit("/"), F.lit(3)), F.when(at % 5 == 0, "/p").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", text.mirror_source(host, path, F.concat(F.lit("m"), (at % 7).cast("string"))).alias("source"))
+
+
+@query(f"""WITH {RL}, m AS (SELECT 'a' || c_custkey AS name, c_name AS "full", lower(c_mktsegment) || '@example.org' AS email, CASE WHEN c_custkey % 2 = 0 THEN '+0' || c_nationkey % 10 || '00' END AS zone FROM customer WHERE c_custkey % 3 <> 0)
+  SELECT author, coalesce("full", author) AS full_name, coalesce(email, author) AS email, coalesce(zone, 'UTC') AS zone, count(*) AS revisions FROM rl LEFT JOIN m ON author = name GROUP BY ALL""")
+def author_map_file(spark, sf_dir):
+    """Authors by a map that is written as a file and read again, comments and lines of another
+    form among it."""
+    name, third = F.concat(F.lit("a"), F.col("c_custkey").cast("string")), F.col("c_custkey") % 3
+    zone = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" +0"), (F.col("c_nationkey") % 10).cast("string"), F.lit("00"))).otherwise("")
+    line = F.concat(F.when(third == 0, "# ").otherwise(""), name, F.when(third == 1, "=").otherwise(" = "), "c_name", F.lit(" <"), F.lower("c_mktsegment"), F.lit("@example.org>"), zone)
+    lines = table(spark, sf_dir, "customer").select(F.explode(F.array(line, F.when(third == 1, F.concat(name, F.lit(" has no mail"))).otherwise(""))).alias("value"))
+    folder = f"{shared.shared_root(spark)}/author-map-{uuid.uuid4().hex}"
+    lines.write.text(folder)
+    counted = unnumbered_log(spark, sf_dir).groupBy("author").agg(F.count(F.lit(1)).alias("revisions"))
+    return emit.author_columns(counted, author_map(spark, folder)).select("author", F.col("full").alias("full_name"), "email", "zone", "revisions")

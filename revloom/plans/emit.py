@@ -196,4 +196,20 @@ def problems(history: History) -> DataFrame:
     kept = r.select("master_id", "rev")
     gone = m.deltas.join(kept, ["master_id", "rev"], "left_anti").select(F.lit("dead unnamed branch left out"), "fileop_path", revnum.render("rev")).toDF("kind", "subject", "detail")
     lets = history.branchlets.select(F.lit("tag is on no tree"), "name", F.lit("it got a branch of its own")).toDF("kind", "subject", "detail")
-    return out.unionByName(odd).unionByName(gone).unionByName(lets)
+    depth = m.deltas.filter(F.size("rev") % 2 == 1).select(F.lit("revision number of odd depth"), "fileop_path", revnum.render("rev")).toDF("kind", "subject", "detail")
+    cs = history.changesets
+    older = cs.join(cs.select(F.col("cs_id").alias("parent_cs"), F.col("t").alias("parent_t")), "parent_cs").filter("t < parent_t")
+    older = older.select(F.lit("changeset older than its parent"), "branch", F.col("seq").cast("string")).toDF("kind", "subject", "detail")
+    for rows in (odd, gone, lets, depth, older):
+        out = out.unionByName(rows)
+    return out
+
+
+def statistics(history: History) -> DataFrame:
+    """(name, value): sizes of a conversion, and the seconds that each of its phases took."""
+    m, spark = history.masters, history.branches.sparkSession
+    counted = {"files": m.files, "deltas": m.deltas, "revisions": history.revisions, "changesets": history.changesets, "branches": history.branches, "tags": history.tags, "synthetic branches": history.branchlets, "file operations": history.fileops}
+    took = spark.createDataFrame([(f"seconds: {k}", v) for k, v in history.phases.items()], "name string, value double")
+    for name, rows in counted.items():
+        took = took.unionByName(rows.agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(name).alias("name"), "value"))
+    return took

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -46,21 +49,34 @@ class History:
     intervals   branch, master_id, rev, from_seq, to_seq (exclusive)
     fileops     cs_id, op, master_id, path, rev
     tags        name, cs_id, synthetic
+    phases      seconds that each phase took
     """
 
     def __init__(self, masters: Masters, options: Options | None = None):
         # every table is computed once and read by several others: each is a checkpoint
         self.masters, self.options = masters, options or Options()
-        self.revisions = materialize(filetrees.file_revisions(masters.deltas, masters.symbols)).withColumn("event_id", F.xxhash64("master_id", revnum.render("rev")))
-        self.heads = materialize(filetrees.branch_heads(self.revisions, masters.symbols))
-        self.branches = materialize(self._branches())
-        self.membership = materialize(self._membership())
-        self._own = materialize(self._numbered())
-        self._place()
-        self.changesets = materialize(self._joined())
-        self.intervals = materialize(self._intervals())
-        self.fileops = materialize(self._fileops())
-        self.tags, self.branchlets = self._tags()
+        self.phases: dict[str, float] = {}  # seconds
+        with self._phase("file trees"):
+            self.revisions = materialize(filetrees.file_revisions(masters.deltas, masters.symbols)).withColumn("event_id", F.xxhash64("master_id", revnum.render("rev")))
+            self.heads = materialize(filetrees.branch_heads(self.revisions, masters.symbols))
+            self.branches = materialize(self._branches())
+        with self._phase("changesets"):
+            self.membership = materialize(self._membership())
+            self._own = materialize(self._numbered())
+        with self._phase("joins"):
+            self._place()
+            self.changesets = materialize(self._joined())
+        with self._phase("trees"):
+            self.intervals = materialize(self._intervals())
+            self.fileops = materialize(self._fileops())
+        with self._phase("tags"):
+            self.tags, self.branchlets = self._tags()
+
+    @contextmanager
+    def _phase(self, name: str) -> Iterator[None]:
+        began = time.monotonic()
+        yield
+        self.phases[name] = time.monotonic() - began
 
     def _branches(self) -> DataFrame:
         parents = branches.parents_over_masters(self.heads.filter(F.col("parent_ref") != F.col("ref_name"))).withColumnRenamed("parent_ref", "p")

@@ -3,11 +3,11 @@ into changesets, and rendered."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revloom.functions import revnum, text
-from revloom.operators import replay
+from revloom.operators import filetrees, orders, replay
 from revloom.plans import emit
 from revloom.plans.catalogue import query
 from revloom.plans.history import History
@@ -25,8 +25,12 @@ revs AS (SELECT 'c' || conv_id || '.txt' AS path, '1.' || k AS number, 'master'
 sets AS (SELECT *, max({'t': t, 'log': log}) OVER (PARTITION BY branch, g, k, coalesce(commitid, log)) AS lead FROM revs)"""
 
 
-def conversation_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content): a master per conversation, its turns as trunk revisions, a word to a line."""
+def conversation_masters(spark: SparkSession, sf_dir: str, symbols: Column | None = None) -> DataFrame:
+    """(path, content): a master per conversation, its turns as trunk revisions, a word to a line.
+
+    ``symbols`` adds to each file's symbols: an expression over conv_id, group and tip, its
+    newest trunk revision.
+    """
     turns = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(turns))
     body = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("\n")), F.lit("\n"))
@@ -49,9 +53,10 @@ def conversation_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select("conv_id", "k", "grows", head.alias("head"), body_of(number, F.coalesce("role", F.lit("")), edit).alias("tail"), header(F.lit("1.1.2.1"), F.col("base") + 20_000, F.lit("b"), F.lit("Exp"), F.lit(""), F.lit(""), F.lit("")).alias("branch_head"), body_of(F.lit("1.1.2.1"), F.lit("on branch"), F.concat(F.lit("a"), "lines", F.lit(" 1\nbranched\n"))).alias("branch_tail"))
     rows = rows.withColumns({c: F.when(F.col("grows"), F.col(c)).otherwise("") for c in ("branch_head", "branch_tail")})
     files = rows.groupBy("conv_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("k", "head", "tail", "branch_head", "branch_tail")))).alias("r"))
+    files = files.withColumns({"group": F.floor(F.col("conv_id") / 4), "tip": F.size("r")})
     first = F.element_at("r", -1)
     joined = lambda field: F.array_join(F.transform("r", lambda x: x[field]), "")
-    admin = F.concat(F.lit("head\t1."), F.size("r"), F.lit(";\naccess;\nsymbols"), F.when(F.col("conv_id") % 2 == 0, "\n\tBR:1.1.0.2").otherwise(""), F.lit(";\nlocks; strict;\ncomment\t@# @;\n\n\n"))
+    admin = F.concat(F.lit("head\t1."), F.size("r"), F.lit(";\naccess;\nsymbols"), F.when(F.col("conv_id") % 2 == 0, "\n\tBR:1.1.0.2").otherwise(""), F.lit("") if symbols is None else symbols, F.lit(";\nlocks; strict;\ncomment\t@# @;\n\n\n"))
     content = F.concat(admin, joined("head"), first["branch_head"], F.lit("\n\ndesc\n@@\n"), joined("tail"), first["branch_tail"])
     return files.select(F.concat(F.lit("m/c"), "conv_id", F.lit(".txt,v")).alias("path"), F.encode(content, "UTF-8").alias("content"))
 
@@ -129,6 +134,59 @@ def reduced_masters(spark, sf_dir):
     return masters.deltas.select(F.col("fileop_path").alias("path"), revnum.render("rev").alias("number"), "log", F.md5("edit_text").alias("edit"))
 
 
+RELEASES = 21  # the i-th names the tips of the first 2**i groups
+
+
+def tagged_masters(spark: SparkSession, sf_dir: str) -> Masters:
+    """The masters with releases that equal trees, and a tag that equals none."""
+    names = F.transform(F.sequence(F.lit(0), F.lit(RELEASES - 1)), lambda i: F.when((F.col("group") < F.pow(F.lit(2.0), i)) & (F.col("tip") % 5 != 0), F.concat(F.lit("\n\tR"), i, F.lit(":1."), "tip")).otherwise(""))
+    return Masters(conversation_masters(spark, sf_dir, F.concat(F.array_join(names, ""), F.lit("\n\tLOST:1.1"))), "m/")
+
+
+@query(f"""WITH {REVISIONS}, c AS (SELECT branch, lead.t AS t, min(g) AS g, sum(count(*) FILTER (live) + 1) OVER (ORDER BY lead.t)::BIGINT AS mark FROM sets GROUP BY branch, lead.t),
+r AS (SELECT 'R' || i AS name, max(mark) AS mark FROM range({RELEASES}) AS x(i) JOIN c ON branch = 'master' AND g < 1 << i GROUP BY i)
+SELECT 'reset refs/tags/' || name || chr(10) || 'from :' || mark || chr(10) || chr(10) AS chunk FROM r
+UNION ALL SELECT 'reset refs/heads/' || branch || chr(10) || 'from :' || max(mark) || chr(10) || chr(10) FROM c GROUP BY branch
+UNION ALL SELECT 'reset refs/heads/LOST' || chr(10) || 'from :' || max(mark) + 1 || chr(10) || chr(10) FROM c""")
+def tagged_stream(spark, sf_dir):
+    """Where the stream says that tags and branches are: a tag that equals trees is on the newest
+    of them, one that equals none has a branch of its own, behind all others."""
+    stream = emit.stream(History(tagged_masters(spark, sf_dir)))
+    return stream.filter("kind in (2, 3)").select(F.col("chunk").cast("string").alias("chunk"))
+
+
+@query("""WITH n AS (SELECT conv_id, 'm/c' || conv_id || '.txt,v' AS path FROM conversations GROUP BY conv_id)
+SELECT 'unreadable' AS kind, path AS subject, 'bad reference name: a..b' AS detail FROM n WHERE conv_id % 5 = 0
+UNION ALL SELECT 'unreadable', path, 'bad reference name: ~^' FROM n WHERE conv_id % 7 = 0
+UNION ALL SELECT 'symbol names no branch by itself', 'ODD', '1.1.1' FROM n WHERE conv_id % 6 = 0""")
+def conversion_problems(spark, sf_dir):
+    """What a conversion of masters with bad symbols warns of."""
+    pick = lambda by, line: F.when(F.col("conv_id") % by == 0, F.lit("\n\t" + line)).otherwise("")
+    bad = F.concat(pick(5, "a..b:1.1"), pick(7, "~^:1.1"), pick(6, "ODD:1.1.1"))
+    return emit.problems(History(Masters(conversation_masters(spark, sf_dir, bad), "m/")))
+
+
+@query(f"""WITH {REVISIONS} SELECT 'files' AS name, count(DISTINCT path)::DOUBLE AS value FROM revs UNION ALL SELECT 'deltas', count(*) FROM revs UNION ALL SELECT 'revisions', count(*) FROM revs
+UNION ALL SELECT 'changesets', count(DISTINCT (branch, lead.t)) FROM sets UNION ALL SELECT 'branches', 2 UNION ALL SELECT 'tags', 0 UNION ALL SELECT 'synthetic branches', 0""")
+def conversion_statistics(spark, sf_dir):
+    """Sizes of a conversion; the seconds of its phases are left out, as they differ from run to run."""
+    found = emit.statistics(History(masters_of(spark, sf_dir)))
+    return found.filter(~F.col("name").startswith("seconds: ") & (F.col("name") != "file operations"))
+
+
+@query("""WITH n AS (SELECT conv_id, count(*) AS tip FROM conversations GROUP BY conv_id),
+s AS (SELECT conv_id, 'BR' AS name, [1, 1, 0, 2] AS number FROM n WHERE conv_id % 2 = 0
+  UNION ALL SELECT conv_id, 'A', [1, 1, 0, 10] FROM n UNION ALL SELECT conv_id, 'Z', [1, 1, 0, 4] FROM n UNION ALL SELECT conv_id, 'T', [1, tip, 0, 2] FROM n WHERE conv_id % 3 = 0 UNION ALL SELECT conv_id, 'master', NULL FROM n)
+SELECT 'c' || conv_id || '.txt' AS path, name AS ref_name, array_to_string(number, '.') AS number, row_number() OVER (PARTITION BY conv_id ORDER BY number NULLS FIRST, name) AS place FROM s""")
+def head_order(spark, sf_dir):
+    """The branch heads of each file in the order of their symbols' numbers, the trunk first."""
+    more = F.concat(F.lit("\n\tA:1.1.0.10\n\tZ:1.1.0.4"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("\n\tT:1."), "tip", F.lit(".0.2"))).otherwise(""))
+    masters = Masters(conversation_masters(spark, sf_dir, more), "m/")
+    heads = filetrees.branch_heads(filetrees.file_revisions(masters.deltas, masters.symbols), masters.symbols)
+    placed = orders.placed_heads(heads.select("master_id", "ref_name"), masters.symbols)
+    return placed.join(masters.files.select("master_id", F.col("fileop_path").alias("path")), "master_id").select("path", "ref_name", revnum.render("number").alias("number"), "place")
+
+
 IGNORES = "'" + text.DEFAULT_IGNORES.replace("'", "''") + "'"
 
 

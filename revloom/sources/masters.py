@@ -136,9 +136,13 @@ def master_files(spark: SparkSession, root: str, promiscuous: bool = False) -> D
 
 
 class Masters:
-    """Parsed masters as tables: ``files``, ``deltas``, ``symbols`` and ``problems``."""
+    """Parsed masters as tables: ``files``, ``deltas``, ``symbols`` and ``problems``.
 
-    def __init__(self, files: DataFrame, strip: str | None = None, executable: DataFrame | None = None):
+    Symbols that can't be references even when sanitised are left out and reported, as are
+    authors and states of that kind, whose revisions stay; ``strict`` makes any problem an error.
+    """
+
+    def __init__(self, files: DataFrame, strip: str | None = None, executable: DataFrame | None = None, strict: bool = False):
         rows = materialize(files.mapInPandas(parsed, SCHEMA))  # parsed once for all tables
         export = paths.rectified("path", strip)
         rows = rows.withColumn("master_id", F.xxhash64("path")).withColumn("export_path", export).withColumn("fileop_path", paths.ignore_renamed(export))
@@ -163,10 +167,16 @@ class Masters:
             "edit_text",
             "pos",
         )
-        symbols = good.select("master_id", F.inline("symbols")).filter(F.col("number").contains("."))
-        symbols = symbols.select("master_id", text.sanitised("name").alias("name"), revnum.parse("number").alias("rev"), "pos")
+        symbols = good.select("master_id", "path", F.inline("symbols")).filter(F.col("number").contains("."))
+        bad = symbols.filter(text.bad_ref("name")).select("path", F.concat(F.lit("bad reference name: "), "name").alias("problem"))
+        states = good.select("path", F.explode(F.flatten(F.transform("deltas", lambda d: F.array(d["author"], d["state"])))).alias("name")).distinct()
+        bad = bad.unionByName(states.filter((F.col("name") != "") & text.bad_ref("name")).select("path", F.concat(F.lit("bad author or state: "), "name").alias("problem")))
+        self.problems = self.problems.unionByName(bad)
+        symbols = symbols.filter(~text.bad_ref("name")).select("master_id", text.sanitised("name").alias("name"), revnum.parse("number").alias("rev"), "pos")
         first = symbols.groupBy("master_id", "name").agg(F.min(F.struct("pos", "rev")).alias("s"))  # of a repeated name the first counts
         self.symbols = first.select("master_id", "name", F.col("s.rev").alias("rev"), F.col("s.pos").alias("pos"))
+        if strict and (found := self.problems.first()):
+            raise MasterError(f"{found.path}: {found.problem}")
 
 
 def author_map(spark: SparkSession, path: str) -> DataFrame:
