@@ -51,7 +51,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n-gram hashes, index of the text of each, which texts have a letter).
 
-    Runs of other characters count as one space, also at either end of a text.
+    Runs of other characters count as one space; so does a text's end, but not its start.
     """
     sizes = np.array([len(x) + 1 for x in texts], dtype=np.int64)
     codes = np.frombuffer("\x00".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)

@@ -149,7 +149,12 @@ def rendered(spans: Column) -> Column:
 
 def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None, arrivals: int = 2) -> DataFrame:
     """Counts and span digests per row of ``docs``, which come in so many arrivals: each is
-    scanned for what the ledger doesn't know yet, and the findings join all rows."""
+    scanned for what the ledger doesn't know yet, and the findings join all rows.
+
+    A null text counts as empty; texts without a finding have zeros, the digest of nothing
+    and empty spans; repeated ids and texts give a row each, an empty table none; texts of
+    any length are read whole, and columns besides doc_id and text aren't read.
+    """
     spark = docs.sparkSession
     ledger = ledger or Ledger(spark, fresh_folder(spark, "ledger"))
     for part in arrivals_of(docs, arrivals):
