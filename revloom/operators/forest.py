@@ -24,6 +24,7 @@ Fold = Callable[[Column, Column], Column]
 
 def _linked(nodes: DataFrame) -> tuple[DataFrame, int]:
     """``nodes`` with their pointer, null for roots and where the parent isn't a node; how many."""
+    nodes = materialize(nodes)  # read three times
     known = nodes.select(F.col("node").alias("__up"))
     lost = nodes.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("__up")).distinct().join(known, "__up", "left_anti").withColumn("__lost", F.lit(True))
     linked = nodes.withColumnRenamed("parent", "__up").join(lost, "__up", "left")
@@ -123,6 +124,7 @@ def ordered_commits(commits: DataFrame) -> DataFrame:
     Ranks are refined by those of ancestors at twice the distance in every round, until no
     tie is left that its ancestors could settle.  Equal commits share a rank.
     """
+    commits = materialize(commits.select("node", "parent", "t", "author", "log"))
     # steps through ancestors of the same date: chains cut where the date changes
     dates = commits.select(F.col("node").alias("parent"), F.col("t").alias("__pt"))
     cut = commits.join(dates, "parent", "left").select("node", F.when(F.col("__pt") == F.col("t"), F.col("parent")).alias("parent"))

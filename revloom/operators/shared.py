@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, into the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once, into a table in the shared folder.
+
+    A checkpoint would run the last stage twice, once to compute and once to write it, and is
+    read whole, by rows.
+    """
+    folder = f"{shared_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
