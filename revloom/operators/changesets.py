@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revloom.operators.ordered import day_of, numbered, running, with_neighbour
-from revloom.operators.shared import materialize
+from revloom.operators.shared import dealt, materialize
 
 WINDOW = 300
 
@@ -50,7 +50,7 @@ def epochs(rows: DataFrame, keys: list[str], gap: int, order: str = "event_id")
 
 def _streamed(rows: DataFrame, keys: list[str], order: list[Column], fold, schema: str) -> DataFrame:
     """Rows of each (key, epoch), in order, through ``fold``, a batch at a time."""
-    placed = rows.repartition(*keys, "epoch").sortWithinPartitions(*keys, "epoch", *order)
+    placed = dealt(rows, [*keys, "epoch"]).sortWithinPartitions(*keys, "epoch", *order)
     return placed.mapInPandas(fold, schema)
 
 
@@ -273,7 +273,7 @@ FOLDED = "kind int, branch string, epoch long, chunk long, leader_id long, leade
 def folded(rows: DataFrame, window: int) -> DataFrame:
     """What the units, runs of chunks of a branch's epoch, give out."""
     order = [F.col("part") == "own", F.desc("t"), F.col("path"), F.desc("event_id")]
-    placed = rows.repartition("branch", "epoch", "unit").sortWithinPartitions("branch", "epoch", "unit", *order)
+    placed = dealt(rows, ["branch", "epoch", "unit"]).sortWithinPartitions("branch", "epoch", "unit", *order)
     return materialize(placed.select(*ASKED).mapInArrow(chunk_folder(window), FOLDED))
 
 

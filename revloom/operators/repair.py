@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revloom.operators.shared import dealt
+
 
 class Repair:
     """Fed a branch's revisions newest first; gives them out with dates in order.
@@ -53,5 +55,5 @@ def repaired_dates(rows: DataFrame, keys: list[str], order: str, date: str = "t"
             out = []
         yield pd.DataFrame([(*r, d) for r, d in state.finish()], columns=[*names, "repaired"])
 
-    placed = rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, F.desc(order))
+    placed = dealt(rows.select(*names), keys).sortWithinPartitions(*keys, F.desc(order))
     return placed.mapInPandas(fold, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from revloom.functions import revnum
 from revloom.operators.keywords import expanded
 from revloom.operators.ordered import numbered, ranked, with_neighbour
-from revloom.operators.shared import materialize
+from revloom.operators.shared import dealt, materialize
 
 COMMAND = re.compile(rb"([ad])(\d+) (\d+)\Z")
 #: Deltas in a segment; bytes of texts given out at a time.
@@ -311,7 +311,7 @@ def replayed(rows: DataFrame, anchors: DataFrame | None, keywords: bool) -> Data
     rows = rows.withColumn("anchor", F.lit(None).cast("binary"))
     if anchors is not None:
         rows = rows.unionByName(anchors, allowMissingColumns=True)
-    placed = rows.repartition(*GROUP).sortWithinPartitions(*GROUP, F.col("anchor").isNull(), "place").drop("place", "rev", "level")
+    placed = dealt(rows, GROUP).sortWithinPartitions(*GROUP, F.col("anchor").isNull(), "place").drop("place", "rev", "level")
     return placed.mapInPandas(replayer(placed.columns, keywords), f"master_id {kind}, number string, content binary")
 
 
@@ -323,12 +323,12 @@ def level_anchors(rows: DataFrame, bases: DataFrame | None, several: bool) -> Da
         return first
     kind = rows.schema["master_id"].dataType.simpleString()
     long = rows.filter("seg > 0").select("master_id", "chain").distinct()
-    edits = rows.join(long, ["master_id", "chain"], "left_semi").repartition(*GROUP).sortWithinPartitions(*GROUP, "place").select(*GROUP, "edit_text")
+    edits = dealt(rows.join(long, ["master_id", "chain"], "left_semi"), GROUP).sortWithinPartitions(*GROUP, "place").select(*GROUP, "edit_text")
     composed = edits.mapInPandas(composer, f"master_id {kind}, chain string, seg long, pieces {PIECES}")
     steps = composed.withColumn("base", F.lit(None).cast("binary"))
     if bases is not None:
         steps = steps.unionByName(bases.join(long, ["master_id", "chain"], "left_semi").withColumn("seg", F.lit(-1).cast("long")), allowMissingColumns=True)
-    walked = steps.repartition("master_id", "chain").sortWithinPartitions("master_id", "chain", "seg").select(*GROUP, "pieces", "base")
+    walked = dealt(steps, ["master_id", "chain"]).sortWithinPartitions("master_id", "chain", "seg").select(*GROUP, "pieces", "base")
     later = walked.mapInPandas(walker, f"master_id {kind}, chain string, seg long, anchor binary")
     return later if first is None else first.unionByName(later)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -33,3 +34,14 @@ def materialize(df: DataFrame) -> DataFrame:
     folder = f"{shared_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def dealt(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with those of equal keys in one partition, for a step that takes partitions as
+    they are.
+
+    A repartition by the very keys of a join below it is left out as needless, and adaptive
+    execution may then read that join's rows where they lie, with a key in several tasks.
+    So rows are dealt by a hash of the keys, which no join is by.
+    """
+    return rows.repartition(F.xxhash64(*keys))

@@ -1,8 +1,8 @@
-"""Tables that several steps read are computed once."""
+"""Tables that several steps read are computed once, and keys stay whole."""
 
 from pyspark.sql import functions as F
 
-from revloom.operators import forest
+from revloom.operators import forest, replay
 from revloom.operators.shared import materialize
 
 
@@ -33,3 +33,23 @@ def test_trees_read_their_nodes_once(spark):
     rows, n = counted(chain, spark)
     assert {r["first"] for r in forest.first_of_history(rows, F.col("node")).collect()} == {0}
     assert n.value == 40
+
+
+def test_chains_stay_whole_where_a_join_turns_into_a_broadcast(spark):
+    # planned as a sort-merge join and turned at run time, its rows read where they lie
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    rows = []
+    for i in range(60):
+        rows += [(i, f"1.{k}", "".join(f"{i} {k} {j}\n" for j in range(k)) if k == 6 else f"d1 {k + 1}\na{k + 1} {k}\n" + "".join(f"{i} {k} {j}\n" for j in range(k))) for k in range(1, 7)]
+        rows.append((i, "1.1.2.1", "a1 1\nbranched\n"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        deltas = spark.createDataFrame([(i, n, bytearray(e.encode()), False, "b") for i, n, e in rows], "master_id long, number string, edit_text binary, dead boolean, mode string").repartition(4)
+        got = {(r.master_id, r.number): bytes(r.content).decode() for r in replay.snapshots(deltas).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = {(i, f"1.{k}"): "".join(f"{i} {k} {j}\n" for j in range(k)) for i in range(60) for k in range(1, 7)}
+    assert got == want | {(i, "1.1.2.1"): f"{i} 1 0\nbranched\n" for i in range(60)}
