@@ -105,15 +105,15 @@ class Revision:
 class Frontier:
     """One branch's revisions, fed newest first; gives out (leader, members).
 
-    Held revisions are found by their key and by their path, so a leader looks at those
-    that could be its members only.  ``oldest_live`` is the place of the branch's oldest
+    A file takes part with its newest revision only, so just those, one per path, are found by
+    their key: a leader looks at its members and no others, however dense the history.  ``oldest_live`` is the place of the branch's oldest
     revision that keeps the branch alive; ``first``: no changeset has been made yet.
     """
 
     def __init__(self, window: int, oldest_live: tuple | None, first: bool, held: list[Revision] = ()):
         self.window, self.oldest_live, self.first = window, oldest_live, first
         self.order: deque[Revision] = deque()
-        self.by_key: dict[tuple, list[Revision]] = {}
+        self.newest: dict[tuple, list[Revision]] = {}
         self.by_path: dict[str, deque[Revision]] = {}
         self.live, self.last = 0, None
         for r in held:
@@ -121,8 +121,12 @@ class Frontier:
 
     def hold(self, r: Revision) -> None:
         self.order.append(r)
-        self.by_key.setdefault(r.key, []).append(r)
-        self.by_path.setdefault(r.path, deque()).append(r)
+        mine = self.by_path.get(r.path)
+        if mine is None:
+            self.by_path[r.path] = deque((r,))
+            self.newest.setdefault(r.key, []).append(r)
+        else:
+            mine.append(r)
         self.live += r.keeps_alive
         self.last = r.place
 
@@ -144,11 +148,14 @@ class Frontier:
             yield from self.lead(leader)
 
     def take(self, r: Revision) -> None:
+        """Takes the newest revision of a path; the next one is then its newest."""
         r.taken = True
         self.live -= r.keeps_alive
         mine = self.by_path[r.path]
         mine.popleft()
-        if not mine:
+        if mine:
+            self.newest.setdefault(mine[0].key, []).append(mine[0])
+        else:
             del self.by_path[r.path]
 
     def lead(self, leader: Revision) -> Iterator[tuple]:
@@ -156,15 +163,13 @@ class Frontier:
         alive = self.first or self.live or (self.oldest_live is not None and self.oldest_live > self.last)
         self.first = False
         key = leader.key
-        # a file takes part with its newest revision only
-        members = [r for r in self.by_key[key] if self.by_path[r.path][0] is r] if alive else [leader]
+        members = self.newest.pop(key)
+        if not alive:
+            if rest := [r for r in members if r is not leader]:
+                self.newest[key] = rest
+            members = [leader]
         for r in members:
             self.take(r)
-        rest = [r for r in self.by_key[key] if not r.taken]
-        if rest:
-            self.by_key[key] = rest
-        else:
-            del self.by_key[key]
         if alive:
             yield leader, members
 
@@ -180,8 +185,9 @@ def surviving(rows: DataFrame) -> DataFrame:
     return rows.withColumn("keeps_alive", ~(F.col("__root") & F.col("dead"))).drop("__first", "__n", "__root")
 
 
-#: Revisions in a chunk, and how many windows of those before it warm it up.
-CHUNK, WARM = 20_000, 64
+#: Revisions in a chunk, how many windows of those before it warm it up, and how many chunks
+#: a dense epoch has at least.
+CHUNK, WARM, PARTS = 20_000, 64, 16
 #: What a chunk gives out: members of changesets, revisions it leaves to the next chunk, and
 #: digests of what was held where it begins and ends.
 MEMBER, LEFT, SEAM = range(3)
@@ -189,16 +195,23 @@ STREAMED = ["event_id", "t", "path", "author", "log", "commitid", "keeps_alive"]
 ASKED = ["branch", "epoch", "unit", "chunk", "part", "last", "first", "oldest", *STREAMED]
 
 
-def chunked(rows: DataFrame, size: int) -> DataFrame:
+def chunked(rows: DataFrame, size: int, window: int) -> DataFrame:
     """Adds ``chunk``, runs of ``size`` revisions of a branch's epoch, newest first, and whether
-    it is the epoch's ``last`` one.  Rows aren't sorted if no epoch has more than that."""
+    it is the epoch's ``last`` one.  Rows aren't sorted if no epoch has more than that.
+
+    In a dense epoch so few revisions span too little time for a guess; there chunks grow to
+    what lies in half of WARM windows, but no further than leaves PARTS of them.
+    """
     order = [F.desc("t"), F.col("path"), F.desc("event_id")]
-    total = rows.groupBy("branch", "epoch").agg(F.floor((F.count(F.lit(1)) - 1) / size).alias("last_chunk"))
+    n, span = F.count(F.lit(1)), F.max("t") - F.min("t") + 1
+    dense = F.least(F.ceil(n * (WARM // 2 * window) / span), F.ceil(n / PARTS))
+    total = rows.groupBy("branch", "epoch").agg(n.alias("n"), F.greatest(F.lit(size).cast("long"), dense).alias("size"))
+    total = materialize(total.select("branch", "epoch", "size", F.floor((F.col("n") - 1) / F.col("size")).alias("last_chunk")))
     if not total.agg(F.max("last_chunk")).first()[0]:
         return rows.withColumns({"chunk": F.lit(0).cast("long"), "last": F.lit(True)})
-    ranked_rows = numbered(rows, order, "place", ["branch", "epoch"])
-    cut = ranked_rows.withColumn("chunk", F.floor((F.col("place") - 1) / size)).drop("place")
-    return cut.join(total, ["branch", "epoch"]).withColumn("last", F.col("chunk") == F.col("last_chunk")).drop("last_chunk")
+    cut = numbered(rows, order, "place", ["branch", "epoch"]).join(total, ["branch", "epoch"])
+    cut = cut.withColumn("chunk", F.floor((F.col("place") - 1) / F.col("size")))
+    return cut.withColumn("last", F.col("chunk") == F.col("last_chunk")).drop("place", "size", "last_chunk")
 
 
 def fed(rows: DataFrame, window: int) -> DataFrame:
@@ -244,12 +257,14 @@ def chunk_folder(window: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], given)
 
         for batch in batches:
-            for branch, epoch, start, chunk, part, is_last, first, oldest, *row in zip(*[batch.column(c).to_pylist() for c in ASKED], strict=True):
+            oldest = batch.column("oldest")  # a struct, read where a frontier begins and nowhere else
+            for i, (branch, epoch, start, chunk, part, is_last, first, *row) in enumerate(zip(*[batch.column(c).to_pylist() for c in ASKED if c != "oldest"], strict=True)):
                 if group != (branch, epoch, chunk) or unit != start:
                     if frontier:
                         ended()
                     if unit != start or group[:2] != (branch, epoch):
-                        frontier = Frontier(window, oldest and tuple(oldest.values()), first)
+                        place = oldest[i].as_py()
+                        frontier = Frontier(window, place and tuple(place.values()), first)
                     unit, group, last, begins = start, (branch, epoch, chunk), is_last, None
                 revision = Revision(*row)
                 if part == "given":
@@ -292,11 +307,11 @@ def frontier_changesets(rows: DataFrame, window: int = WINDOW, prepared: bool =
     that of the sequential fold.
     """
     rows = rows if prepared else surviving(rows)
-    cut = epochs(rows, ["branch"], window)
+    cut = materialize(epochs(rows, ["branch"], window))
     place = F.struct((-F.col("t")).alias("t"), F.col("path").alias("path"), (-F.col("event_id")).alias("id"))
     ends = cut.groupBy("branch").agg(F.max("epoch").alias("newest"), F.max(F.when(F.col("keeps_alive"), place)).alias("oldest"))
     cut = cut.join(ends, "branch").withColumn("first", F.col("epoch") == F.col("newest"))
-    cut = materialize(chunked(cut.select("branch", "epoch", "first", "oldest", *STREAMED), chunk))
+    cut = materialize(chunked(materialize(cut.select("branch", "epoch", "first", "oldest", *STREAMED)), chunk, window))
     keys, units = ["branch", "epoch", "chunk"], ["branch", "epoch", "unit"]
     found = folded(fed(cut, window).withColumn("unit", F.col("chunk")), window)
     span = 1

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from revloom.operators import forest, replay
+from revloom.operators.changesets import Frontier, Revision
 from revloom.operators.shared import materialize
 
 
@@ -53,3 +54,33 @@ def test_chains_stay_whole_where_a_join_turns_into_a_broadcast(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     want = {(i, f"1.{k}"): "".join(f"{i} {k} {j}\n" for j in range(k)) for i in range(60) for k in range(1, 7)}
     assert got == want | {(i, "1.1.2.1"): f"{i} 1 0\nbranched\n" for i in range(60)}
+
+
+def test_leaders_look_at_the_newest_of_their_paths_only():
+    # one dense window: a lookup of all held revisions would take millions of steps
+    steps = 0
+
+    class Counted(Revision):
+        __slots__ = ()
+
+        @property
+        def key(self):
+            nonlocal steps
+            steps += 1
+            return self.author, self.log
+
+    class Paths(dict):
+        def __getitem__(self, path):
+            nonlocal steps
+            steps += 1
+            return super().__getitem__(path)
+
+    n = 3000
+    frontier = Frontier(3600, None, True)
+    frontier.by_path = Paths()
+    found = []
+    for i in range(n):
+        found += frontier.feed(Counted(n - i, 5000 - i // 4, f"p{i % 3}", "a", "l", None, True))
+    found += frontier.finish()
+    assert [len(members) for _, members in found] == [3] * (n // 3)
+    assert steps < 10 * n
