@@ -1,13 +1,34 @@
-"""Cutting lineage."""
+"""Cutting lineage, and what passes between Spark and its Python workers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes and rows of what a worker gives out at a time.
+BATCH, BATCH_ROWS = 1 << 22, 5_000
+
+
+def framed(rows: Iterable[tuple[int, tuple]], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """``rows``, each behind its size in bytes, as tables of bounded size.
+
+    A batch that comes in is bounded by Spark; what is made of it may be many times as large.
+    """
+    out, size = [], 0
+    for n, row in rows:
+        out.append(row)
+        size += n
+        if size >= BATCH or len(out) >= BATCH_ROWS:
+            yield pd.DataFrame(out, columns=columns)
+            out, size = [], 0
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.

@@ -1,8 +1,9 @@
 """Tables that several steps read are computed once, and keys stay whole."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from revloom.operators import forest, replay
+from revloom.operators import forest, keywords, replay, shared
 from revloom.operators.changesets import Frontier, Revision
 from revloom.operators.shared import materialize
 
@@ -84,3 +85,17 @@ def test_leaders_look_at_the_newest_of_their_paths_only():
     found += frontier.finish()
     assert [len(members) for _, members in found] == [3] * (n // 3)
     assert steps < 10 * n
+
+
+def small(frames, column):
+    sizes = [frame[column].map(len).sum() for frame in frames]
+    assert len(sizes) > 3 and max(sizes) < 2 * shared.BATCH
+    return sum(sizes)
+
+
+def test_expanded_batches_are_given_out_in_pieces():
+    n = 400  # 8 MB become over 40
+    row = {"content": b"$Revision$\n" * 2000, "mode": "kv", "path": "f,v", "number": "1." + "1" * 100, "t": 0, "author": "a", "state": "Exp", "log": "l"}
+    frames = list(keywords.expander("doc_id")(iter([pd.DataFrame([row | {"doc_id": i} for i in range(n)])])))
+    assert [i for frame in frames for i in frame["doc_id"]] == list(range(n))
+    assert small(frames, "content") == n * 2000 * (len("$Revision:  $\n") + 102)
