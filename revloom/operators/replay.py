@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from revloom.functions import revnum
 from revloom.operators.keywords import expanded
 from revloom.operators.ordered import numbered, ranked, with_neighbour
-from revloom.operators.shared import dealt, materialize
+from revloom.operators.shared import dealt, framed, materialize
 
 COMMAND = re.compile(rb"([ad])(\d+) (\d+)\Z")
-#: Deltas in a segment; bytes of texts given out at a time.
-SEGMENT, BATCH = 256, 1 << 25
+#: Deltas in a segment.
+SEGMENT = 256
 
 
 class CorruptDelta(ValueError):
@@ -216,16 +216,17 @@ def needed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(last, ["master_id", "chain"]).filter(F.col("place") <= F.col("__upto")).drop("__upto")
 
 
-def segmented(rows: DataFrame, segment: int) -> tuple[DataFrame, bool]:
-    """Adds seg, the number of a delta's segment in its chain; whether a chain has several."""
-    sizes = rows.groupBy("master_id", "chain").agg(F.count(F.lit(1)).alias("n"))
-    long = materialize(sizes.filter(F.col("n") > segment).select("master_id", "chain"))
-    if long.isEmpty():
-        return rows.withColumn("seg", F.lit(0).cast("long")), False
-    # their numbers are counted without the texts
-    keys = rows.join(long, ["master_id", "chain"], "left_semi").select("master_id", "chain", "place", "number")
-    places = numbered(keys, [F.col("place")], "rank", ["master_id", "chain"]).select("master_id", "number", F.floor((F.col("rank") - 1) / segment).alias("seg"))
-    return rows.join(places, ["master_id", "number"], "left").withColumn("seg", F.coalesce("seg", F.lit(0).cast("long"))), True
+def segmented(keys: DataFrame, segment: int) -> tuple[DataFrame, bool, int]:
+    """Adds seg, the number of a delta's segment in its chain; whether a chain has several; the
+    deepest level.  ``keys`` are chained deltas without their texts."""
+    sizes = materialize(keys.groupBy("master_id", "chain").agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("level")))
+    longest, deepest = sizes.agg(F.max("n"), F.max("level")).first()
+    if (longest or 0) <= segment:
+        return keys.withColumn("seg", F.lit(0).cast("long")), False, deepest or 0
+    long = sizes.filter(F.col("n") > segment).select("master_id", "chain")
+    places = numbered(keys.join(long, ["master_id", "chain"], "left_semi").select("master_id", "chain", "place", "number"), [F.col("place")], "rank", ["master_id", "chain"])
+    places = places.select("master_id", "number", F.floor((F.col("rank") - 1) / segment).alias("seg"))
+    return keys.join(places, ["master_id", "number"], "left").withColumn("seg", F.coalesce("seg", F.lit(0).cast("long"))), True, deepest or 0
 
 
 GROUP = ["master_id", "chain", "seg"]
@@ -242,48 +243,53 @@ def groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple]:
 
 
 def composer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    edit, now = None, None
+    def composed() -> Iterator[tuple[int, tuple]]:
+        edit, now = None, None
 
-    def made() -> pd.DataFrame:
-        return pd.DataFrame([(*now, edit.packed())], columns=[*GROUP, "pieces"])
+        def made() -> tuple[int, tuple]:
+            pieces = edit.packed()
+            return sum(len(p["added"] or b"") for p in pieces), (*now, pieces)
 
-    for key, new, row in groups(batches, GROUP):
-        if new:
-            if edit:
-                yield made()
-            now, whole = key, key[1:] == ("", 0)  # a trunk begins with a whole text
-            edit = Edit.of_text(row.edit_text) if whole else Edit.nothing().then(row.edit_text)
-        else:
-            edit = edit.then(row.edit_text)
-    if edit:
-        yield made()
+        for key, new, row in groups(batches, GROUP):
+            if new:
+                if edit:
+                    yield made()
+                now, whole = key, key[1:] == ("", 0)  # a trunk begins with a whole text
+                edit = Edit.of_text(row.edit_text) if whole else Edit.nothing().then(row.edit_text)
+            else:
+                edit = edit.then(row.edit_text)
+        if edit:
+            yield made()
+
+    return framed(composed(), [*GROUP, "pieces"])
 
 
 def walker(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts at which segments start, from the base of a chain and its composed edits."""
-    lines = None
-    for (master, chain), new, row in groups(batches, ["master_id", "chain"]):
-        if new:
-            lines = None
-        if row.base is not None:
-            lines = split_lines(bytes(row.base))
-            continue
-        if row.seg:
-            if lines is None:
-                continue
-            yield pd.DataFrame([(master, chain, row.seg, b"".join(lines))], columns=[*GROUP, "anchor"])
-        elif lines is None and chain:
-            continue  # grows from a revision that isn't there
-        lines = Edit.unpacked(row.pieces).on(lines or [])
 
+    def walked() -> Iterator[tuple[int, tuple]]:
+        lines = None
+        for (master, chain), new, row in groups(batches, ["master_id", "chain"]):
+            if new:
+                lines = None
+            if row.base is not None:
+                lines = split_lines(bytes(row.base))
+                continue
+            if row.seg:
+                if lines is None:
+                    continue
+                text = b"".join(lines)
+                yield len(text), (master, chain, row.seg, text)
+            elif lines is None and chain:
+                continue  # grows from a revision that isn't there
+            lines = Edit.unpacked(row.pieces).on(lines or [])
 
-def replayer(columns: list[str], keywords: bool):
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines, out, size = None, [], 0
+    return framed(walked(), [*GROUP, "anchor"])
 
-        def flushed() -> pd.DataFrame:
-            return pd.DataFrame(out, columns=["master_id", "number", "content"])
 
+def replayer(keywords: bool):
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple]]:
+        lines = None
         for key, new, row in groups(batches, GROUP):
             if new:
                 lines = None
@@ -295,12 +301,11 @@ def replayer(columns: list[str], keywords: bool):
             lines = split_lines(bytes(row.edit_text)) if lines is None else apply_edit(lines, bytes(row.edit_text))
             if row.wanted:
                 content = b"".join(lines)
-                out.append((row.master_id, row.number, expanded(content, row, row.mode) if keywords and row.mode != "b" else content))
-                size += len(content)
-                if size > BATCH:
-                    yield flushed()
-                    out, size = [], 0
-        yield flushed()
+                content = expanded(content, row, row.mode) if keywords and row.mode != "b" else content
+                yield len(content), (row.master_id, row.number, content)
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return framed(contents(batches), ["master_id", "number", "content"])
 
     return replay
 
@@ -312,7 +317,7 @@ def replayed(rows: DataFrame, anchors: DataFrame | None, keywords: bool) -> Data
     if anchors is not None:
         rows = rows.unionByName(anchors, allowMissingColumns=True)
     placed = dealt(rows, GROUP).sortWithinPartitions(*GROUP, F.col("anchor").isNull(), "place").drop("place", "rev", "level")
-    return placed.mapInPandas(replayer(placed.columns, keywords), f"master_id {kind}, number string, content binary")
+    return placed.mapInPandas(replayer(keywords), f"master_id {kind}, number string, content binary")
 
 
 def level_anchors(rows: DataFrame, bases: DataFrame | None, several: bool) -> DataFrame | None:
@@ -340,31 +345,37 @@ def snapshots(deltas: DataFrame, wanted: DataFrame | None = None, keywords: bool
     ``deltas``: master_id, number, edit_text, dead, mode and, for keywords, name, path, t,
     author, state, log.  A branch that grows from a missing revision gives nothing.
     """
-    rows = chained(deltas)
+    # what is replayed and in which segments is found by the keys; the texts are joined to it once
+    keys = chained(deltas.select("master_id", "number", "dead"))
     if wanted is None:
-        rows = rows.withColumn("wanted", ~F.col("dead"))
+        keys = keys.withColumn("wanted", ~F.col("dead"))
+    else:
+        asked = materialize(wanted.select("master_id", "number").distinct())
+        keys = needed(keys, asked).join(asked.withColumn("__asked", F.lit(True)), ["master_id", "number"], "left")
+        keys = keys.withColumn("wanted", F.coalesce("__asked", F.lit(False)) & ~F.col("dead")).drop("__asked")
+    keys, several, deepest = segmented(materialize(keys.drop("dead")), segment)
+    if wanted is None and not several:
+        rows = chained(deltas).withColumns({"wanted": ~F.col("dead"), "seg": F.lit(0).cast("long")})
     else:
-        asked = wanted.select("master_id", "number").distinct()
-        rows = needed(rows, asked).join(asked.withColumn("__asked", F.lit(True)), ["master_id", "number"], "left")
-        rows = rows.withColumn("wanted", F.coalesce("__asked", F.lit(False)) & ~F.col("dead")).drop("__asked")
-    rows, several = segmented(rows, segment)
-    deepest = rows.agg(F.max("level")).first()[0] or 0
+        rows = deltas.drop(*set(keys.columns) - {"master_id", "number"}).join(keys, ["master_id", "number"])
     if deepest or several:
         rows = materialize(rows)
     bases, anchors = None, None
     for level in range(deepest + 1):  # nested branches, a few at most
         here = rows.filter(F.col("level") == level)
         found = level_anchors(here, bases, several)
+        if several:
+            found = materialize(found)  # composed once for the branches and for the revisions
         anchors = found if anchors is None else anchors if found is None else anchors.unionByName(found)
         if level == deepest:
             break
-        grown = rows.filter(F.col("level") == level + 1).select("master_id", "chain").distinct()
+        grown = keys.filter(F.col("level") == level + 1).select("master_id", "chain").distinct()
         grown = grown.withColumn("number", F.regexp_replace("chain", "[.][^.]*$", ""))
-        asked = grown.select("master_id", "number").distinct().withColumn("wanted", F.lit(True))
-        marked = here.drop("wanted").join(asked, ["master_id", "number"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
         # segments without a revision that something grows from needn't be replayed
-        there = marked.filter("wanted").select(*GROUP).distinct()
-        texts = replayed(marked.join(there, GROUP, "left_semi"), None if found is None else found.join(there, GROUP, "left_semi"), False)
+        asked = keys.filter(F.col("level") == level).join(grown.select("master_id", "number").distinct(), ["master_id", "number"], "left_semi")
+        there = asked.groupBy(*GROUP).agg(F.collect_set("number").alias("__asked"))
+        marked = here.drop("wanted").join(there, GROUP).withColumn("wanted", F.array_contains("__asked", F.col("number"))).drop("__asked")
+        texts = replayed(marked, None if found is None else found.join(there, GROUP, "left_semi"), False)
         bases = materialize(texts.join(grown, ["master_id", "number"]).select("master_id", "chain", F.col("content").alias("base")))
     return replayed(rows, anchors, keywords)
 

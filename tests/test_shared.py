@@ -99,3 +99,21 @@ def test_expanded_batches_are_given_out_in_pieces():
     frames = list(keywords.expander("doc_id")(iter([pd.DataFrame([row | {"doc_id": i} for i in range(n)])])))
     assert [i for frame in frames for i in frame["doc_id"]] == list(range(n))
     assert small(frames, "content") == n * 2000 * (len("$Revision:  $\n") + 102)
+
+
+def test_wanted_deltas_are_read_a_few_times(spark):
+    rows = [(i, f"1.{k}", b"x\n" if k == 9 else b"d1 1\na1 1\n%d\n" % k) for i in range(5) for k in range(1, 10)]
+    rows += [(i, "1.2.2.1", b"a1 1\nbranched\n") for i in range(5)]
+    deltas = spark.createDataFrame(rows, "master_id long, number string, edit_text binary").withColumns({"dead": F.lit(False), "mode": F.lit("b")})
+    deltas, n = counted(deltas, spark)
+    wanted = spark.createDataFrame([(i, number) for i in range(5) for number in ("1.3", "1.2.2.1")], "master_id long, number string")
+    got = {(r.master_id, r.number): bytes(r.content) for r in replay.snapshots(deltas, wanted, segment=3).collect()}
+    assert got == {(i, "1.3"): b"3\n" for i in range(5)} | {(i, "1.2.2.1"): b"2\nbranched\n" for i in range(5)}
+    assert n.value <= 2 * len(rows)
+
+
+def test_short_segments_are_composed_and_walked_many_at_a_time():
+    edits = pd.DataFrame([(i, "", s, b"x\n" if s == 0 else b"a1 1\ny\n") for i in range(1000) for s in (0, 1)], columns=[*replay.GROUP, "edit_text"])
+    (composed,) = replay.composer(iter([edits]))
+    (walked,) = replay.walker(iter([composed.assign(base=None)]))
+    assert [tuple(r) for r in walked.itertuples(index=False)] == [(i, "", 1, b"x\n") for i in range(1000)]
