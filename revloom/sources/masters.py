@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revloom.functions import paths, revnum, text
-from revloom.operators.shared import materialize
+from revloom.operators.shared import framed, materialize
 
 TOKEN = re.compile(rb"@((?:[^@]|@@)*)@|([;:])|([^\s;:@]+)")
 NUMBER = re.compile(rb"[0-9.]+\Z")
@@ -109,18 +109,20 @@ def parse_master(data: bytes) -> dict:
     return out | {"deltas": list(out["deltas"].values())}
 
 
-def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, tuple]]:
     for pdf in batches:
-        rows = []
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
             try:
                 master, problem = parse_master(bytes(content)), None
             except MasterError as e:
                 master, problem = {"head": None, "default_branch": None, "expand": None, "description": None, "deltas": [], "symbols": []}, str(e)
-            deltas = [tuple(d.values()) for d in master["deltas"]]
-            names = ("number", "date", "author", "state", "branches", "next", "commitid", "log", "edit_text", "pos")
-            rows.append((path, master["head"], master["default_branch"], master["expand"], master["description"], len(content), problem, [dict(zip(names, d, strict=True)) for d in deltas], [dict(zip(("name", "number", "pos"), s, strict=True)) for s in master["symbols"]]))
-        yield pd.DataFrame(rows, columns=["path", "head", "default_branch", "expand", "description", "bytes", "problem", "deltas", "symbols"])
+            symbols = [dict(zip(("name", "number", "pos"), s, strict=True)) for s in master["symbols"]]
+            yield len(content), (path, master["head"], master["default_branch"], master["expand"], master["description"], len(content), problem, master["deltas"], symbols)
+
+
+def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Masters as they are parsed, some at a time: as values they are several times as large."""
+    return framed(parsed_rows(batches), ["path", "head", "default_branch", "expand", "description", "bytes", "problem", "deltas", "symbols"])
 
 
 def master_files(spark: SparkSession, root: str, promiscuous: bool = False) -> DataFrame:

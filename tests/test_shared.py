@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from revloom.operators import forest, keywords, replay, shared
 from revloom.operators.changesets import Frontier, Revision
 from revloom.operators.shared import materialize
+from revloom.sources import masters
 
 
 def counted(rows, spark):
@@ -117,3 +118,12 @@ def test_short_segments_are_composed_and_walked_many_at_a_time():
     (composed,) = replay.composer(iter([edits]))
     (walked,) = replay.walker(iter([composed.assign(base=None)]))
     assert [tuple(r) for r in walked.itertuples(index=False)] == [(i, "", 1, b"x\n") for i in range(1000)]
+
+
+def test_parsed_batches_are_given_out_in_pieces():
+    text = b"line\n" * 10_000
+    content = b"head\t1.1;\naccess;\nsymbols;\nlocks;\n\n\n1.1\ndate\t2001.01.01.00.00.00;\tauthor a;\tstate Exp;\nbranches;\nnext\t;\n\n\ndesc\n@@\n\n1.1\nlog\n@l\n@\ntext\n@" + text + b"@\n"
+    frames = list(masters.parsed(iter([pd.DataFrame({"path": [f"{i},v" for i in range(400)], "content": [content] * 400})])))
+    assert [path for frame in frames for path in frame["path"]] == [f"{i},v" for i in range(400)]
+    texts = [frame.assign(edit=frame["deltas"].map(lambda d: d[0]["edit_text"])) for frame in frames]
+    assert small(texts, "edit") == 400 * len(text)
