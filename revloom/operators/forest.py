@@ -38,14 +38,19 @@ def climbed(nodes: DataFrame, folds: dict[str, tuple[Column, Fold]]) -> DataFram
     ``nodes``: node, parent (null at a root) and other columns.  A fold is a node's own value
     and how the values of a nearer and a farther piece of path become one.
     """
-    rows, n = _linked(nodes.select("node", "parent", *[v.alias(k) for k, (v, _) in folds.items()]))
+    return _climbed(*_linked(nodes.select("node", "parent", *[v.alias(k) for k, (v, _) in folds.items()])), {k: f for k, (_, f) in folds.items()})
+
+
+def _climbed(rows: DataFrame, n: int, folds: dict[str, Fold]) -> DataFrame:
+    """``climbed`` for rows of ``_linked``, or some of them whose pointers stay among them; n
+    bounds their number."""
     done, active = rows.filter("__up is null"), rows.filter("__up is not null")
     finished = done.drop("__up")
     for _ in range(n.bit_length() + 1):
         if active.isEmpty():
             return finished
         far = done.unionByName(active).select(F.col("node").alias("__up"), F.col("__up").alias("__next"), *[F.col(k).alias(f"__{k}") for k in folds])
-        moved = active.join(far, "__up").select("node", F.col("__next").alias("__up"), *[f(F.col(k), F.col(f"__{k}")).alias(k) for k, (_, f) in folds.items()])
+        moved = active.join(far, "__up").select("node", F.col("__next").alias("__up"), *[f(F.col(k), F.col(f"__{k}")).alias(k) for k, f in folds.items()])
         moved = materialize(moved)
         # whatever has got to a root is looked up no more than by its own number
         done, active = done.unionByName(moved.filter("__up is null")), moved.filter("__up is not null")
@@ -87,9 +92,30 @@ def path_names(parents: DataFrame, name: Column, separator: str = " > ") -> Data
     return climbed(parents, {"label": (name, lambda near, far: F.concat(far, F.lit(separator), near))})
 
 
+#: One node of so many is a station.
+SPACING = 16
+
+
 def first_of_history(parents: DataFrame, value: Column) -> DataFrame:
-    """(node, first): the value at the node's root."""
-    return climbed(parents, {"first": (value, lambda near, far: far)})
+    """(node, first): the value at the node's root.
+
+    All nodes climb to the next station, picked by a hash, or to their root if that is nearer;
+    only the stations, a few of all nodes, climb on from one to the next.  So most nodes are
+    in as many rounds as stations are apart by, however deep the tree is.
+    """
+    far = {"top": lambda near, far: far}
+    nodes, n = _linked(parents.select("node", "parent", value.alias("first")))
+    station = F.col("__up").isNotNull() & (F.pmod(F.xxhash64("node"), F.lit(SPACING)) == 0)
+    cut = nodes.select("node", F.when(~station, F.col("__up")).alias("__up"), F.col("node").alias("top"))
+    near = materialize(_climbed(cut, n, far).select("node", "top"))
+    # where the stations' parents lead to; stops are stations and roots, which lead nowhere
+    leads = near.select(F.col("node").alias("__up"), F.col("top").alias("__stop"))
+    stations = nodes.filter(station).select("node", "__up").join(leads, "__up").select("node", F.col("__stop").alias("__up"), F.col("node").alias("top"))
+    roots = nodes.filter("__up is null")
+    stops = materialize(stations.unionByName(roots.select("node", "__up", F.col("node").alias("top"))))
+    tops = _climbed(stops, n, far).select(F.col("node").alias("top"), F.col("top").alias("__root"))
+    tops = tops.join(roots.select(F.col("node").alias("__root"), "first"), "__root").select("top", "first")
+    return near.join(tops, "top").select("node", "first")
 
 
 def reference_counts(parents: DataFrame, heads: DataFrame) -> DataFrame:

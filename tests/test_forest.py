@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revloom.operators import branches, forest
+from revloom.operators.shared import materialize
 
 
 def walk(up, node):
@@ -82,3 +83,19 @@ def test_newest_match_without_pairs(spark):
     left = spark.createDataFrame([(1, "a", 5)], "id long, k string, t long")
     right = spark.createDataFrame([(7, "a", 20), (8, "a", 64), (9, "a", 65)], "id long, k string, t long")
     assert [tuple(r) for r in branches.newest_match(left, right, ["k"], 60, "id", "id").collect()] == [(1, 64, 8)]
+
+
+def test_a_deep_chain_climbs_by_stations(spark, monkeypatch):
+    n, written = 4000, []
+
+    def counting(rows):
+        table = materialize(rows)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(forest, "materialize", counting)
+    chain = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    assert {(r.node, r["first"]) for r in forest.first_of_history(chain, F.col("node") + 7).collect()} == {(i, 7) for i in range(n)}
+    assert sum(written) < 9 * n  # a row for every node in each round would be 12 * n
+    with pytest.raises(forest.BranchCycle):
+        forest.first_of_history(chain.withColumn("parent", F.coalesce("parent", F.lit(99).cast("long"))).filter("node < 100"), F.col("node"))
