@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revloom.functions import revnum
 from revloom.operators.repair import repaired_dates
+from revloom.operators.shared import materialize
 
 
 def _key_text(key: Column) -> Column:
@@ -17,13 +18,14 @@ def file_revisions(deltas: DataFrame, symbols: DataFrame) -> DataFrame:
     """Revisions with their branch, parent and repaired date.
 
     Columns: master_id, fileop_path, rev, key (of the branch, as text), branch, parent_rev,
-    parent_t, root (first of its branch), t, author, log, commitid, dead, state, edit_text.
+    parent_t, root (first of its branch), t, author, log, commitid, dead, state.
 
     A file that only has 1.1 on its trunk goes on along its last import branch.  Import
     branches are named by number; others by their first symbol, or after the nearest named
     branch.  Branches without a name and a live revision are left out.
     """
-    rows = deltas.withColumn("bkey", revnum.branch_key("rev")).withColumn("key", _key_text(F.col("bkey")))
+    rows = deltas.select("master_id", "fileop_path", "rev", "t", "author", "log", "commitid", "dead", "state").withColumn("bkey", revnum.branch_key("rev")).withColumn("key", _key_text(F.col("bkey")))
+    rows = materialize(rows)  # flat and without the texts
     vendor = F.coalesce(revnum.is_vendor("rev"), F.lit(False))
     shape = rows.groupBy("master_id").agg(F.count(F.when(F.size("bkey") == 0, 1)).alias("on_trunk"), F.max(F.when(vendor, F.col("bkey"))).alias("import_key"), F.max(F.when(F.size("bkey") == 0, F.col("rev"))).alias("tip"))
     rows = rows.join(shape, "master_id").withColumn("spliced", (F.col("on_trunk") == 1) & F.coalesce(F.col("bkey") == F.col("import_key"), F.lit(False)))
@@ -32,6 +34,7 @@ def file_revisions(deltas: DataFrame, symbols: DataFrame) -> DataFrame:
     chain = Window.partitionBy("master_id", "key").orderBy("rev")
     rows = rows.withColumn("before", F.lag("rev").over(chain)).withColumn("root", F.col("before").isNull() & (F.size("bkey") > 0) & ~F.col("spliced"))
     rows = rows.withColumn("parent_rev", F.coalesce("before", F.when(F.col("spliced"), F.col("tip")).when(F.size("bkey") > 0, revnum.sprout("rev"))))
+    rows = materialize(rows)  # read for the names, the revisions and their parents
 
     magic = symbols.filter(revnum.is_magic("rev")).select("master_id", _key_text(revnum.branch_key("rev")).alias("key"), F.struct("pos", "name").alias("s"))
     names = magic.groupBy("master_id", "key").agg(F.min("s").alias("s")).select("master_id", "key", F.col("s.name").alias("symbol"))
@@ -50,7 +53,7 @@ def file_revisions(deltas: DataFrame, symbols: DataFrame) -> DataFrame:
     parents = rows.select("master_id", F.col("rev").alias("parent_rev"), F.col("t").alias("parent_t"), F.col("branch").alias("parent_branch"), F.col("dead").alias("parent_dead"))
     rows = rows.join(parents, ["master_id", "parent_rev"], "left")
     rows = rows.withColumn("parent_rev", F.when(F.col("parent_t").isNotNull(), F.col("parent_rev")))
-    return rows.select("master_id", "fileop_path", "rev", "key", "branch", "parent_rev", "parent_t", "parent_branch", "parent_dead", "root", "t", "author", "log", "commitid", "dead", "state", "edit_text")
+    return rows.select("master_id", "fileop_path", "rev", "key", "branch", "parent_rev", "parent_t", "parent_branch", "parent_dead", "root", "t", "author", "log", "commitid", "dead", "state")
 
 
 def branch_heads(revisions: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -221,7 +221,8 @@ class History:
     def blobs(self, wanted: DataFrame | None = None) -> DataFrame:
         """(master_id, number, content) of all live revisions, or of those that are ``wanted``."""
         files = self.masters.files.select("master_id", text.resolved_mode("expand", self.options.keywords).alias("mode"), paths.absolute("path", self.options.root).alias("path") if self.options.root is not None else F.col("path"))
-        rows = self.revisions.select("master_id", revnum.render("rev").alias("number"), "edit_text", "dead", "t", "author", "state", "log")
+        texts = self.masters.deltas.select("master_id", "rev", "edit_text")
+        rows = self.revisions.join(texts, ["master_id", "rev"]).select("master_id", revnum.render("rev").alias("number"), "edit_text", "dead", "t", "author", "state", "log")
         return replay.snapshots(rows.join(files, "master_id"), wanted)
 
     def authors(self) -> DataFrame:

@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from revloom.operators import forest, keywords, replay, shared
+from revloom.operators import filetrees, forest, keywords, replay, shared
 from revloom.operators.changesets import Frontier, Revision
 from revloom.operators.shared import materialize
 from revloom.sources import masters
@@ -127,3 +127,13 @@ def test_parsed_batches_are_given_out_in_pieces():
     assert [path for frame in frames for path in frame["path"]] == [f"{i},v" for i in range(400)]
     texts = [frame.assign(edit=frame["deltas"].map(lambda d: d[0]["edit_text"])) for frame in frames]
     assert small(texts, "edit") == 400 * len(text)
+
+
+def test_file_revisions_read_their_deltas_once(spark):
+    rows = [(m, f"f{m}", [1, k], 1000 * k, "a", "l", None, False, "Exp", b"text") for m in range(3) for k in (1, 2, 3)] + [(0, "f0", [1, 1, 2, 1], 1500, "a", "l", None, False, "Exp", b"text")]
+    deltas, n = counted(spark.createDataFrame(rows, "master_id long, fileop_path string, rev array<int>, t long, author string, log string, commitid string, dead boolean, state string, edit_text binary"), spark)
+    symbols = spark.createDataFrame([(0, "BR", [1, 1, 0, 2], 0)], "master_id long, name string, rev array<int>, pos int")
+    found = filetrees.file_revisions(deltas, symbols)
+    assert {(r.master_id, tuple(r.rev)): (r.branch, r.parent_rev) for r in found.collect()} == {(m, (1, k)): ("master", [1, k - 1] if k > 1 else None) for m in range(3) for k in (1, 2, 3)} | {(0, (1, 1, 2, 1)): ("BR", [1, 1])}
+    assert n.value == len(rows)
+    assert "edit_text" not in found.columns
