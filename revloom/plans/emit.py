@@ -75,19 +75,40 @@ def sized(content: Column) -> Column:
     return F.concat(F.lit("data "), F.octet_length(content), F.lit("\n"), content)
 
 
-def stream(history: History, authors: DataFrame | None = None) -> DataFrame:
-    """The import stream as (place, sub, chunk), ``chunk`` being bytes; to be written in
-    the order of place and sub."""
+#: What stands behind all commits.
+LAST_PLACE = 2**31 - 1
+
+
+def reported(history: History, commits: DataFrame) -> DataFrame:
+    """``commits`` with their own and their parents' dates, those that the options ask for."""
     o = history.options
-    commits, blobs = marked(history)
-    commits = author_columns(commits, authors)
     marks = commits.select(F.col("cs_id").alias("parent_cs"), F.col("mark").alias("parent_mark"), F.col("t").alias("parent_t"))
     commits = commits.join(marks, "parent_cs", "left")
     seconds = text.forced_seconds("mark", o.window) if o.force_dates else F.col("t")
     parent_seconds = text.forced_seconds("parent_mark", o.window) if o.force_dates else F.col("parent_t")
     commits = commits.withColumn("seconds", seconds).withColumn("parent_seconds", parent_seconds)
     new = F.lit(True) if o.newer_than is None else F.col("seconds") > o.newer_than
-    commits = commits.filter(new)
+    return commits.filter(new)
+
+
+def references(history: History, commits: DataFrame) -> DataFrame:
+    """The stream's lines that say where tags (kind 2) and branches (kind 3) are, by the marks
+    of ``commits``; no text is replayed for them."""
+    commits, remote = reported(history, commits), history.options.remote
+    tags = history.tags.join(commits.select("cs_id", "place", "mark"), "cs_id")
+    tag_rows = tags.select("place", F.lit(2).alias("kind"), F.row_number().over(Window.partitionBy("cs_id").orderBy("name")).alias("sub"), F.concat(F.lit("reset refs/tags/"), "name", F.lit("\nfrom :"), "mark", F.lit("\n\n")).cast("binary").alias("chunk"))
+    tips = head_marks(history, commits)
+    head_rows = tips.select(F.lit(LAST_PLACE).alias("place"), F.lit(3).alias("kind"), F.col("branch_ord").alias("sub"), F.concat(F.lit("reset "), text.branch_ref("ref_name", remote), F.lit("\nfrom :"), "mark", F.lit("\n\n")).cast("binary").alias("chunk"))
+    return tag_rows.unionByName(head_rows)
+
+
+def stream(history: History, authors: DataFrame | None = None) -> DataFrame:
+    """The import stream as (place, sub, chunk), ``chunk`` being bytes; to be written in
+    the order of place and sub."""
+    o = history.options
+    commits, blobs = marked(history)
+    resets = references(history, commits)
+    commits = reported(history, author_columns(commits, authors))
     blob_marks = blobs.select("master_id", "number", F.col("mark").alias("blob_mark"))
     ops = operations(history).withColumn("number", revnum.render("rev")).join(blob_marks, ["master_id", "number"], "left")
     line = F.when(F.col("op") == "M", F.concat(F.lit("M "), "mode", F.lit(" :"), "blob_mark", F.lit(" "), "path")).otherwise(F.concat(F.lit("D "), "path"))
@@ -122,13 +143,9 @@ def stream(history: History, authors: DataFrame | None = None) -> DataFrame:
     data = F.when(F.col("is_root_ignore"), F.concat(F.lit(text.DEFAULT_IGNORES).cast("binary"), F.col("content"))).otherwise(F.col("content"))
     blob = F.concat(F.concat(F.lit("blob\nmark :"), "mark", F.lit("\ndata "), F.octet_length(data), F.lit("\n")).cast("binary"), data, F.lit("\n").cast("binary"))
     blob_rows = content.select("place", F.lit(0).alias("kind"), F.col("mark").alias("sub"), blob.alias("chunk"))
-    tags = history.tags.join(commits.select("cs_id", "place", "mark"), "cs_id")
-    tag_rows = tags.select("place", F.lit(2).alias("kind"), F.row_number().over(Window.partitionBy("cs_id").orderBy("name")).alias("sub"), F.concat(F.lit("reset refs/tags/"), "name", F.lit("\nfrom :"), "mark", F.lit("\n\n")).cast("binary").alias("chunk"))
-    end = F.lit(2**31 - 1)
-    tips = head_marks(history, commits)
-    head_rows = tips.select(end.alias("place"), F.lit(3).alias("kind"), F.col("branch_ord").alias("sub"), F.concat(F.lit("reset "), text.branch_ref("ref_name", o.remote), F.lit("\nfrom :"), "mark", F.lit("\n\n")).cast("binary").alias("chunk"))
+    end = F.lit(LAST_PLACE)
     done = history.branches.sparkSession.range(1).select(end.alias("place"), F.lit(4).alias("kind"), F.lit(0).alias("sub"), F.lit("done\n").cast("binary").alias("chunk"))
-    rows = [x.select("place", "kind", F.col("sub").cast("long").alias("sub"), "chunk") for x in (blob_rows, commit_rows, tag_rows, head_rows, done)]
+    rows = [x.select("place", "kind", F.col("sub").cast("long").alias("sub"), "chunk") for x in (blob_rows, commit_rows, resets, done)]
     out = rows[0]
     for x in rows[1:]:
         out = out.unionByName(x)

@@ -151,8 +151,9 @@ UNION ALL SELECT 'reset refs/heads/LOST' || chr(10) || 'from :' || max(mark) + 1
 def tagged_stream(spark, sf_dir):
     """Where the stream says that tags and branches are: a tag that equals trees is on the newest
     of them, one that equals none has a branch of its own, behind all others."""
-    stream = emit.stream(History(tagged_masters(spark, sf_dir)))
-    return stream.filter("kind in (2, 3)").select(F.col("chunk").cast("string").alias("chunk"))
+    history = History(tagged_masters(spark, sf_dir))
+    commits, _ = emit.marked(history)
+    return emit.references(history, commits).select(F.col("chunk").cast("string").alias("chunk"))
 
 
 @query("""WITH n AS (SELECT conv_id, 'm/c' || conv_id || '.txt,v' AS path FROM conversations GROUP BY conv_id)

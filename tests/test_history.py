@@ -6,8 +6,10 @@ import pytest
 from masters import master
 from pyspark.sql import functions as F
 
+from revloom.operators import replay
 from revloom.plans import emit
 from revloom.plans.history import History, Options
+from revloom.plans.master_queries import RELEASES, tagged_stream
 from revloom.sources.masters import MasterError, Masters, author_map, master_files, parse_master
 
 
@@ -214,3 +216,18 @@ def test_fast_order_puts_blobs_first_and_keeps_trees(spark, two_files):
     same = lambda h: {(r.branch, r.seq, r.op, r.path) for r in h.fileops.join(h.changesets, "cs_id").select("branch", "seq", "op", "path").collect()}
     assert same(fast) == same(two_files)
     assert fast.intervals.select(F.count("*")).first() == two_files.intervals.select(F.count("*")).first()
+
+
+def test_references_are_those_of_the_stream(spark, two_files):
+    for options in (Options(fast=True), Options(remote="up", newer_than=1_072_951_400)):
+        h = History(two_files.masters, options)
+        want = emit.stream(h).filter("kind in (2, 3)").collect()
+        assert want and sorted(map(str, emit.references(h, emit.marked(h)[0]).select("place", "kind", "sub", "chunk").collect())) == sorted(map(str, want))
+
+
+def test_where_tags_are_needs_no_texts(spark, monkeypatch):
+    def replayed(*_, **__):
+        raise AssertionError("texts are replayed")
+
+    monkeypatch.setattr(replay, "snapshots", replayed)
+    assert tagged_stream(spark, "/root/testdata/sf0.001").count() == RELEASES + 3
